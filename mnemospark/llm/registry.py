@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .lang_id import op2_language_id
 from .sharding import op1_sharding
 from .simhash import op10_simhash
+from .toxicity import op6_toxicity
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_language_id": op2_language_id,
+    "op6_toxicity": op6_toxicity,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_simhash": op10_simhash,
 }
