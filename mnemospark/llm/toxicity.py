@@ -299,10 +299,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     table gives an empty result; other columns are not read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # bounded by the training sample
 
     def work():
-        model = shared.value
+        model = Model()
+        vars(model).update(shared.value)
         known = Scores(model)
 
         def each(part: pa.RecordBatch) -> dict:
