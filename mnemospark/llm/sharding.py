@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import steps_for, table, without, written
 
 ROW_OVERHEAD = 8
+#: Buckets (16 bytes each) up to which their starts are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_BUCKETS = 200_000
 
 
 def byte_size(text: str = "text") -> Column:
@@ -72,6 +74,8 @@ def shuffle_into_shards(docs: DataFrame, n_shards: int = 24, bucket_bytes: int =
     ends = files.groupBy("bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(_in_shard(per_shard)) - F.col("n")
     starts = ends.withColumn("start", before).select("bucket", "start")
+    if n_shards * per_shard <= BROADCAST_BUCKETS:
+        starts = F.broadcast(starts)  # a checked size: the written rows are then not moved again
     return files.join(starts, "bucket").select(
         *[F.col(f"`{c}`") for c in docs.columns], F.lit("key").alias("law"),
         F.floor(F.col("bucket") / per_shard).cast("int").alias("shard"), "grown_shard",
