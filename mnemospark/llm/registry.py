@@ -4,20 +4,24 @@ from __future__ import annotations
 
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .lang_id import op2_language_id
+from .licenses import op5_licenses
 from .mixing import op9_mixing
 from .packing import op4_packing
 from .sharding import op1_sharding
 from .simhash import op10_simhash
+from .topk import OP8_SQL, op8_topk
 from .toxicity import op6_toxicity
 
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_language_id": op2_language_id,
     "op4_packing": op4_packing,
+    "op5_licenses": op5_licenses,
     "op6_toxicity": op6_toxicity,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_topk": op8_topk,
     "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL = {"op7_exact_dedup": OP7_SQL}
+ORACLE_SQL = {"op7_exact_dedup": OP7_SQL, "op8_topk": OP8_SQL}
