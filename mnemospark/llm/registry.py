@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .html_text import op3_html_text
 from .lang_id import op2_language_id
 from .licenses import op5_licenses
 from .mixing import op9_mixing
@@ -15,6 +16,7 @@ from .toxicity import op6_toxicity
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_language_id": op2_language_id,
+    "op3_html_text": op3_html_text,
     "op4_packing": op4_packing,
     "op5_licenses": op5_licenses,
     "op6_toxicity": op6_toxicity,
