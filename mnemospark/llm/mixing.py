@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, sliced, table
 
 BLOCK_WORDS, SHARD_SLOTS, SLOTS_PER_ROW = 32, 8192, 1 << 16
 SHARE, CAP, WEIGHTS = 1.5, 2.0, (3, 1, 2)
@@ -166,23 +166,20 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     names = docs.columns
 
     def run(batches):
-        from .common import sliced
-
-        for big in batches:
-            for batch in sliced(big):
-                texts = []
-                for text, found in zip(batch.column("text").to_pylist(), batch.column("parts").to_pylist()):
-                    runs: list[list[int]] = []
-                    for p in found:
-                        a, b = p["from_word"], p["from_word"] + p["n_words"]
-                        if runs and runs[-1][1] == a:
-                            runs[-1][1] = b
-                        else:
-                            runs.append([a, b])
-                    texts.append(word_runs(text, runs))
-                cols = [pa.array(texts, pa.string()) if c == "text" else pa.array([len(t) for t in texts], pa.int64()) if c == "n_chars"
-                        else batch.column(c) for c in names]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+        for batch in sliced(batches):
+            texts = []
+            for text, found in zip(batch.column("text").to_pylist(), batch.column("parts").to_pylist()):
+                runs: list[list[int]] = []
+                for p in found:
+                    a, b = p["from_word"], p["from_word"] + p["n_words"]
+                    if runs and runs[-1][1] == a:
+                        runs[-1][1] = b
+                    else:
+                        runs.append([a, b])
+                texts.append(word_runs(text, runs))
+            cols = [pa.array(texts, pa.string()) if c == "text" else pa.array([len(t) for t in texts], pa.int64()) if c == "n_chars"
+                    else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return joined.select(*names, "parts").mapInArrow(run, schema)
 
