@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, cut, table
 
+#: Repeated fingerprints (8 bytes each) up to which they are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 #: Bits of the remainder within a block.
 REMAINDER_BITS = 40
 
@@ -136,6 +138,8 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     narrow = cut(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(norm).alias("fp"), F.sha2(norm, 256).alias("text_sha256"))
                  .withColumn("row", F.monotonically_increasing_id()))
     repeated = cut(repeated_fingerprints(narrow, narrow.count()).select("fp"))
+    if repeated.count() <= BROADCAST_ROWS:
+        repeated = F.broadcast(repeated)  # a checked size: texts of other documents are then not moved
     # bytes are compared here: the texts themselves are the grouping key
     texts = docs.select(norm.alias("norm")).withColumn("fp", F.xxhash64("norm")).join(repeated, "fp", "left_semi")
     verified = (texts.groupBy("fp", "norm").agg(F.count("*").alias("n")).where("n > 1")
