@@ -124,7 +124,9 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, shard_rows
 
     def meet(ask: DataFrame) -> DataFrame:
         tables = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(*key, "row", "vec_id", "v")
-        return tables.groupBy(*key).cogroup(ask.select(*key, "row", "vec_id", "v", "floor").groupBy(*key)).applyInArrow(_solver(k), schema)
+        names = [*key, "row", "vec_id", "v", "floor"]
+        own = ask.select(*[F.col(c).alias(c) for c in names]).toDF(*names)  # columns of its own: both sides come from one table
+        return tables.groupBy(*key).cogroup(own.groupBy(*key)).applyInArrow(_solver(k), schema)
 
     home = cut(meet(queries))
     found = home
