@@ -128,8 +128,9 @@ class Mix:
         return spark.range(0, n, 1, max(1, min(n, 2000))).mapInArrow(run, "shard long, place int, sid int, block long, turn int")
 
     def mixture(self) -> DataFrame:
-        """The mix: slots joined with blocks by index. Rows of a slot in from_word order of first are its text."""
-        return self.slots().join(self.fragments(), ["sid", "block"])
+        """The mix: slots joined with blocks by index. Rows of a slot in from_word order of first are its text.
+        The hint keeps the planner, which cannot know how many slots a row of the range makes, from a broadcast."""
+        return self.slots().hint("merge").join(self.fragments(), ["sid", "block"])
 
     def taken(self) -> DataFrame:
         """One row per document row: doc_id, source, size, source_size, target, taken."""
