@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, table, through_python
+from .common import bounded_sample, held_out, small, table, through_python
 
 #: The labelled rows that the model is fitted on: this many of label 1 and of label 0 at most (about), none
 #: with more than MAX_CHARS characters.
@@ -57,7 +57,7 @@ def marginals(unary: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np
         return np.zeros(0), np.zeros((2, 2)), 0.0
     rows = -(-n // width)
     m = np.empty((rows * width, 2, 2))
-    at = np.zeros(rows * width, bool)
+    at = np.ones(rows * width, bool)  # padding starts anew, so it says nothing about the last word
     at[:n] = first
     u = np.zeros(rows * width)
     u[:n] = np.clip(unary, -30, 30)
@@ -124,20 +124,23 @@ class Model:
 def lexicon(texts: list[str], labels: np.ndarray, ratio: float = 12.0) -> set[str]:
     """Word and prefix features that are `ratio` times as frequent (by documents) in toxic texts as in
     others, and that more toxic texts hold than any feature would by chance (at one in a hundred)."""
-    seen: dict[str, list[int]] = {}
-    known: dict[str, list[str]] = {}
-    for text, y in zip(texts, labels):
-        here = set()
-        for token in set(text.split()):
-            f = known.get(token)
-            if f is None:
-                w = bare(token)
-                f = known[token] = ["w:" + w, "4:" + w[:4], "5:" + w[:5]] if len(w) >= 4 else ["w:" + w] if w else []
-            here.update(f)
-        for f in here:
-            seen.setdefault(f, [0, 0])[int(y)] += 1
+    def of(token: str) -> list[str]:
+        w = bare(token)
+        return ["w:" + w, "4:" + w[:4], "5:" + w[:5]] if len(w) >= 4 else ["w:" + w] if w else []
+
+    toxic_in: dict[str, int] = {}
+    for text in (t for t, y in zip(texts, labels) if y):
+        for f in {f for token in set(text.split()) for f in of(token)}:
+            toxic_in[f] = toxic_in.get(f, 0) + 1
+    seen = {f: [0, c] for f, c in toxic_in.items() if c >= 3}  # nothing rarer can pass
+    n_features = len(toxic_in)
+    del toxic_in
+    for text in (t for t, y in zip(texts, labels) if not y):
+        for f in {f for token in set(text.split()) for f in of(token)}:
+            if f in seen:
+                seen[f][0] += 1
     n1, n0 = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
-    least = max(3.0, np.log(100 * max(len(seen), 2)) / np.log((n0 + n1) / n1))
+    least = max(3.0, np.log(100 * max(n_features, 2)) / np.log((n0 + n1) / n1))
     found = {f for f, (c0, c1) in seen.items() if c1 >= least and (c1 / n1) >= ratio * (c0 + 0.5) / n0}
     # copies of a toxic document hold all its words: only different neighbours count as different places
     places: dict[str, set] = {f: set() for f in found}
@@ -145,7 +148,7 @@ def lexicon(texts: list[str], labels: np.ndarray, ratio: float = 12.0) -> set[st
         if y:
             tokens = ["", *text.split(), ""]
             for before, token, after in zip(tokens, tokens[1:], tokens[2:]):
-                for f in known[token]:
+                for f in of(token) if token else ():
                     if f in places:
                         places[f].add((before, after))
     return {f for f, at in places.items() if len(at) >= least}
@@ -203,7 +206,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, train_words:
             value += 0.25 * (mom[2 * k] / (1 - 0.9**epoch)) / (np.sqrt(mom[2 * k + 1] / (1 - 0.98**epoch)) + 1e-6)
     model.weights = {f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-2 or f == "bias"}
     model.trans, model.start = trans, start
-    known = Scores(model)
+    known = Scores(model, 100_000)
     x = np.array([doc_signals(p) for at in range(0, len(texts), 256) for p in batch(model, texts[at:at + 256], known)])
     model.doc = _logistic(np.c_[np.ones(len(x)), x], labels.astype(float))
     return model
@@ -324,7 +327,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     is scored, too: it is matched by its text's hash."""
     model = train(docs, labels)
     flagged = docs.withColumn("__key", F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")))
-    bad = score(flagged.select(F.col("__key").alias("doc_id"), "text"), model).where("score >= 0.5").select(F.col("doc_id").alias("__bad")).distinct()
+    bad = small(score(flagged.select(F.col("__key").alias("doc_id"), "text"), model).where("score >= 0.5").select(F.col("doc_id").alias("__bad")).distinct())
     return flagged.join(bad, F.col("__key").eqNullSafe(F.col("__bad")), "left_anti").drop("__key")
 
 
