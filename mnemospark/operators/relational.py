@@ -119,3 +119,10 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right
     r = right.select(*[(F.col(key) if c == key else F.lit(None).cast(left.schema[c].dataType)).alias(c) for c in cols], F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.col(value).alias("_v"))
     w = Window.partitionBy(key).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
     return l.unionByName(r).withColumn(f"{value}_asof", F.last("_v", ignorenulls=True).over(w)).where("_side = 1").drop("_t", "_side", "_v")
+
+
+def page(df: DataFrame, order: list, size: int, cursor: int = 0) -> DataFrame:
+    """One page of an ordered read, with has_more on every row: one row more than the page is looked at."""
+    rows = df.orderBy(*order).offset(cursor).limit(size + 1)
+    rn = F.row_number().over(Window.orderBy(*order))  # over size + 1 rows
+    return rows.withColumn("_rn", rn).withColumn("has_more", F.max("_rn").over(Window.partitionBy()) > size).where(F.col("_rn") <= size).drop("_rn")
