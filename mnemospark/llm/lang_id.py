@@ -18,18 +18,23 @@ from .common import bounded_sample, held_out, table, through_python
 
 #: Rows sampled for each language, and bytes that a dictionary keeps of them.
 SAMPLE_ROWS, DICTIONARY_BYTES = 400, 160_000
+#: Languages that are learned: the most frequent ones. With DICTIONARY_BYTES it bounds the model that is broadcast.
+MAX_LANGS = 400
 LEVEL, MIN_MARGIN = 3, 0.01
 #: Texts below this many bytes are encoded with so many parts of each dictionary, too.
 SHORT_BYTES, SHORT_PARTS, SHORT_LEVEL = 400, 8, 9
 
 
 def dictionaries(docs: DataFrame, rows: int = SAMPLE_ROWS, size: int = DICTIONARY_BYTES, seed: int = 11) -> dict[str, bytes]:
-    """One raw-content dictionary for each non-null lang of docs, from at most about `rows` texts of each.
+    """One raw-content dictionary for each non-null lang of docs (the MAX_LANGS most frequent), from at most
+    about `rows` texts of each.
 
     Null and empty texts teach nothing. The driver receives rows x languages texts, of which each gives
     8 KB at most, so that one long document cannot fill a dictionary.
     """
     known = docs.where("lang IS NOT NULL AND length(text) > 0").select("doc_id", "lang", "text")
+    frequent = [r[0] for r in known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGS).collect()]
+    known = known.where(F.col("lang").isin(frequent))
     sample = bounded_sample(known, rows, "lang", seed).select("lang", F.xxhash64(F.lit(seed), "doc_id").alias("h"), F.substring("text", 1, 8192).alias("text"))
     texts: dict[str, list] = {}
     for lang, h, text in sample.collect():
