@@ -50,6 +50,16 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a narrow table of keys is broadcast; beyond, it is joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A narrow table behind a checkpoint, marked for broadcast if its counted rows allow it."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without columns that a result column of the same name (in any case) would clash with."""
     low = {n.lower() for n in names}

@@ -16,10 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, table
+from .common import SPACE, cut, small, table
 
-#: Repeated fingerprints (8 bytes each) up to which they are broadcast; beyond, they are joined by a shuffle.
-BROADCAST_ROWS = 500_000
 #: Bits of the remainder within a block.
 REMAINDER_BITS = 40
 
@@ -137,9 +135,7 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     norm = normalised(text)
     narrow = cut(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(norm).alias("fp"), F.sha2(norm, 256).alias("text_sha256"))
                  .withColumn("row", F.monotonically_increasing_id()))
-    repeated = cut(repeated_fingerprints(narrow, narrow.count()).select("fp"))
-    if repeated.count() <= BROADCAST_ROWS:
-        repeated = F.broadcast(repeated)  # a checked size: texts of other documents are then not moved
+    repeated = small(repeated_fingerprints(narrow, narrow.count()).select("fp"))  # texts of other documents are then not moved
     # bytes are compared here: the texts themselves are the grouping key
     texts = docs.select(norm.alias("norm")).withColumn("fp", F.xxhash64("norm")).join(repeated, "fp", "left_semi")
     verified = (texts.groupBy("fp", "norm").agg(F.count("*").alias("n")).where("n > 1")
@@ -162,8 +158,8 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     """docs without the rows that exact_groups drops; columns unchanged."""
     groups = exact_groups(docs).where("group_size > 1")
     groups = cut(groups)
-    gone = groups.where("NOT kept AND NOT (doc_id <=> keep_id)").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    again = groups.where("kept AND twins > 1").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    gone = small(groups.where("NOT kept AND NOT (doc_id <=> keep_id)").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct())
+    again = small(groups.where("kept AND twins > 1").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")))
     keyed = docs.withColumn("__sha256", F.sha2(normalised(), 256))
     same = (F.col("doc_id").eqNullSafe(F.col("__id"))) & (F.col("__sha256") == F.col("__sha"))
     left = keyed.join(gone, same, "left_anti")

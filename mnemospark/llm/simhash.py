@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, table, through_python
+from .common import components, cut, small, table, through_python
 
 SEED = 42
 SEGMENTS = ((32, 32), (0, 32))
@@ -34,32 +34,53 @@ def majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def fingerprint(text: str | None, words_in_shingle: int = 3) -> int:
-    """Of a whole text: A-Z lower-cased, words split at space and U+0009 to U+000D, shingles with repeats
-    joined by a space (fewer words: the whole sequence), XXH64 with seed 42. No word: zero."""
+def shingle_hashes(text: str | None, words_in_shingle: int = 3) -> np.ndarray:
+    """XXH64 (seed 42) of the shingles of a whole text, repeats included: A-Z lower-cased, words split at space
+    and U+0009 to U+000D, joined by a space (fewer words: the whole sequence). No word: empty."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
     last = ends[min(words_in_shingle, len(words)) - 1:].tolist()
     hash_of = xxhash.xxh64_intdigest
-    return majority(np.fromiter((hash_of(line[a:b], SEED) for a, b in zip(starts, last)), np.uint64, len(last)))
+    return np.fromiter((hash_of(line[a:b], SEED) for a, b in zip(starts, last)), np.uint64, len(last))
+
+
+def fingerprint(text: str | None, words_in_shingle: int = 3) -> int:
+    """The bitwise majority of a text's shingle hashes; no word: zero."""
+    hashes = shingle_hashes(text, words_in_shingle)
+    return majority(hashes) if len(hashes) else 0
+
+
+def _remixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of another family for each k; k = 0: as they are."""
+    if not k:
+        return hashes
+    x = hashes ^ np.uint64((0x9E3779B97F4A7C15 * k) % (1 << 64))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, words_in_shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row (doc_id, fp long) per row of docs. Null or empty text: fingerprint zero."""
+def fingerprints(docs: DataFrame, words_in_shingle: int = 3, prints: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row (doc_id, fp long, more array<long>) per row of docs; more: of prints - 1 further hash families.
+    Null or empty text: zeros."""
 
     def work():
         def each(part: pa.RecordBatch) -> dict:
-            fps = np.array([fingerprint(x, words_in_shingle) for x in part.column(1).to_pylist()], np.uint64)
-            return {"doc_id": part.column(0), "fp": fps.view(np.int64)}
+            rows = []
+            for x in part.column(1).to_pylist():
+                h = shingle_hashes(x, words_in_shingle)
+                rows.append([majority(_remixed(h, k)) if len(h) else 0 for k in range(prints)])
+            fps = np.array(rows, np.uint64).reshape(-1, prints).view(np.int64)
+            return {"doc_id": part.column(0), "fp": fps[:, 0], "more": fps[:, 1:].tolist()}
 
         return each
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return through_python(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), work, f"doc_id {kind}, fp long")
+    return through_python(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), work, f"doc_id {kind}, fp long, more array<bigint>")
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -103,8 +124,9 @@ def forest(fps: np.ndarray, probing: np.ndarray, radius: int, block: int = 512)
 
 
 def links(classes: DataFrame, radius: int = 3) -> DataFrame:
-    """classes: distinct fingerprints, column fp (long). Links (a, b) that connect the same components as
-    all pairs of fingerprints at Hamming distance <= radius; radius 3 at most (two segments, balls of 1)."""
+    """classes: distinct fingerprints, columns fp (long), family (int) and node (long). Links (a, b) of nodes
+    that connect the same components as all pairs of fingerprints of one family at Hamming distance <= radius;
+    radius 3 at most (two segments, balls of 1)."""
     if radius > 3:
         raise ValueError("two segments with balls of radius 1 cover a radius of 3 at most")
     rows = []
@@ -113,39 +135,39 @@ def links(classes: DataFrame, radius: int = 3) -> DataFrame:
         ball = F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.shiftright(value, 0).bitwiseAND(_bit(j)) != 0)
         probes = F.transform(ball, lambda j: F.struct(value.bitwiseXOR(_bit(j)).alias("key"), F.lit(True).alias("probe")))
         entry = F.array(F.struct(value.alias("key"), F.lit(False).alias("probe")))
-        rows.append(F.transform(F.concat(entry, probes), lambda x: F.struct((x["key"] * 2 + k).alias("key"), x["probe"].alias("probe"))))
-    met = classes.select("fp", F.inline(F.concat(*rows)))
+        rows.append(F.transform(F.concat(entry, probes), lambda x: F.struct(((F.col("family") * 2 + k) * (1 << 32) + x["key"]).alias("key"), x["probe"].alias("probe"))))
+    met = classes.select("fp", "node", F.inline(F.concat(*rows)))
     dealt = met.repartition("key").sortWithinPartitions("key", "probe")
 
     def link(batches):
         held: list[tuple] = []  # keys, fingerprints, probe or entry: of the buckets not yet solved
 
-        def solve(key: np.ndarray, fp: np.ndarray, probe: np.ndarray):
+        def solve(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, node: np.ndarray):
             cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
             size = np.diff(cuts)
             pairs: list[tuple[int, int]] = []
             first = cuts[:-1]
             two = first[(size == 2) & ~probe[first]]  # the usual bucket, all at once
             near = two[_popcount(fp[two] ^ fp[two + 1]) <= radius]
-            a, b = fp[near], fp[near + 1]
+            a, b = node[near], node[near + 1]
             for at, n in zip(first[size > 2], size[size > 2]):
                 if not probe[at]:
                     pairs += [(at + i, at + j) for i, j in forest(fp[at:at + n], probe[at:at + n], radius)]
             more = np.array(pairs, np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, fp[more[:, 0]]]).view(np.int64)),
-                                               pa.array(np.concatenate([b, fp[more[:, 1]]]).view(np.int64))], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, node[more[:, 0]]])),
+                                               pa.array(np.concatenate([b, node[more[:, 1]]]))], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            fp, key, probe = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("fp", "key", "probe"))
-            held.append((key, fp.astype(np.int64).view(np.uint64), probe.astype(bool)))
+            fp, key, probe, node = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("fp", "key", "probe", "node"))
+            held.append((key, fp.astype(np.int64).view(np.uint64), probe.astype(bool), node))
             if key[-1] == held[0][0][0]:  # one bucket goes on
                 continue
-            key, fp, probe = (np.concatenate(x) for x in zip(*held))
+            key, fp, probe, node = (np.concatenate(x) for x in zip(*held))
             done = int(np.searchsorted(key, key[-1], "left"))  # the last bucket may go on in the next batch
-            yield solve(key[:done], fp[:done], probe[:done])
-            held = [(key[done:], fp[done:], probe[done:])]
+            yield solve(key[:done], fp[:done], probe[:done], node[:done])
+            held = [(key[done:], fp[done:], probe[done:], node[done:])]
         if held:
             yield solve(*(np.concatenate(x) for x in zip(*held)))
 
@@ -156,16 +178,25 @@ def _bit(j):
     return F.expr("1L") * F.pow(F.lit(2.0), j).cast("long")
 
 
-def near_groups(docs: DataFrame, words_in_shingle: int = 3, radius: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, words_in_shingle: int = 3, radius: int = 3, prints: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row (doc_id, fp, component_id) per row of docs; component_id is the smallest doc_id that links
-    of fingerprints at distance <= radius reach (nulls last: null only if no row reached has a doc_id).
+    of fingerprints at distance <= radius reach (nulls last: null only if no row reached has a doc_id). With
+    more than one print, documents link if the fingerprints of any hash family do.
 
     Null, empty and blank texts have fingerprint zero and link like any other. Repeated rows share a
     component. An empty table gives an empty result. Extra columns are not read.
     """
-    each = cut(fingerprints(docs, words_in_shingle, doc_id, text))
+    each = cut(fingerprints(docs, words_in_shingle, prints, doc_id, text))
     classes = cut(each.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(classes, radius))
+    table_ = classes.select("fp", F.lit(0).cast("long").alias("family"), F.col("fp").alias("node"))
+    same = None
+    if prints > 1:
+        further = each.select(F.col("fp").alias("node"), F.posexplode("more").alias("pos", "fp")).select("node", (F.col("pos") + 1).cast("long").alias("family"), "fp").distinct()
+        first = further.groupBy("family", "fp").agg(F.min("node").alias("rep"))
+        same = further.join(first, ["family", "fp"]).where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+        table_ = table_.unionByName(first.select("fp", "family", F.col("rep").alias("node")))
+    found = links(table_, radius)
+    roots = components(found if same is None else found.union(same))
     linked = roots.join(classes.withColumnRenamed("fp", "node"), "node")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = (classes.join(linked.select(F.col("node").alias("fp"), "root"), "fp", "left").join(least, "root", "left")
@@ -173,11 +204,13 @@ def near_groups(docs: DataFrame, words_in_shingle: int = 3, radius: int = 3, doc
     return each.join(of_class, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, words_in_shingle: int = 5, radius: int = 3) -> DataFrame:
+def drop_near_copies(docs: DataFrame, words_in_shingle: int = 5, radius: int = 3, prints: int = 4) -> DataFrame:
     """docs with one document of each group of near copies, the one with the smallest doc_id. Shingles of
-    five words; fingerprints within 3 of 64 bits, which is a similarity of well over 0.8. Rows that share
-    that doc_id all stay (exact deduplication comes before), and so do rows without a doc_id."""
-    gone = cut(near_groups(docs, words_in_shingle, radius).where("doc_id <> component_id").select("doc_id").distinct())
+    five words; four fingerprints of independent hash families, of which one within 3 of 64 bits links: what
+    is linked has a similarity of well over 0.8, and a copy of similarity s is missed less often than with
+    one. Rows that share that doc_id all stay (exact deduplication comes before), and so do rows without a
+    doc_id."""
+    gone = small(near_groups(docs, words_in_shingle, radius, prints).where("doc_id <> component_id").select("doc_id").distinct())
     return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
