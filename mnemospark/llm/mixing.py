@@ -23,6 +23,8 @@ from .common import cut, sliced, table
 BLOCK_WORDS, SHARD_SLOTS, SLOTS_PER_ROW = 32, 8192, 1 << 16
 SHARE, CAP, WEIGHTS = 1.5, 2.0, (3, 1, 2)
 ROWS_PER_BUCKET = 5_000
+#: Sources (one short row each) up to which their table is broadcast.
+BROADCAST_SOURCES = 100_000
 _SPACE = "\\x20\\x09-\\x0D"
 
 
@@ -86,7 +88,9 @@ class Mix:
         rows = [(k, s, self.sizes[s], self.targets[s]) for k, s in enumerate(self.order)]
         sources = spark.createDataFrame(rows, "sid int, source string, source_size long, target double")
         buckets = max(1, sum(r["rows"] for r in found) // ROWS_PER_BUCKET)
-        keyed = (words.withColumn("source", F.col("source").cast("string")).join(F.broadcast(sources).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+        if len(rows) <= BROADCAST_SOURCES:
+            sources = F.broadcast(sources)
+        keyed = (words.withColumn("source", F.col("source").cast("string")).join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
                  .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(buckets))))
         # running sums in two steps: within buckets, then over the buckets of a source
         local = F.sum("size").over(Window.partitionBy("sid", "bucket").orderBy("doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, 0))
@@ -155,8 +159,8 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     doc_id and text count as often as they come and give one row per turn with the parts of all.
     """
     mix = Mix(docs)
-    parts = mix.mixture().groupBy("doc_id", "text_hash", "first", "turn").agg(F.array_sort(F.collect_list(F.struct("from_word", "n_words"))).alias("parts"))
-    parts = cut(parts.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "turn", "parts"))
+    parts = mix.mixture().groupBy("doc_id", "text_hash", "first", "turn").agg(F.array_sort(F.collect_list(F.struct("from_word", "n_words"))).alias("__parts"))
+    parts = cut(parts.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__parts"))
     keyed = docs.withColumn("__text_hash", F.xxhash64("text"))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
     repeated = mix.rows.groupBy("doc_id", "text_hash").count().where("count > 1")
@@ -169,7 +173,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in sliced(batches):
             texts = []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("parts").to_pylist()):
+            for text, found in zip(batch.column("text").to_pylist(), batch.column("__parts").to_pylist()):
                 runs: list[list[int]] = []
                 for p in found:
                     a, b = p["from_word"], p["from_word"] + p["n_words"]
@@ -178,11 +182,11 @@ def mix_documents(docs: DataFrame) -> DataFrame:
                     else:
                         runs.append([a, b])
                 texts.append(word_runs(text, runs))
-            cols = [pa.array(texts, pa.string()) if c == "text" else pa.array([len(t) for t in texts], pa.int64()) if c == "n_chars"
+            cols = [pa.array(texts, pa.string()) if c == "text" else pa.array([len(t) for t in texts], batch.column(c).type) if c == "n_chars"
                     else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return joined.select(*names, "parts").mapInArrow(run, schema)
+    return joined.select(*[F.col(f"`{c}`") for c in names], "__parts").mapInArrow(run, schema)
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
