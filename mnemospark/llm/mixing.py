@@ -22,7 +22,7 @@ from .common import cut, sliced, table
 
 BLOCK_WORDS, SHARD_SLOTS, SLOTS_PER_ROW = 32, 8192, 1 << 16
 SHARE, CAP, WEIGHTS = 1.5, 2.0, (3, 1, 2)
-ROWS_PER_BUCKET = 5_000
+ROWS_PER_BUCKET = 2_000
 #: Sources (one short row each) up to which their table is broadcast.
 BROADCAST_SOURCES = 100_000
 _SPACE = "\\x20\\x09-\\x0D"
@@ -85,20 +85,20 @@ class Mix:
         self.order = list(self.targets)
         self.n_blocks = [-(-self.sizes[s] // block) for s in self.order]
         self.n_slots = [min(round(self.targets[s] / block), int(cap * n)) for s, n in zip(self.order, self.n_blocks)]
-        rows = [(k, s, self.sizes[s], self.targets[s]) for k, s in enumerate(self.order)]
-        sources = spark.createDataFrame(rows, "sid int, source string, source_size long, target double")
-        buckets = max(1, sum(r["rows"] for r in found) // ROWS_PER_BUCKET)
+        own = {r["source"]: max(1, r["rows"] // ROWS_PER_BUCKET) for r in found}  # a hot source has more buckets, not larger ones
+        rows = [(k, s, self.sizes[s], self.targets[s], own[s]) for k, s in enumerate(self.order)]
+        sources = spark.createDataFrame(rows, "sid int, source string, source_size long, target double, n_buckets long")
         if len(rows) <= BROADCAST_SOURCES:
             sources = F.broadcast(sources)
         keyed = (words.withColumn("source", F.col("source").cast("string")).join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-                 .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(buckets))))
+                 .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_hash"), F.col("n_buckets"))))
         # running sums in two steps: within buckets, then over the buckets of a source
         local = F.sum("size").over(Window.partitionBy("sid", "bucket").orderBy("doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, 0))
         ends = keyed.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
         before = F.sum("n").over(Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
         starts = ends.select("sid", "bucket", before.alias("before"))
         self.rows = cut(keyed.withColumn("local", local).join(starts, ["sid", "bucket"])
-                        .withColumn("first", F.col("before") + F.col("local") - F.col("size")).drop("bucket", "local", "before"))
+                        .withColumn("first", F.col("before") + F.col("local") - F.col("size")).drop("bucket", "n_buckets", "local", "before"))
 
     def fragments(self) -> DataFrame:
         """Blocks as the parts of documents that they hold: sid, block, first (of the document in its
