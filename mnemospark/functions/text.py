@@ -105,8 +105,21 @@ def _like(x: Column, pattern: str, flags: str = "(?U)") -> Column:
 def fact_types(content: str) -> Column:
     """The types of fact that a text states; an observation if none and it has 50 characters or more."""
     c = F.col(content)
-    tests = (("promise", _like(F.lower(c), PROMISE)), ("metric", _like(c, METRIC)), ("decision", _like(c, DECISION, "(?iU)")),
-             ("task", _like(c, TASK, "(?iU)")), ("status", _like(c, STATUS, "(?iU)")), ("requirement", _like(c, REQUIREMENT, "(?iU)")))
+    low = F.lower(c)
+
+    def gate(x: Column, words: str) -> Column:
+        """Any of the substrings, without which a pattern cannot match: far cheaper than a Unicode pattern."""
+        test = F.lit(False)
+        for w in words.split("|"):
+            test = test | x.contains(w)
+        return test
+
+    tests = (("promise", gate(low, "i'll|will|going to") & _like(low, PROMISE)),
+             ("metric", gate(c, "ARR|MRR|NRR|revenue|churn|ROI|LTV|CAC|NPS|EBITDA|$") & _like(c, METRIC)),
+             ("decision", gate(low, "decision|решен|decided|approved|rejected|agreed|signed|confirmed") & _like(c, DECISION, "(?iU)")),
+             ("task", gate(low, "task:|задача:|todo|action item|assigned to|needs to|must|should") & _like(c, TASK, "(?iU)")),
+             ("status", gate(low, "status|update|completed|done|in progress|blocked|stalled|заглохла|готово|подписан") & _like(c, STATUS, "(?iU)")),
+             ("requirement", (gate(low, "req|issue") | c.rlike(r"[0-9]{5}") | c.rlike(r"[^\x00-\x7F]")) & _like(c, REQUIREMENT, "(?iU)")))
     found = F.array_compact(F.array(*[F.when(t, F.lit(name)) for name, t in tests]))
     observed = F.when(F.char_length(F.trim(c)) >= OBSERVATION_CHARS, F.array(F.lit("observation"))).otherwise(F.array().cast("array<string>"))
     return F.when(F.size(found) > 0, found).otherwise(observed)

@@ -21,48 +21,79 @@ def query_terms(query: str) -> list[str]:
     return sorted(set(re.findall(r"[a-z]+|[0-9]+", query.lower())))
 
 
-def _counted(df: DataFrame, words: Column, terms: list[str]) -> DataFrame:
-    """df with _dl (tokens) and _tf (counts of the terms)."""
-    with_words = df.withColumn("_w", words)
+def _times(low: Column, term: str) -> Column:
+    """How often a lower-case text holds a term as a whole token."""
+    kind = "0-9" if term.isdigit() else "a-z"
+    return F.when(low.contains(term), F.regexp_count(low, F.lit(f"(?<![{kind}]){term}(?![{kind}])"))).otherwise(F.lit(0))
 
-    def times(term: str) -> Column:
-        return F.size(F.filter("_w", lambda w: w == F.lit(term)))
 
-    tf = F.array(*[times(t) for t in terms])
-    return with_words.select("*", F.size("_w").alias("_dl"), tf.alias("_tf")).drop("_w")
+def _counted(df: DataFrame, field: Column, terms: list[str], suffix: str = "") -> DataFrame:
+    """df with _dl (tokens of field) and _tf (counts of the terms), made without an array of tokens."""
+    low = F.lower(field)
+    return df.withColumns({f"_dl{suffix}": F.regexp_count(low, F.lit("[a-z]+|[0-9]+")), f"_tf{suffix}": F.array(*[_times(low, t) for t in terms])})
 
 
-def bm25(df: DataFrame, words: Column, terms: list[str], all_terms: bool = True, score: str = "ft_score") -> DataFrame:
-    """Rows that hold all terms (or any) with their score. Statistics cover every row of df."""
+def _statistics(counted: DataFrame, n: int, suffix: str = "") -> list[Column]:
+    return [F.avg(f"_dl{suffix}").alias(f"_avg{suffix}"), *[F.sum((F.col(f"_tf{suffix}")[i] > 0).cast("long")).alias(f"_df{suffix}{i}") for i in range(n)]]
+
+
+def _parts(n: int, suffix: str = "") -> list[Column]:
+    """The score that each term adds."""
+    out = []
+    for i in range(n):
+        df_i = F.col(f"_df{suffix}{i}")
+        idf = F.log1p((F.col("_n") - df_i + F.lit(0.5)) / (df_i + F.lit(0.5)))
+        tf = F.col(f"_tf{suffix}")[i].cast("double")
+        out.append(idf * tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.coalesce(F.try_divide(F.col(f"_dl{suffix}").cast("double"), F.col(f"_avg{suffix}")), F.lit(0.0)))))
+    return out
+
+
+def _sum(parts: list[Column]) -> Column:
+    total = F.lit(0.0)
+    for p in parts:
+        total = total + p
+    return total
+
+
+def bm25(df: DataFrame, field: Column, terms: list[str], all_terms: bool = True, score: str = "ft_score") -> DataFrame:
+    """Rows whose field holds all terms (or any) with their score. Statistics cover every row of df."""
     if not terms:
         return df.withColumn(score, F.lit(0.0)).limit(0)
-    counted = _counted(df, words, terms)
     n = len(terms)
-    stats = counted.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg"), *[F.sum((F.col("_tf")[i] > 0).cast("long")).alias(f"_df{i}") for i in range(n)])
-    joined = counted.join(F.broadcast(stats))  # one row
-    parts = F.lit(0.0)
-    for i in range(n):
-        idf = F.log1p((F.col("_n") - F.col(f"_df{i}") + F.lit(0.5)) / (F.col(f"_df{i}") + F.lit(0.5)))
-        tf = F.col("_tf")[i].cast("double")
-        parts = parts + idf * tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("_dl") / F.col("_avg")))
+    counted = _counted(df, field, terms)
+    stats = counted.agg(F.count("*").alias("_n"), *_statistics(counted, n))
     hit = F.forall("_tf", lambda x: x > 0) if all_terms else F.exists("_tf", lambda x: x > 0)
-    return joined.where(hit).withColumn(score, parts).select(*df.columns, score)
+    return counted.where(hit).join(F.broadcast(stats)).withColumn(score, _sum(_parts(n))).select(*df.columns, score)  # stats: one row
 
 
-def search_facts(facts: DataFrame, active: Column, query: str, limit: int, all_terms: bool = True) -> DataFrame:
-    """Facts matched in content or index keys, best first; both scores add up. `active` filters after the
-    statistics, which cover the whole table."""
+def search_facts(facts: DataFrame, active: Column, query: str, limit: int, fallback: bool = True) -> DataFrame:
+    """The best facts whose content or index keys hold every term (both scores add up); if there is none and the
+    query has several terms, those that hold single terms, each at its first term.
+
+    One scan gathers the statistics of both fields over the whole table, a second one scores: a row goes to the
+    leg of all terms and to those of single terms, and each task keeps `limit` rows of a leg.
+    """
     terms = query_terms(query)
-    keys = text.tokens(F.array_join("index_keys", " "))
-    own = bm25(facts, text.tokens("content"), terms, all_terms, "_s1")
-    named = bm25(facts, keys, terms, all_terms, "_s2").select("fact_id", "_s2")
-    content_only = own.withColumn("_s2", F.lit(None).cast("double"))
-    key_only = named.join(facts, "fact_id").withColumn("_s1", F.lit(None).cast("double"))
-    both = content_only.unionByName(key_only.select(*content_only.columns))
-    cols = [c for c in facts.columns if c != "fact_id"]
-    merged = both.groupBy("fact_id").agg(F.first(F.struct(*cols)).alias("r"), (F.coalesce(F.max("_s1"), F.lit(0.0)) + F.coalesce(F.max("_s2"), F.lit(0.0))).alias("ft_score"))
-    hits = merged.select("fact_id", "r.*", "ft_score").where(active & (F.col("ft_score") >= 0))
-    return hits.orderBy(F.col("ft_score").desc(), F.col("t_valid").desc(), "fact_id").limit(limit)
+    n = len(terms)
+    if not n:
+        return facts.withColumn("ft_score", F.lit(0.0)).limit(0)
+    counted = _counted(_counted(facts, F.col("content"), terms), F.array_join("index_keys", " "), terms, "k")
+    stats = counted.agg(F.count("*").alias("_n"), *_statistics(counted, n), *_statistics(counted, n, "k"))
+    some = F.exists("_tf", lambda x: x > 0) | F.exists("_tfk", lambda x: x > 0)
+    scored = counted.where(active & some).join(F.broadcast(stats))  # stats: one row
+    own, keys = _parts(n), [F.coalesce(p, F.lit(0.0)) for p in _parts(n, "k")]
+    in_own, in_keys = F.forall("_tf", lambda x: x > 0), F.forall("_tfk", lambda x: x > 0)
+    whole = F.when(in_own, _sum(own)).otherwise(F.lit(0.0)) + F.when(in_keys, _sum(keys)).otherwise(F.lit(0.0))
+    legs = [F.when(in_own | in_keys, F.struct(F.lit(-1).alias("leg"), whole.alias("ft_score")))]
+    if fallback and n > 1:
+        legs += [F.when((F.col("_tf")[i] > 0) | (F.col("_tfk")[i] > 0), F.struct(F.lit(i).alias("leg"), (own[i] + keys[i]).alias("ft_score"))) for i in range(n)]
+    rows = scored.select(*facts.columns, F.inline(F.array_compact(F.array(*legs))))
+    order = [F.col("ft_score").desc(), F.col("t_valid").desc(), F.col("fact_id")]
+    few = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("leg").orderBy(*order))).where(F.col("_rn") <= limit)
+    first = F.row_number().over(Window.partitionBy("fact_id").orderBy("leg", "_rn"))
+    best = F.min("leg").over(Window.partitionBy())  # over limit x (terms + 1) rows at most
+    chosen = few.withColumns({"_first": first, "_best": best}).where((F.col("_first") == 1) & ((F.col("_best") >= 0) | (F.col("leg") < 0)))
+    return chosen.orderBy(*order).limit(limit).select(*facts.columns, "ft_score")
 
 
 def with_fallback(primary: DataFrame, each_term: list[DataFrame], key: str, order: list[Column]) -> DataFrame:

@@ -240,20 +240,20 @@ def _bm25_sql(table: str, key: str, field: str, terms: list[str], need_all: bool
 
 @query(f"WITH {V.EPISODE_SQL}, s AS ({_bm25_sql('episode', 'episode_id', 'content', ['that', 'with'])}) SELECT episode_id, round(ft_score, 6) AS ft_score FROM s")
 def bm25_all_terms_match(spark, d):
-    return lexical.bm25(V.episodes(spark, d), text.tokens("content"), ["that", "with"]).select("episode_id", F.round("ft_score", 6).alias("ft_score"))
+    return lexical.bm25(V.episodes(spark, d), F.col("content"), ["that", "with"]).select("episode_id", F.round("ft_score", 6).alias("ft_score"))
 
 
 @query(f"""WITH {V.EPISODE_SQL}, s AS ({_bm25_sql('episode', 'episode_id', 'content', ['that', 'with'])})
 SELECT episode_id, round(ft_score, 6) AS ft_score FROM (SELECT episode_id, ft_score, t_ref FROM s JOIN episode USING (episode_id) ORDER BY round(ft_score, 9) DESC, t_ref DESC, episode_id LIMIT 20)""")
 def bm25_topk_documents(spark, d):
-    hits = lexical.bm25(V.episodes(spark, d), text.tokens("content"), ["that", "with"])
+    hits = lexical.bm25(V.episodes(spark, d), F.col("content"), ["that", "with"])
     return hits.orderBy(F.round("ft_score", 9).desc(), F.col("t_ref").desc(), "episode_id").limit(20).select("episode_id", F.round("ft_score", 6).alias("ft_score"))
 
 
 @query(f"""WITH {V.EPISODE_SQL}, a AS (SELECT episode_id, 0 AS k, ft_score FROM ({_bm25_sql('episode', 'episode_id', 'content', ['that'])}) UNION ALL SELECT episode_id, 1, ft_score FROM ({_bm25_sql('episode', 'episode_id', 'content', ['zzzz'])})),
 r AS (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY k, ft_score DESC) AS rn FROM a) SELECT episode_id, round(ft_score, 6) AS ft_score FROM r WHERE rn = 1""")
 def bm25_term_fallback(spark, d):
-    e, w = V.episodes(spark, d), text.tokens("content")
+    e, w = V.episodes(spark, d), F.col("content")
     primary = lexical.bm25(e, w, ["that", "zzzz"])
     out = lexical.with_fallback(primary, [lexical.bm25(e, w, [t]) for t in ("that", "zzzz")], "episode_id", [F.col("ft_score").desc()])
     return out.select("episode_id", F.round("ft_score", 6).alias("ft_score"))
@@ -264,7 +264,7 @@ SELECT episode_id, round(ft_score, 6) AS ft_score FROM (SELECT episode_id, ft_sc
 def episode_content_fallback(spark, d):
     e = V.episodes(spark, d)
     facts = e.where("doc_id % 5 = 0").select(F.col("episode_id").alias("source_episode"))
-    hits = relational.episodes_without_facts(lexical.bm25(e, text.tokens("content"), ["that", "with"]).where("scope = 'org'"), facts)
+    hits = relational.episodes_without_facts(lexical.bm25(e, F.col("content"), ["that", "with"]).where("scope = 'org'"), facts)
     return hits.orderBy(F.round("ft_score", 9).desc(), F.col("t_ref").desc(), "episode_id").limit(5).select("episode_id", F.round("ft_score", 6).alias("ft_score"))
 
 

@@ -51,11 +51,7 @@ def lexical_leg(facts: DataFrame, active, query: str, budget: int) -> DataFrame:
     terms = lexical.query_terms(query)
     if not terms:
         return facts.where(active).withColumn("ft_score", F.lit(0.0)).orderBy(*_recency()).limit(budget)
-    hits = lexical.search_facts(facts, active, query, max(CANDIDATES * budget, 50))
-    if len(terms) > 1:
-        each = [lexical.search_facts(facts, active, t, max(CANDIDATES * budget, 50)) for t in terms]
-        hits = lexical.with_fallback(hits, each, "fact_id", order)
-    return hits.orderBy(*order).limit(budget)
+    return lexical.search_facts(facts, active, query, max(CANDIDATES * budget, 50)).orderBy(*order).limit(budget)
 
 
 def assemble_context(tables: MemoryTables, r: ContextRequest) -> DataFrame:
@@ -81,7 +77,7 @@ def assemble_context(tables: MemoryTables, r: ContextRequest) -> DataFrame:
             more = lexical_leg(facts, active, rewrite, budget).select(*core).join(used, "fact_id", "left_anti")
             legs = legs.unionByName(fusion.leg(more, "lexical", order, F.lit(f"matched rewrite {rewrite}")))
         if tables.communities is not None:
-            hit = lexical.bm25(tables.communities, text.tokens("summary"), lexical.query_terms(query), False).orderBy(F.col("ft_score").desc(), "community_id").limit(25)
+            hit = lexical.bm25(tables.communities, F.col("summary"), lexical.query_terms(query), False).orderBy(F.col("ft_score").desc(), "community_id").limit(25)
             members = hit.select("community_id", F.explode("member_entities").alias("entity_id"), F.col("ft_score").alias("_c"))
             linked = (facts.where(active).select(*[c for c in core if c != "ft_score"], F.explode("entity_links").alias("entity_id")).join(members, "entity_id")
                       .groupBy("fact_id").agg(F.first(F.struct("fact_type", "content", "source_episode", "t_valid", "confidence")).alias("r"), F.max("_c").alias("_c"))
@@ -122,7 +118,7 @@ def episode_fallback(tables: MemoryTables, r: ContextRequest, taken: DataFrame,
         return taken.limit(0)
     terms = lexical.query_terms(query)
     e = tables.episodes.where((F.col("scope") == r.scope) & (F.col("t_ref") <= temporal.ts(r.as_of)))
-    hits = lexical.bm25(e, text.tokens("content"), terms)
+    hits = lexical.bm25(e, F.col("content"), terms)
     hits = relational.episodes_without_facts(hits, tables.facts).orderBy(F.col("ft_score").desc(), F.col("t_ref").desc(), "episode_id").limit(budget)
     from pyspark.sql import Window
 
