@@ -444,16 +444,48 @@ def communities_rebuild(spark, d):
     return graphs.communities(V.graph(spark, d)).select("community_id", F.size("member_entities").alias("n_members"), "summary")
 
 
-@query(f"""WITH RECURSIVE {V.GRAPH_SQL}, {_BOTH}, walk AS (SELECT s AS node, s AS label FROM steps UNION SELECT t, label FROM walk JOIN steps ON s = node), c AS (SELECT node, min(label) AS component FROM walk GROUP BY node),
-g AS (SELECT list_sort(list(node)) AS m FROM c GROUP BY component HAVING count(*) >= 2), i AS (SELECT 'community:' || sha256(array_to_string(m, '|'))[1:24] AS community_id, m FROM g)
-SELECT community_id, CASE WHEN len(m) % 2 = 0 THEN 'drifted' ELSE 'too_small' END AS reason FROM i""")
-def lifecycle_stale_communities(spark, d):
-    now = graphs.cut(graphs.communities(V.graph(spark, d)))
+def _stale(g):
+    """Stale ones of the communities of a graph, each stored with a flaw that follows from its size."""
+    now = graphs.cut(graphs.communities(g))
     n = F.size("member_entities")
     stored = now.withColumn("member_entities", F.when(n % 2 == 0, F.slice("member_entities", 1, n - 1)).otherwise(F.slice("member_entities", 1, 1)))
     stored = stored.withColumn("member_entities", F.when((F.size("member_entities") < 2) & (n % 2 == 1) | (F.size("member_entities") >= 2), F.col("member_entities")).otherwise(F.array(F.lit("x"), F.lit("y"))))
     fixed = now.select("community_id", (F.size("member_entities") % 2 == 0).alias("even")).join(stored, "community_id").withColumn("member_entities", F.when(F.col("even") & (F.size("member_entities") < 2), F.array(F.lit("x"), F.lit("y"))).otherwise(F.col("member_entities"))).drop("even")
-    return graphs.stale_communities(fixed, V.graph(spark, d))
+    return graphs.stale_communities(fixed, g)
+
+
+@query(f"""WITH RECURSIVE {V.GRAPH_SQL}, {_BOTH}, walk AS (SELECT s AS node, s AS label FROM steps UNION SELECT t, label FROM walk JOIN steps ON s = node), c AS (SELECT node, min(label) AS component FROM walk GROUP BY node),
+g AS (SELECT list_sort(list(node)) AS m FROM c GROUP BY component HAVING count(*) >= 2), i AS (SELECT 'community:' || sha256(array_to_string(m, '|'))[1:24] AS community_id, m FROM g)
+SELECT community_id, CASE WHEN len(m) % 2 = 0 THEN 'drifted' ELSE 'too_small' END AS reason FROM i""")
+def lifecycle_stale_communities(spark, d):
+    return _stale(V.graph(spark, d))
+
+
+# The five above follow SQL over every 200th order; these run over every order and part and have no SQL, since
+# the recursive form walks a label from every node.
+@query()
+def graph_neighbors_2hop_whole(spark, d):
+    return graphs.within_hops(V.whole_graph(spark, d), spark.createDataFrame([("entity:o:200",)], "node string"), 2, "both").select("node", "distance")
+
+
+@query()
+def graph_shortest_path_lengths_whole(spark, d):
+    return graphs.distances(V.whole_graph(spark, d), spark.createDataFrame([("entity:o:200",)], "node string"), 4).select("node", "distance")
+
+
+@query()
+def connected_components_whole(spark, d):
+    return graphs.components(V.whole_graph(spark, d))
+
+
+@query()
+def communities_rebuild_whole(spark, d):
+    return graphs.communities(V.whole_graph(spark, d)).select("community_id", F.size("member_entities").alias("n_members"), "summary")
+
+
+@query()
+def lifecycle_stale_communities_whole(spark, d):
+    return _stale(V.whole_graph(spark, d))
 
 
 @query(f"""WITH RECURSIVE rel AS (SELECT 'entity:nation:' || n_name AS out_id, 'entity:supplier:' || s_name AS in_id FROM supplier JOIN nation ON s_nationkey = n_nationkey),
