@@ -204,13 +204,14 @@ def near_groups(docs: DataFrame, words_in_shingle: int = 3, radius: int = 3, pri
     return each.join(of_class, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, words_in_shingle: int = 5, radius: int = 3, prints: int = 4) -> DataFrame:
-    """docs with one document of each group of near copies, the one with the smallest doc_id. Shingles of
-    five words; four fingerprints of independent hash families, of which one within 3 of 64 bits links: what
-    is linked has a similarity of well over 0.8, and a copy of similarity s is missed less often than with
-    one. Rows that share that doc_id all stay (exact deduplication comes before), and so do rows without a
-    doc_id."""
-    gone = small(near_groups(docs, words_in_shingle, radius, prints).where("doc_id <> component_id").select("doc_id").distinct())
+def drop_near_copies(docs: DataFrame, words_in_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one document of each group of near copies, the one with the smallest doc_id. Near copies have
+    a Jaccard similarity of word shingles of at least similarity, or are joined by a chain of such pairs; a
+    fingerprint misses most pairs near 0.8, so they are found by near_copies and verified. Rows that share that
+    doc_id all stay (exact deduplication comes before), and so do rows without a doc_id."""
+    from .near_copies import similar_groups
+
+    gone = small(similar_groups(docs, words_in_shingle, similarity).where("doc_id <> component_id").select("doc_id").distinct())
     return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
