@@ -16,24 +16,25 @@ from pyspark.sql import DataFrame
 
 from .common import table, through_python
 
-#: Label, identifiers, name, keyword, address. In names, ~ stands for white space.
+#: Label, identifiers, name, keywords, address. In names, ~ stands for white space. Every text
+#: that a name matches holds one of its keywords; none spans a ~.
 LICENSES = (
     ("mit", "mit", r"(?:the~)?(?:mit|expat)~licen[cs]e", "licen", "opensource.org/licenses/mit"),
     ("mit-0", "mit-0", r"mit~no~attribution", "attribution", "opensource.org/licenses/mit-0"),
     ("apache-2.0", "apache-2.0", r"apache~(?:software~)?licen[cs]e,?~(?:version~|v)?2(?:\.0)?", "apache", "apache.org/licenses/license-2.0"),
     ("apache-1.1", "apache-1.1", r"apache~(?:software~)?licen[cs]e,?~(?:version~|v)?1\.1", "apache", "apache.org/licenses/license-1.1"),
     ("apache-1.0", "apache-1.0", r"apache~(?:software~)?licen[cs]e,?~(?:version~|v)?1\.0", "apache", "apache.org/licenses/license-1.0"),
-    ("gpl-2.0", "gpl-2.0(?:-only|-or-later|\\+)?", r"(?:gnu~)?(?:general~public~licen[cs]e|gpl),?~?(?:version~|v)?2(?:\.0)?", "g", "gnu.org/licenses/old-licenses/gpl-2.0"),
-    ("gpl-3.0", "gpl-3.0(?:-only|-or-later|\\+)?", r"(?:gnu~)?(?:general~public~licen[cs]e|gpl),?~?(?:version~|v)?3(?:\.0)?", "g", "gnu.org/licenses/gpl-3.0"),
-    ("gpl-1.0", "gpl-1.0(?:-only|-or-later|\\+)?", r"(?:gnu~)?(?:general~public~licen[cs]e|gpl),?~?(?:version~|v)?1(?:\.0)?", "g", "gnu.org/licenses/old-licenses/gpl-1.0"),
-    ("lgpl-2.0", "lgpl-2.0(?:-only|-or-later|\\+)?", r"(?:gnu~)?(?:library~general~public~licen[cs]e|lgpl),?~?(?:version~|v)?2(?:\.0)?", "l", "gnu.org/licenses/old-licenses/lgpl-2.0"),
-    ("lgpl-2.1", "lgpl-2.1(?:-only|-or-later|\\+)?", r"(?:gnu~)?(?:lesser~general~public~licen[cs]e|lgpl),?~?(?:version~|v)?2\.1", "l", "gnu.org/licenses/old-licenses/lgpl-2.1"),
-    ("lgpl-3.0", "lgpl-3.0(?:-only|-or-later|\\+)?", r"(?:gnu~)?(?:lesser~general~public~licen[cs]e|lgpl),?~?(?:version~|v)?3(?:\.0)?", "l", "gnu.org/licenses/lgpl-3.0"),
-    ("agpl-3.0", "agpl-3.0(?:-only|-or-later|\\+)?", r"(?:gnu~)?(?:affero~general~public~licen[cs]e|agpl),?~?(?:version~|v)?3?(?:\.0)?", "a", "gnu.org/licenses/agpl-3.0"),
+    ("gpl-2.0", "gpl-2.0(?:-only|-or-later|\\+)?", r"(?:gnu~)?(?:general~public~licen[cs]e|gpl),?~?(?:version~|v)?2(?:\.0)?", "general|gpl", "gnu.org/licenses/old-licenses/gpl-2.0"),
+    ("gpl-3.0", "gpl-3.0(?:-only|-or-later|\\+)?", r"(?:gnu~)?(?:general~public~licen[cs]e|gpl),?~?(?:version~|v)?3(?:\.0)?", "general|gpl", "gnu.org/licenses/gpl-3.0"),
+    ("gpl-1.0", "gpl-1.0(?:-only|-or-later|\\+)?", r"(?:gnu~)?(?:general~public~licen[cs]e|gpl),?~?(?:version~|v)?1(?:\.0)?", "general|gpl", "gnu.org/licenses/old-licenses/gpl-1.0"),
+    ("lgpl-2.0", "lgpl-2.0(?:-only|-or-later|\\+)?", r"(?:gnu~)?(?:library~general~public~licen[cs]e|lgpl),?~?(?:version~|v)?2(?:\.0)?", "library|lgpl", "gnu.org/licenses/old-licenses/lgpl-2.0"),
+    ("lgpl-2.1", "lgpl-2.1(?:-only|-or-later|\\+)?", r"(?:gnu~)?(?:lesser~general~public~licen[cs]e|lgpl),?~?(?:version~|v)?2\.1", "lesser|lgpl", "gnu.org/licenses/old-licenses/lgpl-2.1"),
+    ("lgpl-3.0", "lgpl-3.0(?:-only|-or-later|\\+)?", r"(?:gnu~)?(?:lesser~general~public~licen[cs]e|lgpl),?~?(?:version~|v)?3(?:\.0)?", "lesser|lgpl", "gnu.org/licenses/lgpl-3.0"),
+    ("agpl-3.0", "agpl-3.0(?:-only|-or-later|\\+)?", r"(?:gnu~)?(?:affero~general~public~licen[cs]e|agpl),?~?(?:version~|v)?3?(?:\.0)?", "affero|agpl", "gnu.org/licenses/agpl-3.0"),
     ("bsd-2-clause", "bsd-2-clause", r"(?:simplified~bsd|2-clause~bsd|bsd~2-clause|freebsd)~?(?:licen[cs]e)?", "bsd", "opensource.org/licenses/bsd-2-clause"),
     ("bsd-3-clause", "bsd-3-clause", r"(?:new~bsd|modified~bsd|3-clause~bsd|bsd~3-clause)~?(?:licen[cs]e)?", "bsd", "opensource.org/licenses/bsd-3-clause"),
     ("bsd-4-clause", "bsd-4-clause", r"(?:original~bsd|4-clause~bsd|bsd~4-clause)~?(?:licen[cs]e)?", "bsd", "spdx.org/licenses/bsd-4-clause"),
-    ("0bsd", "0bsd", r"(?:zero-clause~bsd|bsd~zero~clause|free~public~licen[cs]e)", "free", "opensource.org/licenses/0bsd"),
+    ("0bsd", "0bsd", r"(?:zero-clause~bsd|bsd~zero~clause|free~public~licen[cs]e)", "bsd|licen", "opensource.org/licenses/0bsd"),
     ("bsd", "bsd", r"bsd(?:-style|-like)?~licen[cs]e", "bsd", "opensource.org/licenses/bsd-license"),
     ("isc", "isc", r"isc~licen[cs]e", "isc", "opensource.org/licenses/isc"),
     ("mpl-1.0", "mpl-1.0", r"mozilla~public~licen[cs]e,?~(?:version~|v)?1\.0", "mozilla", "mozilla.org/mpl/1.0"),
@@ -41,29 +42,29 @@ LICENSES = (
     ("mpl-2.0", "mpl-2.0", r"mozilla~public~licen[cs]e,?~(?:version~|v)?2(?:\.0)?", "mozilla", "mozilla.org/mpl/2.0"),
     ("epl-1.0", "epl-1.0", r"eclipse~public~licen[cs]e,?~(?:-~)?(?:version~|v)?1(?:\.0)?", "eclipse", "eclipse.org/legal/epl-v10"),
     ("epl-2.0", "epl-2.0", r"eclipse~public~licen[cs]e,?~(?:-~)?(?:version~|v)?2(?:\.0)?", "eclipse", "eclipse.org/legal/epl-2.0"),
-    ("cddl-1.0", "cddl-1.0", r"common~development~and~distribution~licen[cs]e(?:,?~(?:version~|v)?1\.0)?", "development", "opensource.org/licenses/cddl-1.0"),
-    ("cddl-1.1", "cddl-1.1", r"common~development~and~distribution~licen[cs]e,?~(?:version~|v)?1\.1", "development", "spdx.org/licenses/cddl-1.1"),
-    ("cpl-1.0", "cpl-1.0", r"common~public~licen[cs]e(?:,?~(?:version~|v)?1\.0)?", "common", "opensource.org/licenses/cpl1.0"),
+    ("cddl-1.0", "cddl-1.0", r"common~development~and~distribution~licen[cs]e(?:,?~(?:version~|v)?1\.0)?", "distribution", "opensource.org/licenses/cddl-1.0"),
+    ("cddl-1.1", "cddl-1.1", r"common~development~and~distribution~licen[cs]e,?~(?:version~|v)?1\.1", "distribution", "spdx.org/licenses/cddl-1.1"),
+    ("cpl-1.0", "cpl-1.0", r"common~public~licen[cs]e(?:,?~(?:version~|v)?1\.0)?", "licen", "opensource.org/licenses/cpl1.0"),
     ("artistic-1.0", "artistic-1.0", r"artistic~licen[cs]e(?:,?~(?:version~|v)?1\.0)?", "artistic", "opensource.org/licenses/artistic-license-1.0"),
     ("artistic-2.0", "artistic-2.0", r"artistic~licen[cs]e,?~(?:version~|v)?2(?:\.0)?", "artistic", "opensource.org/licenses/artistic-license-2.0"),
     ("bsl-1.0", "bsl-1.0", r"boost~software~licen[cs]e(?:,?~(?:-~)?(?:version~|v)?1\.0)?", "boost", "boost.org/license_1_0"),
     ("zlib", "zlib", r"zlib(?:/libpng)?~licen[cs]e", "zlib", "opensource.org/licenses/zlib"),
     ("unlicense", "unlicense", r"the~unlicense", "unlicense", "unlicense.org"),
-    ("wtfpl", "wtfpl", r"do~what~the~f\w+~you~want~to~public~licen[cs]e", "want", "wtfpl.net"),
-    ("cc0-1.0", "cc0-1.0", r"(?:creative~commons~)?(?:cc0|cc~zero)(?:~1\.0)?(?:~universal)?", "cc", "creativecommons.org/publicdomain/zero/1.0"),
+    ("wtfpl", "wtfpl", r"do~what~the~f\w+~you~want~to~public~licen[cs]e", "licen", "wtfpl.net"),
+    ("cc0-1.0", "cc0-1.0", r"(?:creative~commons~)?(?:cc0|cc~zero)(?:~1\.0)?(?:~universal)?", "cc0|zero", "creativecommons.org/publicdomain/zero/1.0"),
     ("cc-by-1.0", "cc-by-1.0", r"creative~commons~attribution~1\.0", "creative", "creativecommons.org/licenses/by/1.0"),
     ("cc-by-2.0", "cc-by-2.0", r"creative~commons~attribution~2\.0", "creative", "creativecommons.org/licenses/by/2.0"),
-    ("cc-by-3.0", "cc-by-3.0", r"(?:creative~commons~attribution|cc[ -]by)~3\.0", "c", "creativecommons.org/licenses/by/3.0"),
-    ("cc-by-4.0", "cc-by-4.0", r"(?:creative~commons~attribution|cc[ -]by)~4\.0", "c", "creativecommons.org/licenses/by/4.0"),
-    ("cc-by-sa-2.0", "cc-by-sa-2.0", r"(?:creative~commons~attribution-share~?-?alike|cc[ -]by-sa)~2\.0", "c", "creativecommons.org/licenses/by-sa/2.0"),
-    ("cc-by-sa-3.0", "cc-by-sa-3.0", r"(?:creative~commons~attribution-share~?-?alike|cc[ -]by-sa)~3\.0", "c", "creativecommons.org/licenses/by-sa/3.0"),
-    ("cc-by-sa-4.0", "cc-by-sa-4.0", r"(?:creative~commons~attribution-share~?-?alike|cc[ -]by-sa)~4\.0", "c", "creativecommons.org/licenses/by-sa/4.0"),
-    ("cc-by-nc-4.0", "cc-by-nc-4.0", r"(?:creative~commons~attribution-non~?-?commercial|cc[ -]by-nc)~4\.0", "c", "creativecommons.org/licenses/by-nc/4.0"),
-    ("cc-by-nc-sa-4.0", "cc-by-nc-sa-4.0", r"(?:creative~commons~attribution-non~?-?commercial-share~?-?alike|cc[ -]by-nc-sa)~4\.0", "c", "creativecommons.org/licenses/by-nc-sa/4.0"),
-    ("cc-by-nd-4.0", "cc-by-nd-4.0", r"(?:creative~commons~attribution-no~?-?deriv\w*|cc[ -]by-nd)~4\.0", "c", "creativecommons.org/licenses/by-nd/4.0"),
-    ("cc-by-nc-nd-4.0", "cc-by-nc-nd-4.0", r"(?:creative~commons~attribution-non~?-?commercial-no~?-?deriv\w*|cc[ -]by-nc-nd)~4\.0", "c", "creativecommons.org/licenses/by-nc-nd/4.0"),
+    ("cc-by-3.0", "cc-by-3.0", r"(?:creative~commons~attribution|cc[ -]by)~3\.0", "attribution|cc by|cc-by", "creativecommons.org/licenses/by/3.0"),
+    ("cc-by-4.0", "cc-by-4.0", r"(?:creative~commons~attribution|cc[ -]by)~4\.0", "attribution|cc by|cc-by", "creativecommons.org/licenses/by/4.0"),
+    ("cc-by-sa-2.0", "cc-by-sa-2.0", r"(?:creative~commons~attribution-share~?-?alike|cc[ -]by-sa)~2\.0", "attribution|cc by|cc-by", "creativecommons.org/licenses/by-sa/2.0"),
+    ("cc-by-sa-3.0", "cc-by-sa-3.0", r"(?:creative~commons~attribution-share~?-?alike|cc[ -]by-sa)~3\.0", "attribution|cc by|cc-by", "creativecommons.org/licenses/by-sa/3.0"),
+    ("cc-by-sa-4.0", "cc-by-sa-4.0", r"(?:creative~commons~attribution-share~?-?alike|cc[ -]by-sa)~4\.0", "attribution|cc by|cc-by", "creativecommons.org/licenses/by-sa/4.0"),
+    ("cc-by-nc-4.0", "cc-by-nc-4.0", r"(?:creative~commons~attribution-non~?-?commercial|cc[ -]by-nc)~4\.0", "attribution|cc by|cc-by", "creativecommons.org/licenses/by-nc/4.0"),
+    ("cc-by-nc-sa-4.0", "cc-by-nc-sa-4.0", r"(?:creative~commons~attribution-non~?-?commercial-share~?-?alike|cc[ -]by-nc-sa)~4\.0", "attribution|cc by|cc-by", "creativecommons.org/licenses/by-nc-sa/4.0"),
+    ("cc-by-nd-4.0", "cc-by-nd-4.0", r"(?:creative~commons~attribution-no~?-?deriv\w*|cc[ -]by-nd)~4\.0", "attribution|cc by|cc-by", "creativecommons.org/licenses/by-nd/4.0"),
+    ("cc-by-nc-nd-4.0", "cc-by-nc-nd-4.0", r"(?:creative~commons~attribution-non~?-?commercial-no~?-?deriv\w*|cc[ -]by-nc-nd)~4\.0", "attribution|cc by|cc-by", "creativecommons.org/licenses/by-nc-nd/4.0"),
     ("gfdl-1.3", "gfdl-1.3(?:-only|-or-later)?", r"gnu~free~documentation~licen[cs]e(?:,?~(?:version~|v)?1\.\d)?", "documentation", "gnu.org/licenses/fdl-1.3"),
-    ("python-2.0", "(?:python-2.0|psf-2.0)", r"(?:python~software~foundation|psf)~licen[cs]e(?:~(?:version~|v)?2)?", "p", "docs.python.org/3/license"),
+    ("python-2.0", "(?:python-2.0|psf-2.0)", r"(?:python~software~foundation|psf)~licen[cs]e(?:~(?:version~|v)?2)?", "python|psf", "docs.python.org/3/license"),
     ("openssl", "openssl", r"openssl~licen[cs]e", "openssl", "openssl.org/source/license"),
     ("php-3.01", "php-3.01", r"php~licen[cs]e(?:,?~(?:version~|v)?3\.01)?", "php", "php.net/license/3_01"),
     ("ruby", "ruby", r"ruby~licen[cs]e", "ruby", "ruby-lang.org/en/about/license"),
@@ -74,14 +75,14 @@ LICENSES = (
     ("ms-pl", "ms-pl", r"microsoft~public~licen[cs]e", "microsoft", "opensource.org/licenses/ms-pl"),
     ("ms-rl", "ms-rl", r"microsoft~reciprocal~licen[cs]e", "microsoft", "opensource.org/licenses/ms-rl"),
     ("afl-3.0", "afl-3.0", r"academic~free~licen[cs]e(?:,?~(?:version~|v)?3(?:\.0)?)?", "academic", "opensource.org/licenses/afl-3.0"),
-    ("osl-3.0", "osl-3.0", r"open~software~licen[cs]e(?:,?~(?:version~|v)?3(?:\.0)?)?", "open", "opensource.org/licenses/osl-3.0"),
+    ("osl-3.0", "osl-3.0", r"open~software~licen[cs]e(?:,?~(?:version~|v)?3(?:\.0)?)?", "licen", "opensource.org/licenses/osl-3.0"),
     ("ncsa", "ncsa", r"(?:university~of~illinois/)?ncsa~(?:open~source~)?licen[cs]e", "ncsa", "opensource.org/licenses/ncsa"),
-    ("upl-1.0", "upl-1.0", r"universal~permissive~licen[cs]e(?:,?~(?:version~|v)?1\.0)?", "universal", "opensource.org/licenses/upl"),
+    ("upl-1.0", "upl-1.0", r"universal~permissive~licen[cs]e(?:,?~(?:version~|v)?1\.0)?", "permissive", "opensource.org/licenses/upl"),
     ("ecl-2.0", "ecl-2.0", r"educational~community~licen[cs]e(?:,?~(?:version~|v)?2(?:\.0)?)?", "educational", "opensource.org/licenses/ecl-2.0"),
     ("busl-1.1", "busl-1.1", r"business~source~licen[cs]e(?:~1\.1)?", "business", "mariadb.com/bsl11"),
     ("sspl-1.0", "sspl-1.0", r"server~side~public~licen[cs]e(?:,?~(?:version~|v)?1)?", "server", "mongodb.com/licensing/server-side-public-license"),
     ("odbl-1.0", "odbl-1.0", r"open~(?:data~commons~open~)?database~licen[cs]e(?:~\(odbl\))?", "database", "opendatacommons.org/licenses/odbl"),
-    ("public-domain", "public-domain", r"(?:in|to|into)~the~public~domain", "public", "creativecommons.org/publicdomain/mark/1.0"),
+    ("public-domain", "public-domain", r"(?:in|to|into)~the~public~domain", "domain", "creativecommons.org/publicdomain/mark/1.0"),
 )
 #: Passages of license texts. Label, keyword, pattern, relevance.
 PASSAGES = (
@@ -106,8 +107,6 @@ PASSAGES = (
 )
 #: Forms of naming a license: name, priority, relevance. Higher priorities suppress what they contain.
 FORMS = (("tag", 90, 1.0), ("notice", 80, 0.95), ("address", 70, 0.8), ("name", 50, 0.6))
-#: A text without any of these holds no rule's keyword in a useful place and is not scanned further.
-ROOTS = ("licen", "spdx", "copyright", "public domain", "gpl", "permission", "redistribut", "all rights", "creativecommons", "creative commons", "as-is", "cc0", "cc by", "cc-by", "unencumbered", "bsd", "neither the name", "advertising materials")
 #: Base phrases and their labels.
 PHRASES = ((("mit", "license"), "mit"), (("apache", "license"), "apache"), (("general", "public", "license"), "gpl"))
 
@@ -125,10 +124,11 @@ def rules() -> list[Rule]:
     """All rules in order: the forms of every license, then passages."""
     out = []
     for label, tag, name, keyword, address in LICENSES:
+        words = tuple(keyword.split("|"))
         forms = {"tag": (("spdx-license",), rf"spdx-license-identifier:\s*\(?{tag}\b"),
-                 "notice": (("licensed", "released", "distributed", "available"), rf"(?:licensed|released|distributed|available)~under~(?:the~)?(?:terms~(?:of~)?)?(?:the~)?{name}"),
+                 "notice": (words, rf"(?:licensed|released|distributed|available)~under~(?:the~)?(?:terms~(?:of~)?)?(?:the~)?{name}"),
                  "address": ((address,), rf"(?:https?://)?(?:www\.)?{re.escape(address)}"),
-                 "name": ((keyword,), rf"\b{name}\b")}
+                 "name": (words, rf"\b{name}\b")}
         out += [Rule(label, forms[f][0], forms[f][1], priority, relevance) for f, priority, relevance in FORMS]
     return out + [Rule(label, (keyword,), pattern, 60 if relevance > 0.6 else 40, relevance) for label, keyword, pattern, relevance in PASSAGES]
 
@@ -147,11 +147,9 @@ class Scanner:
             self.finder.add_word(w, ks)
         self.finder.make_automaton()
 
-    def detections(self, line: str) -> list[tuple[int, int, int]]:
-        """(start, end, rule) of a lower-cased text, after suppression, by place."""
-        if not any(root in line for root in ROOTS):
-            return []
-        gated = sorted({k for _, ks in self.finder.iter(line) for k in ks})
+    def detections(self, line: str, every: bool = False) -> list[tuple[int, int, int]]:
+        """(start, end, rule) of a lower-cased text, after suppression, by place; every: without the gate."""
+        gated = range(len(self.rules)) if every else sorted({k for _, ks in self.finder.iter(line) for k in ks})
         found = [(m.start(), m.end(), k) for k in gated for m in self.rules[k].pattern.finditer(line)]
         found.sort(key=lambda d: (-self.rules[d[2]].priority, d[0] - d[1], d[2], d[0]))
         kept: list[tuple[int, int, int]] = []
