@@ -98,7 +98,8 @@ def assemble_context(tables: MemoryTables, r: ContextRequest) -> DataFrame:
             seeds = relational.resolve_names(names, tables.entities).select("entity_id").distinct()
             if tables.edges is not None:
                 seeds = graphs.expand_entities(tables.edges, seeds, text.is_relationship_query(query), r.as_of)
-            found = relational.facts_by_links(facts, seeds, r.scope, r.as_of, 3 * budget).where(relational.allowed_by_tags(r.allowed_tags)).join(used, "fact_id", "left_anti").withColumn("ft_score", F.lit(0.0))
+            free = facts.where(relational.allowed_by_tags(r.allowed_tags)).join(used, "fact_id", "left_anti")
+            found = relational.facts_by_links(free, seeds, r.scope, r.as_of, 3 * budget).withColumn("ft_score", F.lit(0.0))
             legs = legs.unionByName(fusion.leg(found.select(*core), "semantic", _recency(), F.lit("linked to an entity of the query")))
     ranked = fusion.time_window(fusion.reciprocal_ranks(legs, r.as_of), r.window_start, r.window_end)
     final = fusion.timeline_order() if r.view == "timeline" else fusion.relevance_order()
