@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 import os
 import sys
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # executors get this package's functions with the tasks; it need not be installed there
@@ -60,17 +64,46 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """names, each made longer until no column of df is called so (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = f"__{name}"
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without columns that a result column of the same name (in any case) would clash with."""
     low = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
 
 
-def sliced(batches, rows: int = 256):
-    """Arrow batches in slices of a few hundred rows: Python objects are made for one slice at a time."""
+def sliced(batches, rows: int = 256, size: int = 2 << 20):
+    """Arrow batches in slices of at most `rows` rows and about `size` bytes of text (a longer row is a slice of
+    its own), so the Python objects of one slice are bounded whatever the lengths of the texts."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        taken = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or pa.types.is_binary(column.type):
+                taken += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, at = np.cumsum(taken), 0
+        while at < batch.num_rows:
+            full = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
+            to = min(max(full, at + 1), at + rows, batch.num_rows)
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def give_back() -> None:
+    """What a task has freed goes back to the system: Python workers are reused and would only ever grow."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def through_python(df: DataFrame, work, schema: str, rows: int = 256) -> DataFrame:
@@ -86,27 +119,43 @@ def through_python(df: DataFrame, work, schema: str, rows: int = 256) -> DataFra
         for part in sliced(batches, rows):
             out = each(part)
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
+        del each
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+#: Keys that hold more than this share of all rows are hot; there are fewer than its inverse.
+HOT_SHARE = 1 / 50_000
+
+
+def join_by_class(rows: DataFrame, classes: DataFrame, key: str, members: str, n_rows: int) -> DataFrame:
+    """rows joined (left) with classes, one row per key, whose column `members` counts the key's rows. A key that
+    holds more than HOT_SHARE of all rows is joined by broadcast, where its rows lie; there are fewer than
+    1 / HOT_SHARE such keys. All other rows meet their class in a shuffle that no key can overload."""
+    limit = max(1_000, int(n_rows * HOT_SHARE))
+    hot = F.broadcast(classes.where(F.col(members) > limit).withColumn("__hot", F.lit(True)))
+    marked = rows.join(hot, key, "left")
+    new = [c for c in classes.columns if c != key]
+    names = [*rows.columns, *new]
+    cold = marked.where("__hot IS NULL").select(*rows.columns).join(classes.where(F.col(members) <= limit), key, "left")
+    return marked.where("__hot").select(*names).unionByName(cold.select(*names))
+
+
 def held_out(doc_id: str = "doc_id"):
     """crc32 of doc_id as text, mod 5, is 0; a null doc_id counts as the empty text (crc32 0: held out)."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def bounded_sample(df: DataFrame, n_rows: int, groups: str | None, seed: int, key: str = "doc_id") -> DataFrame:
-    """About n_rows rows of df, or of each value of groups, by the hash of key; the counts that set the
-    rate cover all rows. Reruns agree."""
-    h = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 40))
-    if groups is None:
-        total = df.count()
-        return df.where(h < int(min(1.0, n_rows / max(total, 1)) * (1 << 40)))
-    rates = {r[0]: int(min(1.0, n_rows / r[1]) * (1 << 40)) for r in df.groupBy(groups).count().collect()}
-    if not rates:
-        return df
-    limit = F.create_map(*[x for k, v in rates.items() for x in (F.lit(k), F.lit(v))])
-    return df.where(h < limit[F.col(groups)])
+def numbered(df: DataFrame, *order) -> DataFrame:
+    """df with a column `rank`, its place (from 0) in the order of these columns (nulls last), counted without
+    gathering it: a range partitioning, ranks within the parts, then the counts of the parts."""
+    keys = [x for c in order for x in (F.col(c).isNull(), F.col(c))]
+    dealt = cut(df.repartitionByRange(*keys).withColumn("part", F.spark_partition_id()))
+    local = F.row_number().over(Window.partitionBy("part").orderBy(*keys)) - 1
+    counts = dealt.groupBy("part").agg(F.count("*").alias("n"))  # one row per part
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return dealt.withColumn("local", local).join(F.broadcast(counts.select("part", before.alias("before"))), "part").withColumn("rank", F.col("before") + F.col("local")).drop("part", "local", "before")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
