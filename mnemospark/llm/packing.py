@@ -1,30 +1,42 @@
 """Best-two-fit packing of documents into sequences of a fixed number of tokens.
 
 A sequence is filled greedily with the longest pieces that fit; then its shortest piece gives way to two
-unpacked pieces if those fill the widened gap more tightly. Pieces are dealt by hash to groups of a bounded
-number of documents, and each group packs itself: only lengths matter, so the groups lose at most about one
-partly filled sequence each, and nothing is gathered in one place.
+unpacked pieces if those fill the widened gap more tightly. Only lengths matter, so one plan is made for the
+whole table from the number of pieces of each length: `capacity` numbers, whatever the size of the table. The
+plan says how often each kind of sequence comes; a piece finds its place by its rank among the pieces of its
+length. Nothing is packed in groups, so no group leaves a partly filled end.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, give_back, sliced, table
 
-CAPACITY, END_ID, DOCS_PER_GROUP = 4096, 1, 10_000
+CAPACITY, END_ID = 4096, 1
 TOKENIZER = "word_bpe_49k.json"
+#: Ranks are counted within buckets of about this many pieces (64 buckets at least), then over the buckets.
+PIECES_PER_BUCKET = 100_000
 
-# Latin-1 texts without control characters are split here; any other text goes to the tokenizer as a whole.
+# Latin-1 texts without control characters are split here, if the tokenizer splits as _SPLITS says; any other
+# text, and any text of another tokenizer, goes to the tokenizer as a whole.
 _PLAIN = re.compile(r"[\t\n\v\f\r\x20-\x7e\xa1-\xff]*")
 _LETTER, _NUMBER = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
 _WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}]+")
+_SPLITS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
 
 
 def _byte_letters() -> dict[int, str]:
@@ -37,11 +49,14 @@ def _byte_letters() -> dict[int, str]:
 class Ids(dict):
     """Token ids (little-endian unsigned 32-bit) of white-space separated chunks, kept as they come up."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.model, self.letters = self.tokenizer.model, _byte_letters()
+        with open(path, encoding="utf-8") as f:
+            own = json.load(f)
+        self.splits = all(own.get(k) == v for k, v in _SPLITS.items()) and all(t["content"].startswith("<|") for t in own["added_tokens"])
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= self.most:
@@ -53,7 +68,7 @@ class Ids(dict):
     def of(self, text: str | None) -> bytes:
         """Ids of a whole text, without special tokens of the tokenizer's own; null: none."""
         text = text or ""
-        if _PLAIN.fullmatch(text) and "<|" not in text:
+        if self.splits and _PLAIN.fullmatch(text) and "<|" not in text:
             return b"".join(map(self.__getitem__, text.lower().split()))
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -62,7 +77,10 @@ def token_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: i
                  with_ids: bool = False) -> DataFrame:
     """The pieces of every document: doc_id, piece, start, length, ids_crc32 (and ids, little-endian, on
     demand), key (spreads pieces evenly). A document is its ids and end_id; only longer ones than capacity
-    are cut. tokenizer_path: of the public tokenizer, None: where the package public_tokenizers has it."""
+    are cut. tokenizer_path: of the public tokenizer, None: where the package public_tokenizers has it.
+
+    A null or empty text is one piece of end_id alone. Null doc_ids stay null. Rows that repeat give their
+    pieces as often as they come. An empty table gives an empty result."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, key long" + ", ids binary" * with_ids
 
@@ -77,59 +95,57 @@ def token_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: i
         ids, end, step = Ids(path), np.array([end_id], "<u4").tobytes(), 4 * capacity
         task = TaskContext.get()
         n = (task.partitionId() if task else 0) << 40
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                which, rows = [], []
-                for k, text in enumerate(part.column(1).to_pylist()):
-                    data = ids.of(text) + end
-                    for p, a in enumerate(range(0, len(data), step)):
-                        own = data[a:a + step]
-                        which.append(k)
-                        rows.append((p, a // 4, len(own) // 4, zlib.crc32(own), n, own))
-                        n += 1
-                cols = list(zip(*rows)) if rows else [()] * 6
-                out = [part.column(0).take(pa.array(which, pa.int32())), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()),
-                       pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", "key"]
-                yield pa.RecordBatch.from_arrays(out + [pa.array(cols[5], pa.binary())] * with_ids, names=names + ["ids"] * with_ids)
+        for part in sliced(batches):
+            which, rows = [], []
+            for k, text in enumerate(part.column(1).to_pylist()):
+                data = ids.of(text) + end
+                for p, a in enumerate(range(0, len(data), step)):
+                    own = data[a:a + step]
+                    which.append(k)
+                    rows.append((p, a // 4, len(own) // 4, zlib.crc32(own), n, own if with_ids else b""))
+                    n += 1
+            cols = list(zip(*rows)) if rows else [()] * 6
+            out = [part.column(0).take(pa.array(which, pa.int32())), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()),
+                   pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "key"]
+            yield pa.RecordBatch.from_arrays(out + [pa.array(cols[5], pa.binary())] * with_ids, names=names + ["ids"] * with_ids)
+        del ids
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def best_two_fit(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
-    """Sequences as lists of lengths whose sums are at most capacity. Every length is from 1 to capacity.
+def plan_best_two_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
+    """Kinds of sequences with their numbers, in the order in which they are made. counts: pieces of each length
+    from 1 to capacity.
 
     Lengths on hand are bits of an integer, so the longest that fits is a mask and a bit length; with the
-    mirrored integer, an AND tells whether two lengths on hand have a given sum.
+    mirrored integer, an AND tells whether two lengths on hand have a given sum. A sequence is made again at
+    once, as often as the pieces that its making holds at a time are on hand: no choice can differ, since a
+    length that has run out was not chosen at the places where it now lacks. Every kind so uses a length up to
+    less than it takes, which bounds the number of kinds by about capacity * ln(capacity).
     """
     left = [0] * (capacity + 1)
-    for n in lengths:
-        left[n] += 1
+    for n, c in counts.items():
+        left[n] = c
     have = sum(1 << n for n in range(capacity + 1) if left[n])
     mirror = sum(1 << (capacity - n) for n in range(capacity + 1) if left[n])
 
-    def take(n: int):
+    def change(n: int, by: int):
         nonlocal have, mirror
-        left[n] -= 1
-        if not left[n]:
+        before, left[n] = left[n], left[n] + by
+        if bool(before) != bool(left[n]):
             have ^= 1 << n
             mirror ^= 1 << (capacity - n)
 
-    def give(n: int):
-        nonlocal have, mirror
-        if not left[n]:
-            have |= 1 << n
-            mirror |= 1 << (capacity - n)
-        left[n] += 1
-
     out = []
     while have:
         filled, gap = [], capacity
         while (n := (have & ((1 << (gap + 1)) - 1)).bit_length() - 1) > 0:
-            take(n)
+            change(n, -1)
             filled.append(n)
             gap -= n
+        held = Counter(filled)
         if gap and have:
             small = filled[-1]
             for total in range(gap + small, small, -1):
@@ -138,51 +154,78 @@ def best_two_fit(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]
                     pairs &= ~(1 << (total // 2))  # one piece is no pair
                 if pairs:
                     a = pairs.bit_length() - 1
+                    held.update((a, total - a))
                     filled.pop()
-                    give(small)
+                    change(small, 1)
                     for n in (a, total - a):
-                        take(n)
+                        change(n, -1)
                         filled.append(n)
                     break
-        out.append(filled)
+        used = Counter(filled)
+        again = max(0, min((left[n] + used[n] - held[n]) // c for n, c in used.items()))
+        for n, c in used.items():
+            change(n, -c * again)
+        out.append((filled, 1 + again))
     return out
 
 
-def pack(pieces: DataFrame, n_docs: int, capacity: int = CAPACITY, per_group: int = DOCS_PER_GROUP) -> DataFrame:
-    """pieces with sequence_id and offset. Ties among equal lengths go by doc_id, piece and start, nulls
-    last; repeated rows are pieces of their own. An empty table gives an empty result."""
-    groups = max(1, -(-n_docs // per_group))
-    fields = [f for f in pieces.schema.fields if f.name != "key"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", sequence_id long, offset long"
-    names = [f.name for f in fields]
-
-    def solve(key, rows):
-        frame = rows.select(names)
-        order = frame.append_column("at", pa.array(np.arange(frame.num_rows))).sort_by(
-            [("length", "ascending"), ("doc_id", "ascending"), ("piece", "ascending"), ("start", "ascending")]).column("at").to_numpy()
-        length = frame.column("length").to_numpy()
-        ranked = length[order]
-        nxt = {int(n): int(k) for n, k in zip(*np.unique(ranked, return_index=True))}
-        base = key[0].as_py() << 32
-        seq, off = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
-        for s, filled in enumerate(best_two_fit(ranked.tolist(), capacity)):
-            at = 0
-            for n in filled:
-                row = order[nxt[n]]
-                nxt[n] += 1
-                seq[row], off[row] = base + s, at
-                at += n
-        return frame.append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(off))
-
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("key"), F.lit(groups)))
-    return dealt.groupBy("grp").applyInArrow(solve, schema)
+def best_two_fit(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
+    """Sequences as lists of lengths whose sums are at most capacity. Every length is from 1 to capacity."""
+    return [filled for filled, times in plan_best_two_fit(Counter(lengths), capacity) for _ in range(times)]
+
+
+def places(plan: list[tuple[list[int], int]]) -> dict[int, np.ndarray]:
+    """For each length the rows (first rank, first sequence, offset): ranks from there on lie at that offset of
+    one sequence after the other."""
+    lines: dict[int, list] = {}
+    rank: Counter = Counter()
+    first = 0
+    for filled, times in plan:
+        at = 0
+        for n in filled:
+            lines.setdefault(n, []).append((rank[n], first, at))
+            rank[n] += times
+            at += n
+        first += times
+    return {n: np.array(x, np.int64) for n, x in lines.items()}
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """pieces (behind a checkpoint) with sequence_id and offset. Ties among equal lengths go by bucket, doc_id,
+    piece and start; repeated rows are pieces of their own. An empty table gives an empty result.
+
+    The driver gets one count per length and hands out the places: both are bounded by capacity."""
+    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    where = pieces.sparkSession.sparkContext.broadcast(places(plan_best_two_fit(counts, capacity)))
+    buckets = 64 + sum(counts.values()) // PIECES_PER_BUCKET
+    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    local = F.row_number().over(Window.partitionBy("bucket", "length").orderBy("doc_id", "piece", "start", "key"))
+    sizes = dealt.groupBy("bucket", "length").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    ranked = dealt.withColumn("local", local).join(sizes.select("bucket", "length", before.alias("before")), ["bucket", "length"])
+    names = [c for c in pieces.columns if c != "key"]
+    schema = ", ".join(f"{c} {pieces.schema[c].dataType.simpleString()}" for c in names) + ", sequence_id long, offset long"
+
+    def run(batches):
+        for batch in batches:
+            length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
+            seq, off = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
+            order = np.argsort(length, kind="stable")
+            cuts = np.flatnonzero(np.diff(length[order], prepend=-1))
+            for own in np.split(order, cuts[1:]):
+                if len(own):
+                    lines = where.value[int(length[own[0]])]
+                    hit = lines[np.searchsorted(lines[:, 0], rank[own], "right") - 1]
+                    seq[own], off[own] = hit[:, 1] + rank[own] - hit[:, 0], hit[:, 2]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(seq), pa.array(off)], names=[*names, "sequence_id", "offset"])
+
+    return ranked.select(*names, (F.col("before") + F.col("local") - 1).alias("rank")).mapInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Every document of docs, null texts as empty, as pieces with their places: doc_id, piece, start,
     length, ids_crc32, sequence_id, offset (and ids). Extra columns are not read."""
-    pieces = token_pieces(docs, tokenizer_path, capacity, with_ids=with_ids)
-    return pack(pieces if with_ids else cut(pieces), docs.count(), capacity)
+    return pack(cut(token_pieces(docs, tokenizer_path, capacity, with_ids=with_ids)), capacity)
 
 
 def op4_packing(spark, sf_dir: str) -> DataFrame:
