@@ -4,8 +4,8 @@ Labels mark documents, the field tags words. Word labels are derived first: in a
 toxic if it, or its first letters, are many times as frequent in toxic as in other documents of the sample;
 in other documents no word is. The field has the states clean and toxic, a weight for each word, prefix,
 suffix and shape, and transition weights; it is trained by gradient ascent on the conditional likelihood.
-Forward-backward marginals give the probability of each word; a logistic model of their maximum, sum and
-the number of words gives the document's score; runs of words above one half are the offending offsets.
+Forward-backward marginals give the probability of each word; a logistic model of the largest, the second
+largest and the sum of them gives the document's score; runs of words above one half are the offending offsets.
 """
 
 from __future__ import annotations
@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, small, table, through_python
+from .common import held_out, sliced, small, table, through_python, unused
 
-#: The labelled rows that the model is fitted on: this many of label 1 and of label 0 at most (about), none
-#: with more than MAX_CHARS characters.
-TOXIC_ROWS, CLEAN_ROWS, MAX_CHARS = 1_500, 4_500, 50_000
-#: Words of the sample that the field itself is trained on.
-TRAIN_WORDS, EPOCHS, L2 = 200_000, 40, 1e-3
+#: The labelled rows that the model is fitted on: about this many of label 1 and of label 0 at most, and fewer
+#: where their texts together would pass SAMPLE_CHARS characters. Rows of any length are drawn alike, and whole.
+TOXIC_ROWS, CLEAN_ROWS, SAMPLE_CHARS = 1_500, 4_500, 64_000_000
+#: Rows of each label in that sample, in the order of a hash, that the field itself is trained on, whole.
+FIELD_ROWS, EPOCHS, L2 = 300, 40, 1e-3
 _JUNK = re.compile(r"[^\w]+|_+")
 
 
@@ -154,25 +154,21 @@ def lexicon(texts: list[str], labels: np.ndarray, ratio: float = 12.0) -> set[st
     return {f for f, at in places.items() if len(at) >= least}
 
 
-def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, train_words: int = TRAIN_WORDS, l2: float = L2) -> Model:
-    """labels: 0 or 1 per text. One class or no text at all: a model that scores everything as clean."""
+def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, field_rows: int = FIELD_ROWS, l2: float = L2) -> Model:
+    """labels: 0 or 1 per text; the field learns from the first field_rows of each label. One class or no text at
+    all: a model that scores everything as clean."""
     model = Model()
     labels = np.asarray(labels, int)
     if not len(texts) or labels.min() == labels.max():
         model.weights = {"bias": -20.0}
         return model
     words = lexicon(texts, labels)
-    # the field: word labels of as many texts as train_words allows, toxic and other in turn
-    order = [x for pair in zip(np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)) for x in pair]
+    order = [*np.flatnonzero(labels == 1)[:field_rows], *np.flatnonzero(labels == 0)[:field_rows]]
     index: dict[str, int] = {"bias": 0}
     of_token: dict[str, tuple[list[int], bool]] = {}
-    rows, y, first, picked = [], [], [], 0
+    rows, y, first = [], [], []
     for k in order:
-        tokens = texts[k].split()[:4000]
-        if picked and picked + len(tokens) > train_words:
-            break
-        picked += len(tokens)
-        for i, token in enumerate(tokens):
+        for i, token in enumerate(texts[k].split()):
             hit = of_token.get(token)
             if hit is None:
                 fs = features(token)
@@ -207,7 +203,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, train_words:
     model.weights = {f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-2 or f == "bias"}
     model.trans, model.start = trans, start
     known = Scores(model, 100_000)
-    x = np.array([doc_signals(p) for at in range(0, len(texts), 256) for p in batch(model, texts[at:at + 256], known)])
+    x = np.array([doc_signals(p) for part in sliced([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]) for p in batch(model, part.column(0).to_pylist(), known)])
     model.doc = _logistic(np.c_[np.ones(len(x)), x], labels.astype(float))
     return model
 
@@ -243,7 +239,7 @@ def doc_signals(p: np.ndarray) -> list[float]:
 class Scores(dict):
     """Scores of the words met so far."""
 
-    def __init__(self, model: Model, most: int = 400_000):
+    def __init__(self, model: Model, most: int = 200_000):
         self.model, self.most = model, most
 
     def __missing__(self, token: str) -> float:
@@ -283,16 +279,21 @@ def spans_of(text: str, p: np.ndarray, least: float = 0.5) -> list[dict]:
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS, seed: int = 5) -> Model:
+def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS, sample_chars: int = SAMPLE_CHARS, seed: int = 5) -> Model:
     """Fits on a bounded sample of labelled rows outside the held-out fifth. Null labels and texts teach
-    nothing; of several labels of a document the largest holds."""
-    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    picks = [bounded_sample(known.where("toxic = 1"), toxic_rows, None, seed), bounded_sample(known.where("toxic <> 1"), clean_rows, None, seed)]
-    some = F.broadcast(picks[0].unionByName(picks[1]))  # toxic_rows + clean_rows narrow rows, about
-    got = (docs.select("doc_id", "text").join(some, "doc_id").where(F.col("text").isNotNull() & (F.length("text") <= MAX_CHARS))
-           .dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic").collect())
-    got.sort(key=lambda r: r["doc_id"])
-    return fit([r["text"] for r in got], np.array([int(r["toxic"] == 1) for r in got]))
+    nothing; of several labels of a document the largest holds, of several texts the least."""
+    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out()).groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic"))
+    sizes = docs.where("text IS NOT NULL").select("doc_id", F.length("text").alias("n")).join(known, "doc_id")
+    h = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40))
+    limit = F.lit(0)
+    for r in sizes.groupBy("toxic").agg(F.count("*").alias("rows"), F.sum("n").alias("chars")).collect():  # two rows at most
+        rate = min(1.0, (toxic_rows if r["toxic"] else clean_rows) / r["rows"], sample_chars / 2 / max(1, r["chars"]))
+        limit = F.when(F.col("toxic") == r["toxic"], F.lit(int(rate * (1 << 40)))).otherwise(limit)
+    picked = known.where(h < limit)
+    got = (docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # toxic_rows + clean_rows narrow rows, about
+           .groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).withColumn("h", F.xxhash64(F.lit(seed + 1), "doc_id")).collect())
+    got.sort(key=lambda r: (r["h"], r["doc_id"]))
+    return fit([r["text"] for r in got], np.array([int(r["toxic"]) for r in got]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -301,6 +302,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Null and empty texts get the score of a text without words and no spans. Repeated rows repeat; an empty
     table gives an empty result; other columns are not read.
     """
+    return _scored(docs, model)[0]
+
+
+def _scored(docs: DataFrame, model: Model) -> tuple:
+    """score()'s result and its broadcast model, which may be destroyed when the result is written."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # bounded by the training sample
 
@@ -319,20 +325,25 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
         return each
 
-    return through_python(docs.select("doc_id", "text"), work, f"doc_id {kind}, score double, spans array<struct<start:int,end:int,score:double>>")
+    return through_python(docs.select("doc_id", "text"), work, f"doc_id {kind}, score double, spans array<struct<start:int,end:int,score:double>>"), shared
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the documents that the model rejects (score of one half or more). A row without doc_id
-    is scored, too: it is matched by its text's hash."""
+    """docs without the documents that the model rejects (score of one half or more); columns unchanged, whatever
+    their names. A row without doc_id is scored, too: it is matched by its text's hash. Null and empty texts score
+    as texts without words. Repeated rows share their fate; without labels nothing goes; an empty table stays
+    empty."""
+    key, theirs = unused(docs, "key", "bad")
     model = train(docs, labels)
-    flagged = docs.withColumn("__key", F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")))
-    bad = small(score(flagged.select(F.col("__key").alias("doc_id"), "text"), model).where("score >= 0.5").select(F.col("doc_id").alias("__bad")).distinct())
-    return flagged.join(bad, F.col("__key").eqNullSafe(F.col("__bad")), "left_anti").drop("__key")
+    flagged = docs.withColumn(key, F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")))
+    scored, shared = _scored(flagged.select(F.col(key).alias("doc_id"), "text"), model)
+    bad = small(scored.where("score >= 0.5").select(F.col("doc_id").alias(theirs)).distinct())
+    shared.destroy()
+    return flagged.join(bad, F.col(key).eqNullSafe(F.col(theirs)), "left_anti").drop(key)
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
-                         F.size("spans").alias("n_spans"))
+                         F.size("spans").alias("n_spans"), "spans")
