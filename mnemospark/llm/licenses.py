@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -146,17 +147,29 @@ class Scanner:
         for w, ks in by_word.items():
             self.finder.add_word(w, ks)
         self.finder.make_automaton()
+        self.priority = np.array([rule.priority for rule in self.rules])
 
     def detections(self, line: str, every: bool = False) -> list[tuple[int, int, int]]:
         """(start, end, rule) of a lower-cased text, after suppression, by place; every: without the gate."""
         gated = range(len(self.rules)) if every else sorted({k for _, ks in self.finder.iter(line) for k in ks})
         found = [(m.start(), m.end(), k) for k in gated for m in self.rules[k].pattern.finditer(line)]
-        found.sort(key=lambda d: (-self.rules[d[2]].priority, d[0] - d[1], d[2], d[0]))
-        kept: list[tuple[int, int, int]] = []
-        for d in found:
-            if not any(k[0] <= d[0] and d[1] <= k[1] for k in kept):
-                kept.append(d)
-        return sorted(kept)
+        if not found:
+            return []
+        start, end, rule = np.array(found, np.int64).T
+        rank = self.priority[rule]
+        kept = np.zeros((0, 3), np.int64)  # by start
+        for p in np.unique(rank)[::-1]:
+            own = np.flatnonzero(rank == p)
+            if len(kept):  # the furthest end of what starts no later tells whether one holds it
+                reach = np.maximum.accumulate(kept[:, 1])
+                at = np.searchsorted(kept[:, 0], start[own], "right") - 1
+                own = own[(at < 0) | (reach[at] < end[own])]
+            own = own[np.lexsort((rule[own], -end[own], start[own]))]  # what holds another comes before it
+            before = np.r_[-1, np.maximum.accumulate(end[own])[:-1]] if len(own) else np.zeros(0, np.int64)
+            own = own[end[own] > before]
+            kept = np.concatenate([kept, np.stack([start[own], end[own], rule[own]], 1)])
+            kept = kept[np.lexsort((kept[:, 2], kept[:, 1], kept[:, 0]))]
+        return [tuple(d) for d in kept.tolist()]
 
     def scan(self, text: str | None) -> dict:
         """Everything op5 returns of one text but its id."""
@@ -171,7 +184,7 @@ class Scanner:
                         if at >= n - 1 and [x.decode("latin-1") for x in words[at - n + 1:at + 1]] == list(phrase):
                             starts.append(at - n + 1)
                             base.add(label)
-        own = self.detections(data.decode("latin-1"))
+        own = self.detections(data.decode())
         spans = [{"start": a, "end": b, "label": self.rules[k].label, "rule": k} for a, b, k in own]
         score = max([self.rules[k].relevance for _, _, k in own] + [0.6] * bool(base), default=0.0)
         return {"n_words": len(words), "n_base": len(starts), "first_word": min(starts, default=None), "last_word": max(starts, default=None),
@@ -180,9 +193,10 @@ class Scanner:
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and
-    spans (byte offsets in the text's UTF-8, label, number of the rule).
+    spans (character offsets, label, number of the rule).
 
-    A-Z is lower-cased. Null and empty texts have no words, labels or spans and score 0. Repeated rows
+    A-Z is lower-cased, no other letter. The time grows with the length of a text times the rules whose keywords
+    it holds, and suppression sorts its detections. Null and empty texts have no words, labels or spans and score 0. Repeated rows
     repeat; an empty table gives an empty result; other columns are not read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
