@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,12 @@ _SPACE = re.compile(r"\s+")
 #: Elements by kind.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption button select option label".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object canvas audio video textarea title head".split())
+RAW = frozenset("script style template iframe svg textarea title head".split())
 CLOSED_BY = {"p": frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()),
              "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr", "tbody", "tfoot")), "td": frozenset(("td", "th", "tr", "tbody", "tfoot")),
              "th": frozenset(("td", "th", "tr", "tbody", "tfoot")), "option": frozenset(("option",))}
 SCOPE = frozenset("table td th ul ol div article section body html".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 KINDS = tuple("article main section div p h1 h2 h3 h4 ul ol li table td blockquote pre nav header footer aside form button label body figure".split())
 GOOD = tuple("content article post entry story main body text prose page blog hentry".split())
 BAD = tuple(("nav menu breadcrumb toc pag tabs header masthead brand banner top logo footer bottom copyright legal colophon side aside widget relat recommend trend popular tag author archive ad ads "
@@ -56,11 +58,17 @@ def _names(attrs: str) -> str:
 
 
 def parse(page: str | None) -> Node:
-    """The tree of block elements of a page; null: an empty one. Inline elements only count their links."""
+    """The tree of block elements of a page; null: an empty one. Inline elements only count their links.
+
+    The open elements are a stack with an index by name, so neither an end tag nor a new block searches it."""
     root = Node("body", "", None)
-    page = (page or "").replace("\x00", "")
+    page = page or ""
     here, run, linked = root, [], []
     open_tags: list[tuple[str, Node | None]] = []  # element and its node (None: inline)
+    places: dict[str, list[int]] = {}  # of each name in the stack
+    blocks: list[int] = []  # places of block elements
+    bounds: list[int] = []  # places of elements that end at, or stop, a new block
+    never_ended: set[str] = set()
     in_link = 0
     tallies: dict[int, int] = {}
 
@@ -81,7 +89,20 @@ def parse(page: str | None) -> Node:
                 here = node.up
             elif tag == "a":
                 in_link = max(0, in_link - 1)
+            places[tag].pop()
         del open_tags[k:]
+        for stack in (blocks, bounds):
+            while stack and stack[-1] >= k:
+                stack.pop()
+
+    def push(tag: str, node: Node | None):
+        at = len(open_tags)
+        open_tags.append((tag, node))
+        places.setdefault(tag, []).append(at)
+        if tag in BLOCKS:
+            blocks.append(at)
+        if tag in SCOPE or tag in CLOSED_BY:
+            bounds.append(at)
 
     at, n = 0, len(page)
     while at < n:
@@ -101,18 +122,16 @@ def parse(page: str | None) -> Node:
         if m.group(1):
             if tag in ("html", "body"):
                 continue
-            heading = len(tag) == 2 and tag[0] == "h" and tag[1] in "123456"
-            for k in range(len(open_tags) - 1, -1, -1):
-                own = open_tags[k][0]
-                if own == tag or heading and len(own) == 2 and own[0] == "h" and own[1] in "123456":
-                    pop_to(k)
-                    break
-                if tag not in BLOCKS and own in BLOCKS:
-                    break
+            same = HEADINGS if tag in HEADINGS else (tag,)
+            k = max((places[t][-1] for t in same if places.get(t)), default=-1)
+            if k >= 0 and (tag in BLOCKS or not blocks or blocks[-1] < k):  # an inline end tag stays within its block
+                pop_to(k)
             continue
         if tag in RAW:
             if tag != "head":  # its elements are met one by one
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                end = None if tag in never_ended else re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                if not end:
+                    never_ended.add(tag)
                 at = end.end() if end else n if tag in ("script", "style", "textarea", "title") else at
             continue
         if tag == "br":
@@ -125,7 +144,7 @@ def parse(page: str | None) -> Node:
             root.names = (root.names + " " + names).strip()
             continue
         if tag in BLOCKS:
-            for k in range(len(open_tags) - 1, -1, -1):
+            for k in reversed(bounds):  # few: each kind closes itself or stops the search
                 own = open_tags[k][0]
                 if own in CLOSED_BY and tag in CLOSED_BY[own]:
                     pop_to(k)
@@ -139,9 +158,9 @@ def parse(page: str | None) -> Node:
             here.kids.append(node)
             here.parts.append(node)
             here = node
-            open_tags.append((tag, node))
+            push(tag, node)
         else:
-            open_tags.append((tag, None))
+            push(tag, None)
             in_link += tag == "a"
     flush()
     _measure(root, tallies)
@@ -184,13 +203,12 @@ def features(root: Node, flags: Flags) -> tuple[list[Node], np.ndarray]:
     nodes, rows = [], []
     total = max(1, root.chars)
     most = len(KINDS)
-    stack = [(root, 0, 1, (0.0,) * 8, 0.0)]
+    stack = [(root, 0, 1, (0.0,) * 8, 0.0, 1)]
     while stack:
-        node, place, n, above, prev = stack.pop()
+        node, place, n, above, prev, same = stack.pop()
         own = flags[node.tag, node.names]
         up = node.up or node
         nodes.append(node)
-        same = sum(k.tag == node.tag for k in up.kids)
         mean = up.chars / max(1, len(up.kids))
         rows.append((*own, *above, min(node.depth, 12), node.chars, node.chars / total, node.linked / max(1, node.chars), node.words / max(1, node.blocks), node.stops / max(1, node.words),
                      node.blocks, len(node.kids), node.chars / max(1, up.chars), place / max(1, n), n, same, node.chars / (mean + 1), prev, up.linked / max(1, up.chars), up.chars / total))
@@ -199,7 +217,8 @@ def features(root: Node, flags: Flags) -> tuple[list[Node], np.ndarray]:
         here = (max(above[0], t in ("article", "main")), max(above[1], t in ("nav", "header", "footer", "aside", "form", "button", "label", "select")), above[2] + good, above[3] + bad,
                 max(above[4], own[most + 3]), max(above[5], own[most + 4]), max(above[6], own[most + 5]), max(above[7], own[most + 6]))
         kids = node.kids
-        stack += [(k, i, len(kids), here, float(kids[i - 1].chars) if i else 0.0) for i, k in reversed(list(enumerate(kids)))]
+        alike = Counter(k.tag for k in kids)
+        stack += [(k, i, len(kids), here, float(kids[i - 1].chars) if i else 0.0, alike[k.tag]) for i, k in reversed(list(enumerate(kids)))]
     return nodes, np.array(rows, np.float32)
 
 
