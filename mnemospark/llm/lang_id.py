@@ -14,36 +14,35 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, table, through_python
+from .common import held_out, table, through_python
 
-#: Rows sampled for each language, and bytes that a dictionary keeps of them.
-SAMPLE_ROWS, DICTIONARY_BYTES = 400, 160_000
-#: Languages that are learned: the most frequent ones. With DICTIONARY_BYTES it bounds the model that is broadcast.
-MAX_LANGS = 400
-LEVEL, MIN_MARGIN = 3, 0.01
-#: Texts below this many bytes are encoded with so many parts of each dictionary, too.
-SHORT_BYTES, SHORT_PARTS, SHORT_LEVEL = 400, 8, 9
+#: Characters of a passage. Passages of whole texts are what dictionaries are made of.
+PASSAGE_CHARS = 512
+#: Bytes that a dictionary is to hold, and bytes of all together: with more languages than fit, each has less.
+DICTIONARY_BYTES, MODEL_BYTES = 160_000, 64 << 20
+LEVEL, MIN_MARGIN = 6, 0.01
 
 
-def dictionaries(docs: DataFrame, rows: int = SAMPLE_ROWS, size: int = DICTIONARY_BYTES, seed: int = 11) -> dict[str, bytes]:
-    """One raw-content dictionary for each non-null lang of docs (the MAX_LANGS most frequent), from at most
-    about `rows` texts of each.
+def dictionaries(docs: DataFrame, size: int = DICTIONARY_BYTES, model: int = MODEL_BYTES, seed: int = 11) -> dict[str, bytes]:
+    """One raw-content dictionary for each non-null lang of docs, made of a sample of passages.
 
-    Null and empty texts teach nothing. The driver receives rows x languages texts, of which each gives
-    8 KB at most, so that one long document cannot fill a dictionary.
+    All texts are cut in passages of PASSAGE_CHARS, wherever they stand, and drawn by a hash at a rate that gives
+    about min(size, model / languages) bytes of each language; all passages set the rate. The driver receives
+    one count per language and about `model` bytes at most. Null and empty texts teach nothing; repeated rows
+    count as often as they come; ties of the hash go by the passage itself.
     """
     known = docs.where("lang IS NOT NULL AND length(text) > 0").select("doc_id", "lang", "text")
-    frequent = [r[0] for r in known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGS).collect()]
-    known = known.where(F.col("lang").isin(frequent))
-    sample = bounded_sample(known, rows, "lang", seed).select("lang", F.xxhash64(F.lit(seed), "doc_id").alias("h"), F.substring("text", 1, 8192).alias("text"))
+    chars = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    if not chars:
+        return {}
+    share = min(size, model // len(chars))
+    rate = F.create_map(*[x for k, n in chars.items() for x in (F.lit(k), F.lit(int(min(1.0, share / n) * (1 << 40))))])
+    passages = known.select("doc_id", "lang", rate[F.col("lang")].alias("rate"), F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PASSAGE_CHARS}}}"), F.lit(0))).alias("at", "passage"))
+    drawn = passages.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "at")).where(F.pmod("h", F.lit(1 << 40)) < F.col("rate"))
     texts: dict[str, list] = {}
-    for lang, h, text in sample.collect():
-        texts.setdefault(lang, []).append((h, text))
-    out = {}
-    for lang in sorted(texts):
-        whole = b" ".join(plain(t) for _, t in sorted(texts[lang]))
-        out[lang] = whole[-size:]
-    return out
+    for lang, h, passage in drawn.select("lang", "h", "passage").collect():
+        texts.setdefault(lang, []).append((h, passage))
+    return {lang: b" ".join(plain(t) for _, t in sorted(texts[lang])) for lang in sorted(texts)}
 
 
 _OTHER = re.compile(r"[\W\d_]+")
@@ -55,16 +54,11 @@ def plain(text: str) -> bytes:
 
 
 class Compressors:
-    """Compressors per language and the decision from their sizes. A short text is encoded with the parts of
-    the dictionary as well, and the sizes are summed: one size in whole bytes is too coarse for it."""
+    """A compressor per language and the decision from the sizes it gives, one and the same for every length."""
 
     def __init__(self, content: dict[str, bytes], level: int = LEVEL):
         self.langs = sorted(content)
         self.whole = [self._of(content[x], level) for x in self.langs]
-        self.parts = []
-        for x in self.langs:
-            data, step = content[x], max(1, -(-len(content[x]) // SHORT_PARTS))
-            self.parts.append([self._of(data[at:at + step], SHORT_LEVEL) for at in range(0, len(data), step)])
 
     @staticmethod
     def _of(data: bytes, level: int):
@@ -79,8 +73,6 @@ class Compressors:
             return "und", 0.0
         data = plain(text)
         sizes = [len(c.compress(data)) for c in self.whole]
-        if len(data) < SHORT_BYTES:
-            sizes = [n + sum(len(c.compress(data)) for c in parts) for n, parts in zip(sizes, self.parts)]
         best = min(range(len(sizes)), key=sizes.__getitem__)
         rest = min((s for k, s in enumerate(sizes) if k != best), default=None)
         return self.langs[best], 1.0 if rest is None else (rest - sizes[best]) / rest
@@ -90,7 +82,7 @@ def identify(docs: DataFrame, content: dict[str, bytes], min_margin: float = MIN
     """One row per row of docs: doc_id, lang_pred, score (the margin), accepted (a margin of min_margin or
     more). Repeated rows repeat the result; an empty table gives none; other columns are not read."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(content)  # size: DICTIONARY_BYTES x languages
+    shared = docs.sparkSession.sparkContext.broadcast(content)  # MODEL_BYTES at most, about
 
     def work():
         compressors = Compressors(shared.value)
