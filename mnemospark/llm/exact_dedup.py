@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, small, table
+from .common import SPACE, cut, join_by_class, small, table, unused
 
 #: Bits of the remainder within a block.
 REMAINDER_BITS = 40
@@ -68,9 +68,17 @@ class CountingQuotientFilter:
         return (self.quotients << np.uint64(REMAINDER_BITS)) | self.remainders
 
     def merge(self, other: "CountingQuotientFilter") -> "CountingQuotientFilter":
-        """A filter of both multisets: equal remainders of a run add their counters; nothing is lost."""
-        return CountingQuotientFilter.of(np.concatenate([self.fingerprints(), other.fingerprints()]),
-                                         np.concatenate([self.counts, other.counts]))
+        """A filter of both multisets: a merge of two sorted sequences of remainders. Equal remainders of a run
+        add their counters; nothing is lost."""
+        a, b = self.fingerprints(), other.fingerprints()
+        at = np.searchsorted(a, b)
+        same = np.zeros(len(b), bool)
+        inside = at < len(a)
+        same[inside] = a[at[inside]] == b[inside]
+        counts = self.counts.copy()
+        counts[at[same]] += other.counts[same]  # fingerprints of a filter are distinct
+        merged, counts = np.insert(a, at[~same], b[~same]), np.insert(counts, at[~same], other.counts[~same])
+        return CountingQuotientFilter(merged >> np.uint64(REMAINDER_BITS), merged & np.uint64((1 << REMAINDER_BITS) - 1), counts)
 
 
 def _blocks(n_rows: int, per_block: int) -> int:
@@ -135,7 +143,8 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     norm = normalised(text)
     narrow = cut(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(norm).alias("fp"), F.sha2(norm, 256).alias("text_sha256"))
                  .withColumn("row", F.monotonically_increasing_id()))
-    repeated = small(repeated_fingerprints(narrow, narrow.count()).select("fp"))  # texts of other documents are then not moved
+    n_rows = narrow.count()
+    repeated = small(repeated_fingerprints(narrow, n_rows).select("fp"))  # texts of other documents are then not moved
     # bytes are compared here: the texts themselves are the grouping key
     texts = docs.select(norm.alias("norm")).withColumn("fp", F.xxhash64("norm")).join(repeated, "fp", "left_semi")
     verified = (texts.groupBy("fp", "norm").agg(F.count("*").alias("n")).where("n > 1")
@@ -146,7 +155,7 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                .select("fp", "text_sha256", F.col("k.doc_id").alias("keep_id"), F.col("k.row").alias("keep_row"), F.col("k.twins").alias("twins")))
     classes = verified.join(keepers, ["fp", "text_sha256"]).drop("fp")
     alone = F.col("group_size").isNull()
-    return narrow.join(classes, "text_sha256", "left").select(
+    return join_by_class(narrow, cut(classes), "text_sha256", "group_size", n_rows).select(
         "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (alone | (F.col("row") == F.col("keep_row"))).alias("kept"), "text_sha256",
@@ -155,17 +164,19 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_groups drops; columns unchanged."""
-    groups = exact_groups(docs).where("group_size > 1")
-    groups = cut(groups)
-    gone = small(groups.where("NOT kept AND NOT (doc_id <=> keep_id)").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct())
-    again = small(groups.where("kept AND twins > 1").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")))
-    keyed = docs.withColumn("__sha256", F.sha2(normalised(), 256))
-    same = (F.col("doc_id").eqNullSafe(F.col("__id"))) & (F.col("__sha256") == F.col("__sha"))
+    """docs without the rows that exact_groups drops; columns unchanged, whatever their names. Null texts are empty
+    texts, of which one row stays; a row without doc_id stays if its group has no other; of rows that repeat
+    doc_id and text one stays; an empty table stays empty."""
+    theirs, sha, own = unused(docs, "id", "sha", "own_sha")
+    groups = cut(exact_groups(docs).where("group_size > 1").select(F.col("doc_id").alias(theirs), "keep_id", "kept", F.col("text_sha256").alias(sha), "twins"))
+    gone = small(groups.where(~F.col("kept") & ~F.col(theirs).eqNullSafe(F.col("keep_id"))).select(theirs, sha).distinct())
+    again = small(groups.where("kept AND twins > 1").select(theirs, sha))
+    keyed = docs.withColumn(own, F.sha2(normalised(), 256))
+    same = F.col("doc_id").eqNullSafe(F.col(theirs)) & (F.col(own) == F.col(sha))
     left = keyed.join(gone, same, "left_anti")
     once = left.join(again, same, "left_anti")
-    twins = left.join(again, same, "left_semi").dropDuplicates(["doc_id", "__sha256"])
-    return once.unionByName(twins).drop("__sha256")
+    twins = left.join(again, same, "left_semi").dropDuplicates(["doc_id", own])
+    return once.unionByName(twins).drop(own)
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:
