@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, small, table, through_python
+from .common import components, cut, give_back, join_by_class, small, table, through_python
 
 SEED = 42
 SEGMENTS = ((32, 32), (0, 32))
@@ -87,57 +87,60 @@ def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
 
-class _Forest:
-    """Union-find over one bucket."""
-
-    def __init__(self, n: int):
-        self.up = np.arange(n)
-
-    def root(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-
 def forest(fps: np.ndarray, probing: np.ndarray, radius: int, block: int = 512) -> list[tuple[int, int]]:
     """Links that span the components of a bucket under Hamming distance <= radius. fps: uint64, distinct
     within entries (probing 0) and within probes (1); two probes are not compared with each other, since
     the pair meets in another bucket if it is one. Memory is block x n; every pair is compared."""
     entries = np.flatnonzero(~probing)
-    if not len(entries):
-        return []
-    tree, links = _Forest(len(fps)), []
+    label, links = np.arange(len(fps)), []
     for at in range(0, len(entries), block):
         rows = entries[at:at + block]
         near = _popcount(fps[rows][:, None] ^ fps[None, :]) <= radius
         for k, i in enumerate(rows):
-            for j in np.flatnonzero(near[k]):
-                if j == i or (not probing[j] and j < i):
-                    continue
-                a, b = tree.root(i), tree.root(j)
-                if a != b:
-                    tree.up[max(a, b)] = min(a, b)
-                    links.append((int(i), int(j)))
+            j = np.flatnonzero(near[k])
+            own, first = np.unique(label[j], return_index=True)
+            for other, x in zip(own, j[first]):
+                if other != label[i]:
+                    links.append((int(i), int(x)))
+                    label[label == other] = label[i]
     return links
 
 
-def links(classes: DataFrame, radius: int = 3) -> DataFrame:
+#: Entries of a bucket beyond which it is split by the other segment, and rows of one that a task holds at once.
+HEAVY, HELD = 4_096, 1 << 18
+
+
+def links(classes: DataFrame, radius: int = 3, heavy: int = HEAVY) -> DataFrame:
     """classes: distinct fingerprints, columns fp (long), family (int) and node (long). Links (a, b) of nodes
     that connect the same components as all pairs of fingerprints of one family at Hamming distance <= radius;
-    radius 3 at most (two segments, balls of 1)."""
+    radius 3 at most (two segments, balls of 1).
+
+    A bucket with more than `heavy` entries is split: its members meet again by the other segment, which is cut
+    in two halves of 16 bits in the same way. A half leaves 65,536 values to the rest, so what one task compares
+    is bounded whatever the table."""
     if radius > 3:
         raise ValueError("two segments with balls of radius 1 cover a radius of 3 at most")
-    rows = []
-    for k, (shift, width) in enumerate(SEGMENTS):
-        value = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
-        ball = F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.shiftright(value, 0).bitwiseAND(_bit(j)) != 0)
-        probes = F.transform(ball, lambda j: F.struct(value.bitwiseXOR(_bit(j)).alias("key"), F.lit(True).alias("probe")))
-        entry = F.array(F.struct(value.alias("key"), F.lit(False).alias("probe")))
-        rows.append(F.transform(F.concat(entry, probes), lambda x: F.struct(((F.col("family") * 2 + k) * (1 << 32) + x["key"]).alias("key"), x["probe"].alias("probe"))))
-    met = classes.select("fp", "node", F.inline(F.concat(*rows)))
-    dealt = met.repartition("key").sortWithinPartitions("key", "probe")
+    value = [_segment("fp", shift, width) for shift, width in SEGMENTS]
+
+    def key(k: int, x):
+        return (F.col("family") * 2 + k) * (1 << 32) + x
+
+    def under(k: int):
+        return F.transform(_meetings(value[k], SEGMENTS[k][1]), lambda x: F.struct(key(k, x["key"]).alias("key"), x["probe"].alias("probe"), F.lit(k).alias("seg")))
+
+    met = classes.select("fp", "node", F.inline(F.concat(under(0), under(1))))
+    entries = classes.select(F.explode(F.array(*[key(k, v) for k, v in enumerate(value)])).alias("key"))
+    large = small(entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > heavy).select("key"))
+    if large.limit(1).count():
+        other = [_segment("fp", *SEGMENTS[1 - k]) for k in (0, 1)]
+        rest = F.when(F.col("seg") == 0, other[0]).otherwise(other[1])
+
+        def half(h: int):
+            return F.transform(_meetings(_segment(rest, 16 * h, 16), 16), lambda x: F.struct(F.xxhash64("key", F.lit(h), x["key"]).alias("key"), x["probe"].alias("probe")))
+
+        split = met.join(large, "key", "left_semi").select("fp", "node", F.inline(F.concat(half(0), half(1))))
+        met = met.join(large, "key", "left_anti").select("fp", "node", "key", "probe").unionByName(split)
+    dealt = met.select("fp", "node", "key", "probe").repartition("key").sortWithinPartitions("key", "probe")
 
     def link(batches):
         held: list[tuple] = []  # keys, fingerprints, probe or entry: of the buckets not yet solved
@@ -162,18 +165,33 @@ def links(classes: DataFrame, radius: int = 3) -> DataFrame:
                 continue
             fp, key, probe, node = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("fp", "key", "probe", "node"))
             held.append((key, fp.astype(np.int64).view(np.uint64), probe.astype(bool), node))
-            if key[-1] == held[0][0][0]:  # one bucket goes on
+            one = key[-1] == held[0][0][0]  # one bucket goes on
+            if one and sum(len(x[0]) for x in held) < HELD:
                 continue
             key, fp, probe, node = (np.concatenate(x) for x in zip(*held))
-            done = int(np.searchsorted(key, key[-1], "left"))  # the last bucket may go on in the next batch
+            # the last bucket may go on in the next batch; entries come first, and probes need not wait for each other
+            done = len(key) if one else int(np.searchsorted(key, key[-1], "left"))
             yield solve(key[:done], fp[:done], probe[:done], node[:done])
-            held = [(key[done:], fp[done:], probe[done:], node[done:])]
+            stay = ~probe if one else np.arange(len(key)) >= done
+            held = [(key[stay], fp[stay], probe[stay], node[stay])] if stay.any() else []
         if held:
             yield solve(*(np.concatenate(x) for x in zip(*held)))
+        give_back()
 
     return dealt.mapInArrow(link, "a long, b long")
 
 
+def _segment(fp, shift: int, width: int):
+    return F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1))
+
+
+def _meetings(value, width: int):
+    """An array of (key, probe): the value itself as an entry, and as probes the values with one set bit cleared."""
+    ball = F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: value.bitwiseAND(_bit(j)) != 0)
+    probes = F.transform(ball, lambda j: F.struct(value.bitwiseXOR(_bit(j)).alias("key"), F.lit(True).alias("probe")))
+    return F.concat(F.array(F.struct(value.alias("key"), F.lit(False).alias("probe"))), probes)
+
+
 def _bit(j):
     return F.expr("1L") * F.pow(F.lit(2.0), j).cast("long")
 
@@ -187,7 +205,7 @@ def near_groups(docs: DataFrame, words_in_shingle: int = 3, radius: int = 3, pri
     component. An empty table gives an empty result. Extra columns are not read.
     """
     each = cut(fingerprints(docs, words_in_shingle, prints, doc_id, text))
-    classes = cut(each.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    classes = cut(each.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     table_ = classes.select("fp", F.lit(0).cast("long").alias("family"), F.col("fp").alias("node"))
     same = None
     if prints > 1:
@@ -199,9 +217,10 @@ def near_groups(docs: DataFrame, words_in_shingle: int = 3, radius: int = 3, pri
     roots = components(found if same is None else found.union(same))
     linked = roots.join(classes.withColumnRenamed("fp", "node"), "node")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = (classes.join(linked.select(F.col("node").alias("fp"), "root"), "fp", "left").join(least, "root", "left")
-                .select("fp", F.coalesce("component_id", "least").alias("component_id")))
-    return each.join(of_class, "fp").select("doc_id", "fp", "component_id")
+    of_class = cut(classes.join(linked.select(F.col("node").alias("fp"), "root"), "fp", "left").join(least, "root", "left")
+                   .select("fp", "n", F.coalesce("component_id", "least").alias("component_id")))
+    n_rows = of_class.agg(F.sum("n")).first()[0] or 0
+    return join_by_class(each, of_class, "fp", "n", n_rows).select("doc_id", "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, words_in_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
