@@ -1,12 +1,16 @@
 """Mixing sources to target weights.
 
-The words of each source are one stream, cut in blocks of a fixed number of words. The mix is a row of
-slots, dealt to output shards: which source a slot has is a multinomial draw with the totals given, made by
-a pseudorandom permutation of all slots (the counts of a shard are then a draw without replacement). The
-k-th slot of a source takes the block that a pseudorandom permutation of its block indices, one for each
-round, maps k to; slots and blocks are joined by index. A source of which more than all is taken goes
+The words of each source are one stream, cut in blocks of a fixed length (of its own, where a source is too
+small for the usual one). The slots of the mix are dealt to output shards by multinomial draws: for each run of
+a source's slots the counts over the shards are drawn, all shards alike. So a shard's count of a source is as
+chance has it, and a source's total is what its target asks for, which a draw for each shard by itself would
+miss. The k-th slot of a source takes the block that a pseudorandom permutation of its block indices, one for
+each turn, maps k to; slots and blocks are joined by index. A source of which more than all is taken goes
 through its blocks once and then through a part of another permutation, so no block comes more than
 ceil(target / size) times.
+
+Sources are a table like any other: their order, their targets and their slots are made by jobs over it, so a
+source may be a host or an address. The driver gets sums only.
 """
 
 from __future__ import annotations
@@ -18,34 +22,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, sliced, table
+from .common import cut, give_back, numbered, sliced, small, table, unused
 
 BLOCK_WORDS, SHARD_SLOTS, SLOTS_PER_ROW = 32, 8192, 1 << 16
+#: A source has this many blocks at least, or blocks of one word.
+LEAST_BLOCKS = 64
 SHARE, CAP, WEIGHTS = 1.5, 2.0, (3, 1, 2)
 ROWS_PER_BUCKET = 2_000
-#: Sources (one short row each) up to which their table is broadcast.
-BROADCAST_SOURCES = 100_000
 _SPACE = "\\x20\\x09-\\x0D"
 
 
-def targets(sizes: dict, share: float = SHARE, cap: float = CAP, weights: tuple = WEIGHTS) -> dict:
-    """Words to take of each source. Sources in order of code points, null last, weigh `weights`, repeating;
-    together they take share times all words; none takes more than cap times its own, and what is above
-    goes to the others by weight."""
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: weights[k % len(weights)] for k, s in enumerate(order)}
-    out, rest, free = {}, share * sum(sizes.values()), list(order)
-    while free:
-        one = rest / sum(weight[s] for s in free)
-        above = [s for s in free if one * weight[s] > cap * sizes[s]]
-        if not above:
-            out |= {s: one * weight[s] for s in free}
+def with_targets(sources: DataFrame, share: float = SHARE, cap: float = CAP, weights: tuple = WEIGHTS) -> DataFrame:
+    """sources (source, source_size, and other columns) with sid, the place of a source in the order of code
+    points, null last, and target, the words to take of it. Sources weigh `weights`, repeating; together they
+    take share times all words; none takes more than cap times its own, and what is above goes to the others by
+    weight. Sizes of zero have target 0. Each round of resharing is one aggregation and caps one source at least
+    (most of them in the first rounds); only its sums reach the driver."""
+    rows = numbered(sources, "source").withColumnRenamed("rank", "sid")
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("sid") % len(weights) + 1).cast("int"))
+    rows = cut(rows.withColumn("w", w).withColumn("most", cap * F.col("source_size").cast("double")))
+    total, one = rows.agg(F.sum("source_size")).first()[0] or 0, 0.0
+    while True:
+        above = F.col("most") < one * F.col("w")
+        held, free = rows.agg(F.sum(F.when(above, F.col("most")).otherwise(0.0)), F.sum(F.when(above, 0.0).otherwise(F.col("w")))).first()
+        if not free:  # no row, or every source is capped
+            one = float("inf")
+            break
+        again = (share * total - held) / free
+        if again <= one:
             break
-        for s in above:
-            out[s] = float(cap * sizes[s])
-            rest -= out[s]
-            free.remove(s)
-    return {s: max(0.0, out.get(s, 0.0)) for s in order}
+        one = again
+    return rows.withColumn("target", F.least("most", one * F.col("w"))).drop("w", "most")
 
 
 def permuted(x: np.ndarray, n: np.ndarray | int, key: np.ndarray | int) -> np.ndarray:
@@ -72,25 +79,27 @@ def permuted(x: np.ndarray, n: np.ndarray | int, key: np.ndarray | int) -> np.nd
 
 
 class Mix:
-    """The plan of one mix and its tables; nothing but one row per source is held on the driver."""
+    """The plan of one mix and its tables, all of them jobs.
+
+    Null and empty texts have no words: they are in the plan, but nothing is taken of them. Null sources are one
+    source. Rows that repeat doc_id and text lie side by side in the stream of their source and count as often
+    as they come. A table without words gives a mix without slots. Other columns of docs are not read.
+    """
 
     def __init__(self, docs: DataFrame, share: float = SHARE, cap: float = CAP, weights: tuple = WEIGHTS, block: int = BLOCK_WORDS, seed: int = 77):
-        spark = docs.sparkSession
-        self.block, self.seed = block, seed
+        self.seed = seed
         size = F.coalesce(F.regexp_count("text", F.lit(f"[^{_SPACE}]+")), F.lit(0)).cast("long")
-        words = cut(docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("text_hash")))
-        found = words.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()
-        self.sizes = {r["source"]: r["size"] for r in found}
-        self.targets = targets(self.sizes, share, cap, weights)
-        self.order = list(self.targets)
-        self.n_blocks = [-(-self.sizes[s] // block) for s in self.order]
-        self.n_slots = [min(round(self.targets[s] / block), int(cap * n)) for s, n in zip(self.order, self.n_blocks)]
-        own = {r["source"]: max(1, r["rows"] // ROWS_PER_BUCKET) for r in found}  # a hot source has more buckets, not larger ones
-        rows = [(k, s, self.sizes[s], self.targets[s], own[s]) for k, s in enumerate(self.order)]
-        sources = spark.createDataFrame(rows, "sid int, source string, source_size long, target double, n_buckets long")
-        if len(rows) <= BROADCAST_SOURCES:
-            sources = F.broadcast(sources)
-        keyed = (words.withColumn("source", F.col("source").cast("string")).join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+        words = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64("text").alias("text_hash")))
+        sources = with_targets(words.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows")), share, cap, weights)
+        length = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.col("source_size") / LEAST_BLOCKS))).cast("long")
+        turns = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+        plan = sources.withColumns({"block_words": length, "turns": turns.cast("long")}).withColumn("n_blocks", F.ceil(F.col("source_size") / F.col("block_words")).cast("long"))
+        # whole turns take every word; the last, partial one takes the blocks that come nearest to the rest
+        part = F.round((F.col("target") - F.col("turns") * F.col("source_size")) / F.col("block_words")).cast("long")
+        plan = plan.withColumn("n_slots", F.col("turns") * F.col("n_blocks") + F.least(part, F.col("n_blocks")))
+        self.sources = cut(plan.withColumn("n_buckets", F.greatest(F.lit(1), F.floor(F.col("n_rows") / ROWS_PER_BUCKET))))  # a hot source has more buckets, not larger ones
+        named = small(self.sources.select(F.col("source").alias("s"), "sid", "source_size", "target", "block_words", "n_buckets"))
+        keyed = (words.join(named, F.col("source").eqNullSafe(F.col("s"))).drop("s")
                  .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_hash"), F.col("n_buckets"))))
         # running sums in two steps: within buckets, then over the buckets of a source
         local = F.sum("size").over(Window.partitionBy("sid", "bucket").orderBy("doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, 0))
@@ -103,37 +112,42 @@ class Mix:
     def fragments(self) -> DataFrame:
         """Blocks as the parts of documents that they hold: sid, block, first (of the document in its
         source), from_word (in the document), n_words."""
-        b = F.lit(self.block).cast("long")
+        b = F.col("block_words")
         end = F.col("first") + F.col("size")
-        cut_up = self.rows.where("size > 0").select("sid", "doc_id", "text_hash", "first", "size", F.explode(F.sequence(F.floor(F.col("first") / b), F.floor((end - 1) / b))).alias("block"))
+        cut_up = self.rows.where("size > 0").select("sid", "doc_id", "text_hash", "first", "size", "block_words", F.explode(F.sequence(F.floor(F.col("first") / b), F.floor((end - 1) / b))).alias("block"))
         lo, hi = F.greatest(F.col("first"), F.col("block") * b), F.least(F.col("first") + F.col("size"), (F.col("block") + 1) * b)
         return cut_up.select("sid", "block", "first", "doc_id", "text_hash", (lo - F.col("first")).alias("from_word"), (hi - lo).alias("n_words"))
 
     def slots(self) -> DataFrame:
-        """Every slot of the mix: shard, place, sid, block and turn (the round through the source's blocks)."""
-        spark = self.rows.sparkSession
-        n_slots, n_blocks = np.array(self.n_slots or [0], np.int64), np.array(self.n_blocks or [0], np.int64)
-        chunks = -(-n_slots // SLOTS_PER_ROW)
-        ends, starts = np.cumsum(chunks), np.cumsum(n_slots) - n_slots
-        total, seed = int(n_slots.sum()), self.seed
+        """Every slot of the mix: shard (about SHARD_SLOTS slots each), sid, block and turn (the round through the
+        source's blocks). A row of SLOTS_PER_ROW slots of one source draws its counts over all shards."""
+        seed = self.seed
+        shards = max(1, -(-(self.sources.agg(F.sum("n_slots")).first()[0] or 0) // SHARD_SLOTS))
+        runs = self.sources.where("n_slots > 0").select("sid", "n_slots", "n_blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / SLOTS_PER_ROW))).alias("run"))
+        dealt = runs.repartition("sid", "run")
 
         def run(batches):
             for batch in batches:
-                for c in batch.column(0).to_numpy():
-                    s = int(np.searchsorted(ends, c, "right"))
-                    j = np.arange((c - (ends[s] - chunks[s])) * SLOTS_PER_ROW, min(n_slots[s], (c - (ends[s] - chunks[s]) + 1) * SLOTS_PER_ROW), dtype=np.int64)
-                    turn = j // n_blocks[s]
-                    block = permuted(j % n_blocks[s], n_blocks[s], seed + 1 + s * 1_000_003 + turn * 7_919)
-                    at = permuted(starts[s] + j, total, seed)
-                    yield pa.RecordBatch.from_arrays([pa.array(at // SHARD_SLOTS), pa.array((at % SHARD_SLOTS).astype(np.int32)), pa.array(np.full(len(j), s, np.int32)),
-                                                      pa.array(block), pa.array(turn.astype(np.int32))], names=["shard", "place", "sid", "block", "turn"])
-
-        n = int(chunks.sum())
-        return spark.range(0, n, 1, max(1, min(n, 2000))).mapInArrow(run, "shard long, place int, sid int, block long, turn int")
+                out = [[], [], [], []]
+                for s, n, blocks, k in zip(*(c.to_pylist() for c in batch.columns)):
+                    j = np.arange(k * SLOTS_PER_ROW, min(n, (k + 1) * SLOTS_PER_ROW), dtype=np.int64)
+                    turn = j // blocks
+                    # the sum of uniform multinomial draws: each slot's shard, sorted, has just these counts
+                    shard = np.sort(np.random.default_rng([seed, s, k]).integers(0, shards, len(j)))
+                    for x, part in zip(out, (shard, np.full(len(j), s), permuted(j % blocks, blocks, (seed + 1 + s * 1_000_003 + turn * 7_919).astype(np.uint64)), turn)):
+                        x.append(part)
+                    if sum(map(len, out[0])) >= SLOTS_PER_ROW:
+                        yield _slots(out)
+                        out = [[], [], [], []]
+                if out[0]:
+                    yield _slots(out)
+            give_back()
+
+        return dealt.mapInArrow(run, "shard long, sid long, block long, turn int")
 
     def mixture(self) -> DataFrame:
         """The mix: slots joined with blocks by index. Rows of a slot in from_word order of first are its text.
-        The hint keeps the planner, which cannot know how many slots a row of the range makes, from a broadcast."""
+        The hint keeps the planner, which cannot know how many slots a row makes, from a broadcast."""
         return self.slots().hint("merge").join(self.fragments(), ["sid", "block"])
 
     def taken(self) -> DataFrame:
@@ -145,6 +159,11 @@ class Mix:
             self.rows.where("size = 0").select(*names, F.lit(0).cast("long").alias("taken")))
 
 
+def _slots(columns: list[list[np.ndarray]]) -> pa.RecordBatch:
+    shard, sid, block, turn = map(np.concatenate, columns)
+    return pa.RecordBatch.from_arrays([pa.array(shard), pa.array(sid), pa.array(block), pa.array(turn.astype(np.int32))], names=["shard", "sid", "block", "turn"])
+
+
 def word_runs(text: str, runs: list[tuple[int, int]]) -> str:
     """The parts of a text that hold words a to b - 1 of each run, white space inside kept, joined by \\n."""
     at = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
@@ -159,13 +178,14 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     doc_id and text count as often as they come and give one row per turn with the parts of all.
     """
     mix = Mix(docs)
-    parts = mix.mixture().groupBy("doc_id", "text_hash", "first", "turn").agg(F.array_sort(F.collect_list(F.struct("from_word", "n_words"))).alias("__parts"))
-    parts = cut(parts.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__parts"))
-    keyed = docs.withColumn("__text_hash", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
+    own_hash, their_id, their_hash, their_parts = unused(docs, "own_hash", "their_id", "their_hash", "their_parts")
+    parts = mix.mixture().groupBy("doc_id", "text_hash", "first", "turn").agg(F.array_sort(F.collect_list(F.struct("from_word", "n_words"))).alias(their_parts))
+    parts = cut(parts.select(F.col("doc_id").alias(their_id), F.col("text_hash").alias(their_hash), their_parts))
+    keyed = docs.withColumn(own_hash, F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col(their_id)) & (F.col(own_hash) == F.col(their_hash))
     repeated = mix.rows.groupBy("doc_id", "text_hash").count().where("count > 1")
     if repeated.limit(1).count():
-        keyed = keyed.dropDuplicates(["doc_id", "__text_hash"])
+        keyed = keyed.dropDuplicates(["doc_id", own_hash])
     joined = keyed.join(parts, same)
     schema = docs.schema
     names = docs.columns
@@ -173,7 +193,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in sliced(batches):
             texts = []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("__parts").to_pylist()):
+            for text, found in zip(batch.column("text").to_pylist(), batch.column(their_parts).to_pylist()):
                 runs: list[list[int]] = []
                 for p in found:
                     a, b = p["from_word"], p["from_word"] + p["n_words"]
@@ -185,8 +205,9 @@ def mix_documents(docs: DataFrame) -> DataFrame:
             cols = [pa.array(texts, pa.string()) if c == "text" else pa.array([len(t) for t in texts], batch.column(c).type) if c == "n_chars"
                     else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(cols, names=names)
+        give_back()
 
-    return joined.select(*[F.col(f"`{c}`") for c in names], "__parts").mapInArrow(run, schema)
+    return joined.select(*[F.col(f"`{c}`") for c in names], their_parts).mapInArrow(run, schema)
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

@@ -134,7 +134,8 @@ def test_simhash(docs, none):
     assert simhash.near_groups(none).count() == 0
 
 
-def test_simhash_links_planted_distances(spark):
+@pytest.mark.parametrize("heavy", [simhash.HEAVY, 2])
+def test_simhash_links_planted_distances(spark, heavy):
     r = random.Random(3)
     base = [r.getrandbits(64) for _ in range(30)]
     fps = set(base)
@@ -144,10 +145,11 @@ def test_simhash_links_planted_distances(spark):
             for bit in r.sample(range(64), d):
                 x ^= 1 << bit
             fps.add(x)
+        fps |= {b & ~0xFFFFFFFF | r.getrandbits(32) for _ in range(6)} | {b & ~0xFFFFFFFF | b & 0xFFFF | r.getrandbits(3) << 28 for _ in range(6)}  # full buckets
     fps = sorted(fps)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     df = spark.createDataFrame([(f, 0, f) for f in signed], "fp long, family long, node long")
-    got = {r["node"]: r["root"] for r in components(simhash.links(df)).collect()}
+    got = {r["node"]: r["root"] for r in components(simhash.links(df, heavy=heavy)).collect()}
     root = brute_components(fps, lambda a, b: (a ^ b).bit_count() <= 3)
     groups, mine = defaultdict(set), defaultdict(set)
     for f, s in zip(fps, signed):
@@ -206,6 +208,58 @@ def test_best_two_fit_replaces():
     assert packing.best_two_fit([]) == []
 
 
+def plain_best_two_fit(lengths, capacity):
+    left, out = Counter(lengths), []
+    while left := +left:
+        filled, gap = [], capacity
+        while fits := [n for n in left if left[n] and n <= gap]:
+            filled.append(max(fits))
+            left[filled[-1]] -= 1
+            gap -= filled[-1]
+        if gap and +left:
+            for total in range(gap + filled[-1], filled[-1], -1):
+                pairs = [a for a in +left if left[total - a] > (a == total - a)]
+                if pairs:
+                    a = max(pairs)
+                    left[filled.pop()] += 1
+                    left.subtract((a, total - a))
+                    filled += [a, total - a]
+                    break
+        out.append(filled)
+    return out
+
+
+def test_the_plan_is_best_two_fit_piece_by_piece():
+    r = random.Random(0)
+    for _ in range(200):
+        capacity = r.choice([7, 10, 23, 40])
+        lengths = [min(capacity, max(1, int(r.expovariate(4 / capacity)))) for _ in range(r.randint(0, 150))]
+        assert packing.best_two_fit(lengths, capacity) == plain_best_two_fit(lengths, capacity)
+
+
+def test_the_plan_does_not_grow_with_the_table():
+    counts = {n: 10**9 // n for n in range(1, 4097)}
+    plan = packing.plan_best_two_fit(counts)
+    total = Counter()
+    for filled, times in plan:
+        assert sum(filled) <= 4096
+        for n in filled:
+            total[n] += times
+    assert total == counts and len(plan) < 4096 * 9
+    assert sum(times for _, times in plan) == -(-sum(n * c for n, c in counts.items()) // 4096)
+
+
+def test_another_tokenizer_encodes_by_itself(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    path = str(tmp_path / "other.json")
+    other = Tokenizer(models.WordLevel({"a": 5, "B": 6, "-": 7, "?": 0}, unk_token="?"))
+    other.pre_tokenizer = pre_tokenizers.Whitespace()
+    other.save(path)
+    got = packing.pack_documents(spark.createDataFrame([(1, "a B-b")], "doc_id long, text string"), path, with_ids=True).collect()
+    assert np.frombuffer(got[0]["ids"], "<u4").tolist() == [5, 6, 7, 0, 1]
+
+
 def test_top_k(spark):
     r = np.random.default_rng(0)
     v = r.normal(size=(150, 6)).round(2)
@@ -235,7 +289,7 @@ def test_mixing(docs, none):
         assert abs(g.taken.sum() - g.target.iloc[0]) <= 8
     assert mixing.Mix(docs, block=4).taken().toPandas().sort_values(["doc_id", "taken"]).taken.tolist() == got.sort_values(["doc_id", "taken"]).taken.tolist()
     slots = mix.slots().toPandas()
-    assert len(slots) == sum(mix.n_slots) and not slots.duplicated(["shard", "place"]).any()
+    assert len(slots) == mix.sources.agg(F.sum("n_slots")).first()[0]
     assert mixing.Mix(none).taken().count() == 0
     plain = docs.select("doc_id", "text", "lang", "source")
     mixed = mixing.mix_documents(plain).toPandas()
@@ -243,11 +297,57 @@ def test_mixing(docs, none):
     assert sum(map(count, mixed.text)) == mixing.Mix(docs).taken().agg(F.sum("taken")).first()[0]
 
 
-def test_targets_stop_at_the_cap_and_reshare():
-    t = mixing.targets({"a": 100, "b": 1000, None: 10})
-    assert t[None] == 20 and t["a"] == 200 and sum(t.values()) == pytest.approx(1.5 * 1110)
-    assert list(mixing.targets({"b": 1, "a": 1, None: 1})) == ["a", "b", None]
-    assert mixing.targets({}) == {} and mixing.targets({"a": 0}) == {"a": 0.0}
+def plain_targets(sizes, share=1.5, cap=2.0, weights=(3, 1, 2)):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[k % 3] for k, s in enumerate(order)}
+    out, rest, free = {}, share * sum(sizes.values()), list(order)
+    while free:
+        one = rest / sum(weight[s] for s in free)
+        above = [s for s in free if one * weight[s] > cap * sizes[s]]
+        if not above:
+            return out | {s: one * weight[s] for s in free}
+        out |= {s: cap * sizes[s] for s in above}
+        rest = share * sum(sizes.values()) - sum(out.values())
+        free = [s for s in free if s not in out]
+    return out
+
+
+@pytest.mark.parametrize("sizes", [{"a": 100, "b": 1000, None: 10}, {"b": 1, "a": 1, None: 1}, {}, {"a": 0}, {f"s{k:03}": (k * 7919) % 997 for k in range(150)}])
+def test_targets_stop_at_the_cap_and_reshare(spark, sizes):
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(3)
+    got = mixing.with_targets(df).orderBy("sid").collect()
+    assert [r["source"] for r in got] == sorted(sizes, key=lambda s: (s is None, s or "")) and [r["sid"] for r in got] == list(range(len(sizes)))
+    assert {r["source"]: r["target"] for r in got} == pytest.approx(plain_targets(sizes))
+
+
+def test_mixing_small_sources_meet_their_targets(spark):
+    words = {"four": 4, "twenty": 20, "two hundred": 200, "big": 9_000, "none": 0}
+    rows = [(i, " ".join(["w"] * n), s) for i, (s, n) in enumerate(words.items())]
+    got = {r["source"]: r for r in mixing.Mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).taken().collect()}
+    for s, n in words.items():
+        assert abs(got[s]["taken"] - got[s]["target"]) <= max(1, min(32, n // 64)), s
+        assert got[s]["taken"] <= 2 * n
+    assert got["four"]["taken"] == 8 and got["twenty"]["taken"] == 40
+
+
+def test_mixing_joins_slots_and_blocks(spark):
+    """taken, again: the blocks that the permutations pick, cut from each source's stream of documents."""
+    r = random.Random(8)
+    rows = [(i, " ".join(["w"] * r.randint(0, 90)), r.choice("ab")) for i in range(200)]
+    mix = mixing.Mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    plan = {x["sid"]: x for x in mix.sources.collect()}
+    stream = defaultdict(list)  # source: document of each word
+    for x in sorted(mix.rows.collect(), key=lambda x: (x["sid"], x["first"])):
+        assert len(stream[x["sid"]]) == x["first"] or not x["size"]
+        stream[x["sid"]] += [x["doc_id"]] * x["size"]
+    want = Counter()
+    for s, p in plan.items():
+        b, n = p["block_words"], p["n_blocks"]
+        for j in range(p["n_slots"]):
+            turn = j // n
+            at = int(mixing.permuted(np.array([j % n]), n, mix.seed + 1 + s * 1_000_003 + turn * 7_919)[0])
+            want.update(stream[s][at * b:(at + 1) * b])
+    assert {x["doc_id"]: x["taken"] for x in mix.taken().collect()} == {i: want[i] for i, *_ in rows}
 
 
 def test_permutations():
