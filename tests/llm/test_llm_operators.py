@@ -260,7 +260,7 @@ def test_another_tokenizer_encodes_by_itself(spark, tmp_path):
     assert np.frombuffer(got[0]["ids"], "<u4").tolist() == [5, 6, 7, 0, 1]
 
 
-def test_top_k(spark):
+def test_top_k(spark, monkeypatch):
     r = np.random.default_rng(0)
     v = r.normal(size=(150, 6)).round(2)
     v[20:40] = v[20]  # ties
@@ -273,12 +273,28 @@ def test_top_k(spark):
         if i % 50 == 0:
             s = sorted((-int(q @ x), j) for b, (j, x) in enumerate(good) if b != a and len(x) == len(q))
             want.update((i, k + 1, j, -n) for k, (n, j) in enumerate(s[:5]))
-    for shard in (1000, 40):
-        got = topk.top_k(df, F.col("vec_id") % 50 == 0, shard_rows=shard, query_block=3).collect()
+    for shard, least, boxes in ((1000, 1, None), (1000, 32, None), (9, 4, None), (30, 8, 0)):
+        if boxes is not None:
+            monkeypatch.setattr(topk, "BOX_BYTES", boxes)
+        got = topk.top_k(df, F.col("vec_id") % 50 == 0, shard_rows=shard, least_shards=least).collect()
         assert Counter(tuple(x) for x in got) == want
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_huge_components(spark):
+    rows = [(k * 25, [1e300 * (-1) ** k, 3e16 * k, 5.0]) for k in range(9)] + [(7, []), (50, [])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, least_shards=4).collect()
+    most = (1 << 63) - 1
+    whole = lambda x: min(max(int(np.floor(256 * x)), -most - 1), most) if np.isfinite(256 * x) else (most if x > 0 else -most - 1)
+    v = [(i, [whole(x) for x in xs]) for i, xs in rows]
+    want = Counter()
+    for a, (i, q) in enumerate(v):
+        if i % 50 == 0:
+            s = sorted((-min(max(sum(x * y for x, y in zip(q, w)), -most - 1), most), j) for b, (j, w) in enumerate(v) if b != a and len(w) == len(q))
+            want.update((i, k + 1, j, -n) for k, (n, j) in enumerate(s[:5]))
+    assert Counter(tuple(x) for x in got) == want
+
+
 def test_mixing(docs, none):
     mix = mixing.Mix(docs, block=4)
     got = mix.taken().toPandas()
