@@ -81,7 +81,7 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
 
 
-def sliced(batches, rows: int = 256, size: int = 2 << 20):
+def sliced(batches, rows: int = 256, size: int = 512 << 10):
     """Arrow batches in slices of at most `rows` rows and about `size` bytes of text (a longer row is a slice of
     its own), so the Python objects of one slice are bounded whatever the lengths of the texts."""
     for batch in batches:
