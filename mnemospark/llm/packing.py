@@ -49,7 +49,7 @@ def _byte_letters() -> dict[int, str]:
 class Ids(dict):
     """Token ids (little-endian unsigned 32-bit) of white-space separated chunks, kept as they come up."""
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -59,10 +59,10 @@ class Ids(dict):
         self.splits = all(own.get(k) == v for k, v in _SPLITS.items()) and all(t["content"].startswith("<|") for t in own["added_tokens"])
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
         ids = [t.id for w in _WORD.findall(chunk) for t in self.model.tokenize(w.encode().decode("latin-1").translate(self.letters))]
-        self[chunk] = out = np.array(ids, "<u4").tobytes()
+        out = np.array(ids, "<u4").tobytes()
+        if len(self) < self.most:  # the chunks met first are the frequent ones; rare ones need no place
+            self[chunk] = out
         return out
 
     def of(self, text: str | None) -> bytes:
