@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, sliced, small, table, through_python, unused
+from .common import give_back, held_out, sliced, small, table, through_python, unused
 
 #: The labelled rows that the model is fitted on: about this many of label 1 and of label 0 at most, and fewer
 #: where their texts together would pass SAMPLE_CHARS characters. Rows of any length are drawn alike, and whole.
 TOXIC_ROWS, CLEAN_ROWS, SAMPLE_CHARS = 1_500, 4_500, 64_000_000
 #: Rows of each label in that sample, in the order of a hash, that the field itself is trained on, whole.
-FIELD_ROWS, EPOCHS, L2 = 300, 40, 1e-3
+FIELD_ROWS, EPOCHS, L2 = 200, 40, 1e-3
 _JUNK = re.compile(r"[^\w]+|_+")
 
 
@@ -202,6 +202,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, field_rows:
             value += 0.25 * (mom[2 * k] / (1 - 0.9**epoch)) / (np.sqrt(mom[2 * k + 1] / (1 - 0.98**epoch)) + 1e-6)
     model.weights = {f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-2 or f == "bias"}
     model.trans, model.start = trans, start
+    del rows, y, first, flat, word_of, unary, p, grads, mom, of_token
     known = Scores(model, 100_000)
     x = np.array([doc_signals(p) for part in sliced([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]) for p in batch(model, part.column(0).to_pylist(), known)])
     model.doc = _logistic(np.c_[np.ones(len(x)), x], labels.astype(float))
@@ -239,13 +240,13 @@ def doc_signals(p: np.ndarray) -> list[float]:
 class Scores(dict):
     """Scores of the words met so far."""
 
-    def __init__(self, model: Model, most: int = 200_000):
+    def __init__(self, model: Model, most: int = 300_000):
         self.model, self.most = model, most
 
     def __missing__(self, token: str) -> float:
-        if len(self) >= self.most:
-            self.clear()
-        self[token] = x = self.model.unary(token)
+        x = self.model.unary(token)
+        if len(self) < self.most:  # the words met first are the frequent ones; rare ones need no place
+            self[token] = x
         return x
 
 
@@ -293,7 +294,12 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clea
     got = (docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # toxic_rows + clean_rows narrow rows, about
            .groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).withColumn("h", F.xxhash64(F.lit(seed + 1), "doc_id")).collect())
     got.sort(key=lambda r: (r["h"], r["doc_id"]))
-    return fit([r["text"] for r in got], np.array([int(r["toxic"]) for r in got]))
+    texts, toxic = [r["text"] for r in got], np.array([int(r["toxic"]) for r in got])
+    del got
+    model = fit(texts, toxic)
+    del texts
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
