@@ -16,13 +16,20 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
-def l2_normalize(a: Column) -> Column:
+def _divisor(a: Column) -> Column:
+    """The norm, or one where it is next to zero."""
     n = norm(a)
-    return F.when(n > 1.1920929e-07, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    return F.when(n > 1.1920929e-07, n).otherwise(F.lit(1.0))
+
+
+def l2_normalize(a: Column) -> Column:
+    """The norm is bound as the element of an array of one, so it is computed once and not for each component."""
+    return F.get(F.transform(F.array(_divisor(a)), lambda n: F.transform(a, lambda x: x.cast("double") / n)), F.lit(0))
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(l2_normalize(a), l2_normalize(b))
+    """The dot product of both, normalised; a vector next to zero is taken as it is."""
+    return dot(a, b) / (_divisor(a) * _divisor(b))
 
 
 def mean_pool(df: DataFrame, by: list[str], vector: str) -> DataFrame:

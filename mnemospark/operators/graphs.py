@@ -135,11 +135,36 @@ def stale_communities(stored: DataFrame, edges: DataFrame) -> DataFrame:
             .select("community_id", F.when(F.size("member_entities") < 2, "too_small").otherwise("drifted").alias("reason")))
 
 
+def component_of_scope(edges: DataFrame, facts: DataFrame, scope: str, cutoff=None) -> DataFrame:
+    """Components (node, component) of the active edges whose ends are entities that facts of a scope link to, or
+    those facts themselves."""
+    own = facts.where(F.col("scope") == scope)
+    nodes = own.select(F.explode("entity_links").alias("node")).union(own.select(F.col("fact_id").alias("node"))).distinct()
+    active = edges.where(temporal.active_at(cutoff)) if cutoff is not None else edges
+    inside = active.join(nodes.withColumnRenamed("node", "in_id"), "in_id", "left_semi").join(nodes.withColumnRenamed("node", "out_id"), "out_id", "left_semi")
+    return components(inside)
+
+
+def ordered_edges(edges: DataFrame, limit: int | None = None) -> DataFrame:
+    """Edges by in_id, out_id and newest valid time first."""
+    out = edges.orderBy("in_id", "out_id", F.col("t_valid").desc(), "edge_id")
+    return out.limit(limit) if limit else out
+
+
+def overlapped_communities(stored: DataFrame, upserted: DataFrame) -> DataFrame:
+    """Stored communities that share a member with an upserted one and gave it no id: they are to be deleted."""
+    new = upserted.select(F.explode("member_entities").alias("m")).distinct()
+    hit = stored.select("community_id", F.explode("member_entities").alias("m")).join(new, "m", "left_semi").select("community_id").distinct()
+    return stored.join(hit, "community_id", "left_semi").join(upserted.select("community_id"), "community_id", "left_anti")
+
+
 def upsert_communities(stored: DataFrame, rebuilt: DataFrame) -> DataFrame:
-    """A rebuilt community keeps the smallest id among stored ones that share a member."""
+    """A rebuilt community keeps the smallest id among stored ones that share a member. An id goes to one of them
+    only, the first that has it."""
     old = stored.select("community_id", F.explode("member_entities").alias("m")).withColumnRenamed("community_id", "old_id")
     new = rebuilt.select("community_id", F.explode("member_entities").alias("m"))
     kept = new.join(old, "m").groupBy("community_id").agg(F.min("old_id").alias("old_id"))
+    kept = kept.groupBy("old_id").agg(F.min("community_id").alias("community_id"))
     return rebuilt.join(kept, "community_id", "left").withColumn("community_id", F.coalesce("old_id", "community_id")).drop("old_id")
 
 

@@ -16,14 +16,16 @@ K1, B = 1.2, 0.75
 
 
 def query_terms(query: str) -> list[str]:
+    """Runs of letters of any alphabet, or of digits; a query without either has no terms and matches nothing."""
     import re
 
-    return sorted(set(re.findall(r"[a-z]+|[0-9]+", query.lower())))
+    return sorted(set(re.findall(r"[^\W\d_]+|[0-9]+", query.lower())))
 
 
 def _times(low: Column, term: str) -> Column:
-    """How often a lower-case text holds a term as a whole token."""
-    kind = "0-9" if term.isdigit() else "a-z"
+    """How often a lower-case text holds a term as a whole token. A term of plain letters ends at any other one, as
+    it always did; one with other letters ends at what is no letter."""
+    kind = "0-9" if term.isdigit() else "a-z" if term.isascii() else r"\p{L}"
     return F.when(low.contains(term), F.regexp_count(low, F.lit(f"(?<![{kind}]){term}(?![{kind}])"))).otherwise(F.lit(0))
 
 

@@ -90,6 +90,30 @@ def invalidate(facts: DataFrame, requests: DataFrame, now) -> DataFrame:
     return out.withColumns({"t_invalid": F.col("_at"), "t_invalid_ingested": temporal.ts(now)}).drop("_at", "reason")
 
 
+def active_facts(facts: DataFrame, limit: int | None = None) -> DataFrame:
+    """Open facts, oldest first."""
+    out = facts.where(temporal.open_interval()).orderBy("t_valid", "fact_id")
+    return out.limit(limit) if limit else out
+
+
+def archived(episodes: DataFrame, limit: int | None = 100) -> DataFrame:
+    """Archived episodes, the last ones first."""
+    out = episodes.where("status = 'archived'").orderBy(F.col("archived_at").desc(), "episode_id")
+    return out.limit(limit) if limit else out
+
+
+def dashboard(facts: DataFrame, episodes: DataFrame, communities: DataFrame, edges: DataFrame, now, half_life: float = 100.0, below: float = 0.5, least: float | None = None,
+              age_days: float = 90, facts_limit: int | None = 500, episodes_limit: int | None = 200, archived_limit: int | None = 100) -> dict[str, DataFrame]:
+    """The four lists of the lifecycle console: open facts that are weak and not hot, episodes to archive (oldest
+    first), archived ones (last first) and stale communities."""
+    from .graphs import stale_communities
+
+    weak = low_confidence(facts.where(~temporal.is_hot(now, half_life)), now, half_life, below, least, facts_limit)
+    old = archival_candidates(episodes, facts, now, age_days).orderBy("t_ref", "episode_id")
+    return {"low_confidence": weak, "archival_candidates": old.limit(episodes_limit) if episodes_limit else old,
+            "archived": archived(episodes, archived_limit), "stale_communities": stale_communities(communities, edges.where(temporal.active_at(now)))}
+
+
 # -- provenance -------------------------------------------------------------------------------------------
 def provenance(facts: DataFrame, episodes: DataFrame, edges: DataFrame, newest: int = 10) -> DataFrame:
     """Sources of each fact: its own episode (direct) and, for every linked entity, the newest episodes of other
@@ -156,6 +180,62 @@ def draft_commit_plan(items: DataFrame) -> DataFrame:
     return p.where("item_type <> 'edge'").unionByName(edges).select("draft_id", stage.alias("stage"), "item_id", "name", "src", "relation", "dst")
 
 
+def draft_rows(items: DataFrame, entities: DataFrame, now) -> dict[str, DataFrame]:
+    """What a commit stores of approved and edited items (with columns scope and source_episode): entities, facts
+    and edges as rows of their tables.
+
+    An entity that is known by name or alias keeps its id. A fact links to the entities that its payload lists
+    (entity_links: names, ids or item ids) and each of them gets an edge involved_in. Ends of explicit edges are
+    resolved in the same way; an edge with an end that names nothing of the draft keeps the text as it is. A fact
+    without text, or without an episode to come from, is left out: see incomplete_items()."""
+    from ..functions import ids, text
+    from .relational import resolve_names
+
+    live = items.where(F.col("status").isin("approved", "edited"))
+    get = lambda *names: F.coalesce(*[F.when(F.trim(F.get_json_object("payload", f"$.{n}")) != "", F.get_json_object("payload", f"$.{n}")) for n in names])
+    own = live.where("item_type = 'entity'").select("draft_id", "item_id", get("canonical_name", "name", "content").alias("canonical_name"), F.coalesce(get("entity_type"), F.lit("concept")).alias("entity_type"),
+                                                    F.coalesce(F.from_json(F.get_json_object("payload", "$.aliases"), "array<string>"), F.array().cast("array<string>")).alias("aliases")).where("canonical_name IS NOT NULL")
+    known = resolve_names(own.select(F.col("canonical_name").alias("name")).distinct(), entities).select("name", F.col("entity_id").alias("_known"))
+    own = own.join(known, F.col("canonical_name") == F.col("name"), "left").withColumn("entity_id", F.coalesce("_known", ids.entity_id("entity_type", "canonical_name")))
+    fresh = own.where("_known IS NULL").dropDuplicates(["entity_id"]).select("entity_id", "entity_type", "canonical_name", text.normalize("canonical_name").alias("canonical_name_normalized"), "aliases")
+    named = (own.select("draft_id", F.col("item_id").alias("ref"), "entity_id").unionByName(own.select("draft_id", text.normalize("canonical_name").alias("ref"), "entity_id"))
+             .groupBy("draft_id", "ref").agg(F.min("entity_id").alias("id")))
+    content = F.coalesce(get("content", "source_text"), F.when(F.trim("source_snippet") != "", F.col("source_snippet")))
+    facts = (live.where("item_type = 'fact'").withColumn("content", content).withColumn("source_episode", F.coalesce(get("draft_episode_id", "source_episode"), "source_episode")).where("content IS NOT NULL AND source_episode IS NOT NULL")
+             .select("draft_id", "item_id", "scope", "content", F.coalesce(get("quote"), F.col("content")).alias("quote"), F.coalesce(get("fact_type"), F.lit("note")).alias("fact_type"), "source_episode",
+                     F.coalesce(F.try_to_timestamp(get("t_valid")).cast("timestamp_ntz"), temporal.ts(now)).alias("t_valid"), temporal.ts(now).alias("t_ingested"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
+                     F.coalesce(F.from_json(F.coalesce(F.get_json_object("payload", "$.entity_links"), F.get_json_object("payload", "$.entities")), "array<string>"), F.array().cast("array<string>")).alias("refs"))
+             .withColumn("fact_id", ids.fact_id("fact_type", "content", "source_episode", F.col("t_valid"))))
+    facts_named = facts.select("draft_id", F.col("item_id").alias("ref"), F.col("fact_id").alias("id"))
+    every = named.unionByName(facts_named)
+
+    def resolved(df: DataFrame, c: str) -> DataFrame:
+        exact, loose = every.toDF("_d", "_ref", "_exact"), every.toDF("_e", "_norm", "_loose")
+        out = df.join(exact, (F.col("draft_id") == F.col("_d")) & (F.col(c) == F.col("_ref")), "left").join(loose, (F.col("draft_id") == F.col("_e")) & (text.normalize(c) == F.col("_norm")), "left")
+        return out.withColumn(c, F.when(F.col(c).rlike("^(entity|fact|episode):"), F.col(c)).otherwise(F.coalesce("_exact", "_loose", c))).drop("_d", "_ref", "_exact", "_e", "_norm", "_loose")
+
+    links = resolved(facts.select("draft_id", "fact_id", F.explode("refs").alias("entity_id")), "entity_id").where(F.col("entity_id").startswith("entity:")).select("fact_id", "entity_id").distinct()
+    gathered = links.groupBy("fact_id").agg(F.array_sort(F.collect_set("entity_id")).alias("entity_links"))
+    stored = (facts.dropDuplicates(["fact_id"]).join(gathered, "fact_id", "left").withColumn("entity_links", F.coalesce("entity_links", F.array().cast("array<string>")))
+              .withColumn("provenance", F.create_map(F.lit("draft_id"), "draft_id", F.lit("draft_item_id"), "item_id", F.lit("source_episode"), "source_episode")))
+    at = [temporal.ts(now).alias("t_valid"), temporal.ts(now).alias("t_ingested")]
+    involved = stored.select("fact_id", "draft_id", "item_id", "confidence", F.explode("entity_links").alias("in_id")).select(
+        "in_id", F.lit("involved_in").alias("relation"), F.col("fact_id").alias("out_id"), F.lit(0.8).alias("strength"), F.greatest("confidence", F.lit(0.0)).alias("confidence"), "draft_id", "item_id", *at)
+    explicit = live.where("item_type = 'edge'").select("draft_id", "item_id", "confidence", get("from_id", "from", "in").alias("in_id"), get("to_id", "to", "out").alias("out_id"), F.coalesce(get("relation"), F.lit("related_to")).alias("relation"))
+    explicit = resolved(resolved(explicit.where("in_id IS NOT NULL AND out_id IS NOT NULL"), "in_id"), "out_id").select(
+        "in_id", "relation", "out_id", F.lit(1.0).alias("strength"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "draft_id", "item_id", *at)
+    edges = (involved.unionByName(explicit).withColumn("edge_id", ids.edge_id("in_id", "relation", "out_id", F.col("t_valid"))).dropDuplicates(["edge_id"])
+             .withColumn("provenance", F.create_map(F.lit("draft_id"), "draft_id", F.lit("draft_item_id"), "item_id")).drop("draft_id", "item_id"))
+    return {"entity": fresh, "fact": stored.drop("refs", "draft_id", "item_id"), "edge": edges}
+
+
+def incomplete_items(items: DataFrame) -> DataFrame:
+    """Approved and edited facts without text: a commit refuses a draft that has one."""
+    get = lambda n: F.coalesce(F.trim(F.get_json_object("payload", f"$.{n}")), F.lit(""))
+    text_of = F.concat(get("content"), get("source_text"), F.coalesce(F.trim("source_snippet"), F.lit("")))
+    return items.where(F.col("status").isin("approved", "edited") & (F.col("item_type") == "fact") & (text_of == "")).select("draft_id", "item_id")
+
+
 # -- embeddings -------------------------------------------------------------------------------------------
 def pending_reembed(facts: DataFrame) -> DataFrame:
     return facts.where("embedding_next IS NULL")

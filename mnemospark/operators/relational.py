@@ -95,8 +95,22 @@ def new_entities(candidates: DataFrame, entities: DataFrame) -> DataFrame:
     return fresh.select("entity_id", "entity_type", "canonical_name", text.normalize("canonical_name").alias("canonical_name_normalized"), F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))
 
 
+def entities_by_ids(entities: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Entities whose entity_id is among the wanted ones."""
+    return entities.join(wanted.select("entity_id").distinct(), "entity_id", "left_semi")
+
+
+def entity_keys(facts: DataFrame, entities: DataFrame) -> DataFrame:
+    """Per fact (fact_id, names) the normalised names and aliases of the entities it links to, distinct and sorted."""
+    named = entities.select("entity_id", F.explode(F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"))
+    links = facts.select("fact_id", F.explode("entity_links").alias("entity_id"))
+    names = links.join(named, "entity_id").select("fact_id", text.normalize("name").alias("name")).where("name <> ''")
+    return names.groupBy("fact_id").agg(F.array_sort(F.collect_set("name")).alias("names"))
+
+
 def alias_expansions(query: str, entities: DataFrame) -> DataFrame:
-    """Rewrites of a query with a matched name replaced by each other name of its entity: distinct, sorted."""
+    """Rewrites of a query with a matched name replaced by each other name of its entity: distinct, sorted. Every
+    span of words is looked up, single capitalised words among them."""
     words = query.split()
     spans = [(a, n, " ".join(words[a:a + n])) for n in range(len(words), 0, -1) for a in range(len(words) - n + 1)]
     spans = [s for s in spans if len(s[2].encode()) >= 2]

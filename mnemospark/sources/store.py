@@ -7,9 +7,11 @@ and a real run appends.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import hashlib
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, MapType, StructField, StructType
 
 from ..schemas import KEYS, TABLES
 
@@ -39,9 +41,15 @@ def decode_edges(df: DataFrame) -> DataFrame:
 
 def latest_versions(df: DataFrame, key: str, version: str = VERSION) -> DataFrame:
     """The newest version of each key, without keys whose newest version is a tombstone. An aggregation with
-    map-side combine, not a window, so a key with many versions is no hot task."""
-    cols = [c for c in df.columns if c != key]
-    newest = df.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(version)).alias("row")).select(key, "row.*")
+    map-side combine, not a window, so a key with many versions is no hot task.
+
+    A row never moves to another scope, so scope is part of the grouping key: a filter on it (or on the key) passes
+    the aggregation and prunes folders. Of equal versions a tombstone wins, then the larger hash of the row."""
+    keys = [key, *(c for c in ("scope",) if c in df.columns and c != key)]
+    cols = [c for c in df.columns if c not in keys]
+    hashed = F.xxhash64(*[c for c in cols if not isinstance(df.schema[c].dataType, MapType)])
+    gone = F.coalesce(F.col(GONE), F.lit(False)) if GONE in cols else F.lit(False)
+    newest = df.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct(F.col(version), gone, hashed)).alias("row")).select(*keys, "row.*").select(*df.columns)
     return newest.where(~F.coalesce(F.col(GONE), F.lit(False))) if GONE in cols else newest
 
 
@@ -73,8 +81,11 @@ class MemoryStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(path)
 
-    def read(self, table: str) -> DataFrame:
+    def read(self, table: str, scope: str | None = None) -> DataFrame:
+        """The newest rows; with a scope, those of its folder alone."""
         df = self.versions(table)
+        if scope is not None and "scope" in df.columns:
+            df = df.where(F.col("scope") == scope)
         if table == "access_log":
             return df.drop(VERSION, GONE)
         return latest_versions(df, KEYS[table]).select(*TABLES[table].names)
@@ -94,6 +105,25 @@ class MemoryStore:
     def delete(self, table: str, keys: DataFrame, version: int) -> None:
         self.append(table, keys, version, deleted=True)
 
+    def migrate(self, scripts: list[tuple[str, str, str]], version: int) -> list[str]:
+        """Applies scripts (name, table, SQL of rows to append to it) in order, each once; returns the names of those
+        it applied. A script that was applied with another text is an error, before anything is run."""
+        path, schema = f"{self.path}/_migrations", "name string, checksum string, version long"
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        found = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+        known = {r["name"]: r["checksum"] for r in self.spark.read.schema(schema).parquet(path).collect()} if found else {}  # a row per script
+        sums = {name: hashlib.sha256(f"{table}\n{sql}".encode()).hexdigest() for name, table, sql in scripts}
+        changed = [name for name, checksum in sums.items() if known.get(name, checksum) != checksum]
+        if changed:
+            raise ValueError(f"migrations were modified after they ran: {', '.join(changed)}")
+        done = []
+        for name, table, sql in scripts:
+            if name not in known:
+                self.append(table, self.query(sql), version)
+                self.spark.createDataFrame([(name, sums[name], version)], schema).write.mode("append").parquet(path)
+                done.append(name)
+        return done
+
     def query(self, sql: str, **args) -> DataFrame:
         """Free SQL over the tables, with named parameters."""
         for table in TABLES:

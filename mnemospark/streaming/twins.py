@@ -51,24 +51,43 @@ def supersede(stream: DataFrame) -> DataFrame:
     state = "edge_id string, t_valid long, t_ingested long"
 
     def step(key, frames, held):
+        import numpy as np
         import pandas as pd
 
         now = held.get if held.exists else None
-        done = []
-        rows = pd.concat(list(frames)).sort_values(["t_ingested", "t_valid", "edge_id"])
-        for r in rows.itertuples():
-            v, i = r.t_valid.value, r.t_ingested.value
-            if now is None or v >= now[1]:
-                if now is not None:
-                    done.append((*key, now[0], r.t_valid, r.t_ingested))
-                now = (r.edge_id, v, i)
-        held.update(now)
-        yield pd.DataFrame(done, columns=["in_id", "relation", "out_id", "edge_id", "t_invalid", "t_invalid_ingested"])
+        names = ["in_id", "relation", "out_id", "edge_id", "t_invalid", "t_invalid_ingested"]
+        for rows in frames:  # one Arrow batch at a time; batches of a group come in any order, state joins them
+            rows = rows.sort_values(["t_ingested", "t_valid", "edge_id"])
+            v, i = (rows[c].astype("int64").to_numpy() for c in ("t_valid", "t_ingested"))
+            most = np.maximum.accumulate(np.r_[now[1] if now else np.iinfo(np.int64).min, v])
+            newer = np.flatnonzero(v >= most[:-1])  # each of these closes the one before it
+            if not len(newer):
+                continue
+            own = rows.iloc[newer]
+            closed = own["edge_id"].shift(fill_value=now[0] if now else "")
+            first = 0 if now else 1
+            yield pd.DataFrame({**dict(zip(names, key)), "edge_id": closed[first:], "t_invalid": own["t_valid"][first:], "t_invalid_ingested": own["t_ingested"][first:]}, columns=names)
+            now = (str(own["edge_id"].iloc[-1]), int(v[newer[-1]]), int(i[newer[-1]]))
+        if now:
+            held.update(now)
 
     typed = stream.withColumns({c: F.col(c).cast("timestamp") for c in ("t_valid", "t_ingested")})
     return typed.groupBy("in_id", "relation", "out_id").applyInPandasWithState(step, out, state, "append", "NoTimeout")
 
 
+def periodic(clock: DataFrame, engine, path: str, **settings):
+    """Decay and archival at each batch of a stream with a column ts (a rate source, or ticks that a scheduler
+    writes): the batch's latest ts is the time of the pass, so a replayed batch changes nothing more. path: of the
+    stream's checkpoint, in the shared folder."""
+
+    def step(batch: DataFrame, _: int) -> None:
+        last = batch.agg(F.max(F.col("ts").cast("timestamp_ntz"))).first()[0]
+        if last is not None:
+            engine.maintain(last, **settings)
+
+    return clock.writeStream.foreachBatch(step).option("checkpointLocation", path)
+
+
 def run_available(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what there is into a memory table and returns it; for tests and small results."""
     q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()

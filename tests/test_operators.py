@@ -65,7 +65,7 @@ def test_legs_and_fallback(spark):
     eps = spark.createDataFrame([("episode:3", "alice wrote this", D(1, 3), "personal")], "episode_id string, content string, t_ref timestamp_ntz, scope string")
     t = MemoryTables(f, eps, ent, edges(spark, [("entity:a", "entity:b")]), spark.createDataFrame([], schemas.COMMUNITY))
     rows = assemble_context(t, ContextRequest("alice", "personal", D(2, 1))).orderBy("place").collect()
-    assert [r["fact_id"] for r in rows] == ["lex", "linked", None] and rows[2]["source_episode"] == "episode:3"
+    assert [r["fact_id"] for r in rows] == ["lex", "linked", "episode:3"] and rows[2]["source_episode"] == "episode:3"
 
 
 def test_reciprocal_rank_sums_over_legs(spark):
