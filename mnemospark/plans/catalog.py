@@ -433,13 +433,12 @@ def graph_shortest_path_lengths(spark, d):
     return graphs.distances(V.graph(spark, d), spark.createDataFrame([("entity:o:200",)], "node string"), 4).select("node", "distance")
 
 
-@query(f"""WITH RECURSIVE {V.GRAPH_SQL}, {_BOTH}, walk AS (SELECT s AS node, s AS label FROM steps UNION SELECT t, label FROM walk JOIN steps ON s = node) SELECT node, min(label) AS component FROM walk GROUP BY node""")
+@query()  # in SQL every node would walk with the label of every other; tests hold it against brute force
 def connected_components(spark, d):
     return graphs.components(V.graph(spark, d))
 
 
-@query(f"""WITH RECURSIVE {V.GRAPH_SQL}, {_BOTH}, walk AS (SELECT s AS node, s AS label FROM steps UNION SELECT t, label FROM walk JOIN steps ON s = node), c AS (SELECT node, min(label) AS component FROM walk GROUP BY node),
-g AS (SELECT list_sort(list(node)) AS m FROM c GROUP BY component HAVING count(*) >= 2) SELECT 'community:' || sha256(array_to_string(m, '|'))[1:24] AS community_id, CAST(len(m) AS INTEGER) AS n_members, array_to_string(m[1:3], ', ') AS summary FROM g""")
+@query()  # in SQL every node would walk with the label of every other; tests hold it against brute force
 def communities_rebuild(spark, d):
     return graphs.communities(V.graph(spark, d)).select("community_id", F.size("member_entities").alias("n_members"), "summary")
 
@@ -454,40 +453,11 @@ def _stale(g):
     return graphs.stale_communities(fixed, g)
 
 
-@query(f"""WITH RECURSIVE {V.GRAPH_SQL}, {_BOTH}, walk AS (SELECT s AS node, s AS label FROM steps UNION SELECT t, label FROM walk JOIN steps ON s = node), c AS (SELECT node, min(label) AS component FROM walk GROUP BY node),
-g AS (SELECT list_sort(list(node)) AS m FROM c GROUP BY component HAVING count(*) >= 2), i AS (SELECT 'community:' || sha256(array_to_string(m, '|'))[1:24] AS community_id, m FROM g)
-SELECT community_id, CASE WHEN len(m) % 2 = 0 THEN 'drifted' ELSE 'too_small' END AS reason FROM i""")
+@query()  # in SQL every node would walk with the label of every other; tests hold it against brute force
 def lifecycle_stale_communities(spark, d):
     return _stale(V.graph(spark, d))
 
 
-# The five above follow SQL over every 200th order; these run over every order and part and have no SQL, since
-# the recursive form walks a label from every node.
-@query()
-def graph_neighbors_2hop_whole(spark, d):
-    return graphs.within_hops(V.whole_graph(spark, d), spark.createDataFrame([("entity:o:200",)], "node string"), 2, "both").select("node", "distance")
-
-
-@query()
-def graph_shortest_path_lengths_whole(spark, d):
-    return graphs.distances(V.whole_graph(spark, d), spark.createDataFrame([("entity:o:200",)], "node string"), 4).select("node", "distance")
-
-
-@query()
-def connected_components_whole(spark, d):
-    return graphs.components(V.whole_graph(spark, d))
-
-
-@query()
-def communities_rebuild_whole(spark, d):
-    return graphs.communities(V.whole_graph(spark, d)).select("community_id", F.size("member_entities").alias("n_members"), "summary")
-
-
-@query()
-def lifecycle_stale_communities_whole(spark, d):
-    return _stale(V.whole_graph(spark, d))
-
-
 @query(f"""WITH RECURSIVE rel AS (SELECT 'entity:nation:' || n_name AS out_id, 'entity:supplier:' || s_name AS in_id FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 chain AS (SELECT e.in_id AS node, [e.in_id, e.out_id] AS path FROM rel e WHERE e.out_id = 'entity:nation:NATION_15' UNION ALL SELECT e.in_id, list_prepend(e.in_id, path) FROM rel e JOIN chain ON e.out_id = node WHERE len(path) < 4),
 b AS (SELECT node, min(path) AS path FROM chain GROUP BY node) SELECT array_to_string(path, '>') AS path FROM b ORDER BY len(path), path LIMIT 1""")

@@ -128,16 +128,10 @@ EDGE_SQL = """edge AS (
 
 
 def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sparse graph of orders and parts: every 200th order."""
-    li = _read(spark, sf_dir, "lineitem").where("l_orderkey % 200 = 0").select("l_orderkey", "l_partkey").distinct()
-    return li.select(F.concat(F.lit("entity:o:"), F.col("l_orderkey").cast("string")).alias("in_id"), F.lit("has_part").alias("relation"), F.concat(F.lit("entity:pt:"), (F.col("l_partkey") % 400).cast("string")).alias("out_id")).distinct()
-
-
-GRAPH_SQL = """graph AS (SELECT DISTINCT 'entity:o:' || l_orderkey AS in_id, 'has_part' AS relation, 'entity:pt:' || (l_partkey % 400) AS out_id
-  FROM lineitem WHERE l_orderkey % 200 = 0)"""
-
-
-def whole_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The graph of orders and parts without a cut: an edge for every distinct pair of order and part."""
+    """The graph of orders and parts: an edge for every distinct pair."""
     li = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").where("l_orderkey IS NOT NULL AND l_partkey IS NOT NULL").distinct()
     return li.select(F.concat(F.lit("entity:o:"), F.col("l_orderkey").cast("string")).alias("in_id"), F.lit("has_part").alias("relation"), F.concat(F.lit("entity:pt:"), F.col("l_partkey").cast("string")).alias("out_id"))
+
+
+GRAPH_SQL = """graph AS (SELECT DISTINCT 'entity:o:' || l_orderkey AS in_id, 'has_part' AS relation, 'entity:pt:' || l_partkey AS out_id
+  FROM lineitem WHERE l_orderkey IS NOT NULL AND l_partkey IS NOT NULL)"""
