@@ -94,9 +94,11 @@ class Mix:
         length = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.col("source_size") / LEAST_BLOCKS))).cast("long")
         turns = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
         plan = sources.withColumns({"block_words": length, "turns": turns.cast("long")}).withColumn("n_blocks", F.ceil(F.col("source_size") / F.col("block_words")).cast("long"))
-        # whole turns take every word; the last, partial one takes the blocks that come nearest to the rest
+        # whole turns take every word; the last, partial one takes as many full blocks as come nearest to the rest, so
+        # it is off by half a block at most (the short block at a source's end is in whole turns only)
+        plan = plan.withColumn("n_full", F.floor(F.col("source_size") / F.col("block_words")))
         part = F.round((F.col("target") - F.col("turns") * F.col("source_size")) / F.col("block_words")).cast("long")
-        plan = plan.withColumn("n_slots", F.col("turns") * F.col("n_blocks") + F.least(part, F.col("n_blocks")))
+        plan = plan.withColumn("n_slots", F.col("turns") * F.col("n_blocks") + F.when(part > F.col("n_full"), F.col("n_blocks")).otherwise(part))
         self.sources = cut(plan.withColumn("n_buckets", F.greatest(F.lit(1), F.floor(F.col("n_rows") / ROWS_PER_BUCKET))))  # a hot source has more buckets, not larger ones
         named = small(self.sources.select(F.col("source").alias("s"), "sid", "source_size", "target", "block_words", "n_buckets"))
         keyed = (words.join(named, F.col("source").eqNullSafe(F.col("s"))).drop("s")
@@ -123,18 +125,19 @@ class Mix:
         source's blocks). A row of SLOTS_PER_ROW slots of one source draws its counts over all shards."""
         seed = self.seed
         shards = max(1, -(-(self.sources.agg(F.sum("n_slots")).first()[0] or 0) // SHARD_SLOTS))
-        runs = self.sources.where("n_slots > 0").select("sid", "n_slots", "n_blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / SLOTS_PER_ROW))).alias("run"))
+        runs = self.sources.where("n_slots > 0").select("sid", "n_slots", "n_blocks", "n_full", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / SLOTS_PER_ROW))).alias("run"))
         dealt = runs.repartition("sid", "run")
 
         def run(batches):
             for batch in batches:
                 out = [[], [], [], []]
-                for s, n, blocks, k in zip(*(c.to_pylist() for c in batch.columns)):
+                for s, n, blocks, full, k in zip(*(c.to_pylist() for c in batch.columns)):
                     j = np.arange(k * SLOTS_PER_ROW, min(n, (k + 1) * SLOTS_PER_ROW), dtype=np.int64)
                     turn = j // blocks
+                    among = np.where((turn == n // blocks) & (n % blocks <= full), full, blocks)
                     # the sum of uniform multinomial draws: each slot's shard, sorted, has just these counts
                     shard = np.sort(np.random.default_rng([seed, s, k]).integers(0, shards, len(j)))
-                    for x, part in zip(out, (shard, np.full(len(j), s), permuted(j % blocks, blocks, (seed + 1 + s * 1_000_003 + turn * 7_919).astype(np.uint64)), turn)):
+                    for x, part in zip(out, (shard, np.full(len(j), s), permuted(j % blocks, among, (seed + 1 + s * 1_000_003 + turn * 7_919).astype(np.uint64)), turn)):
                         x.append(part)
                     if sum(map(len, out[0])) >= SLOTS_PER_ROW:
                         yield _slots(out)

@@ -341,7 +341,7 @@ def test_mixing_small_sources_meet_their_targets(spark):
     rows = [(i, " ".join(["w"] * n), s) for i, (s, n) in enumerate(words.items())]
     got = {r["source"]: r for r in mixing.Mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).taken().collect()}
     for s, n in words.items():
-        assert abs(got[s]["taken"] - got[s]["target"]) <= max(1, min(32, n // 64)), s
+        assert abs(got[s]["taken"] - got[s]["target"]) <= max(1, min(32, n // 64)) / 2, s
         assert got[s]["taken"] <= 2 * n
     assert got["four"]["taken"] == 8 and got["twenty"]["taken"] == 40
 
@@ -361,7 +361,8 @@ def test_mixing_joins_slots_and_blocks(spark):
         b, n = p["block_words"], p["n_blocks"]
         for j in range(p["n_slots"]):
             turn = j // n
-            at = int(mixing.permuted(np.array([j % n]), n, mix.seed + 1 + s * 1_000_003 + turn * 7_919)[0])
+            among = p["source_size"] // b if turn == p["n_slots"] // n else n  # the last turn takes full blocks
+            at = int(mixing.permuted(np.array([j % n]), among, mix.seed + 1 + s * 1_000_003 + turn * 7_919)[0])
             want.update(stream[s][at * b:(at + 1) * b])
     assert {x["doc_id"]: x["taken"] for x in mix.taken().collect()} == {i: want[i] for i, *_ in rows}
 
