@@ -202,27 +202,34 @@ def preprocess_queries(spark, d):
 _HAS = lambda c, words: " OR ".join(f"contains({c}, '{w}')" for w in words)
 
 
-@query(f"""WITH {V.EPISODE_SQL}, n AS (SELECT episode_id, unnest(list_distinct(regexp_extract_all(content, '[\\p{{Lu}}][\\p{{Ll}}]+(?:\\s+[\\p{{Lu}}][\\p{{Ll}}]+)+|[\\p{{Lu}}][\\p{{L}}\\p{{N}}]{{2,}}'))) AS name FROM episode)
-SELECT CASE WHEN {_HAS('name', text.COMPANY)} THEN 'company' WHEN {_HAS('name', text.EVENT)} THEN 'event' WHEN {_HAS('name', text.PLACE)} OR name IN ({', '.join(repr(x) for x in text.LOCATIONS)}) THEN 'location'
-  WHEN len(string_split_regex(trim(name), '\\s+')) >= 2 THEN 'person' ELSE 'technology' END AS entity_type, count(*) AS n, count(DISTINCT name) AS n_names FROM n GROUP BY 1""")
+_NAMES_SQL = f"""n AS (SELECT episode_id, unnest(list_distinct(regexp_extract_all(content, '[\\p{{Lu}}][\\p{{Ll}}]+(?:\\s+[\\p{{Lu}}][\\p{{Ll}}]+)+|[\\p{{Lu}}][\\p{{L}}\\p{{N}}]{{2,}}'))) AS name FROM episode),
+k AS (SELECT episode_id, name, CASE WHEN {_HAS('name', text.COMPANY)} THEN 'company' WHEN {_HAS('name', text.EVENT)} THEN 'event' WHEN {_HAS('name', text.PLACE)} OR name IN ({', '.join(repr(x) for x in text.LOCATIONS)}) THEN 'location'
+  WHEN len(string_split_regex(trim(name), '\\s+')) >= 2 THEN 'person' ELSE 'technology' END AS entity_type FROM n)"""
+
+
+@query(f"WITH {V.EPISODE_SQL}, {_NAMES_SQL} SELECT entity_type, count(*) AS n, count(DISTINCT name) AS n_names FROM k GROUP BY 1")
 def extract_entities_regex(spark, d):
     return extraction.entities_of(V.episodes(spark, d)).groupBy("entity_type").agg(F.count("*").alias("n"), F.countDistinct("canonical_name").alias("n_names"))
 
 
-@query(f"""WITH {V.EPISODE_SQL}, t AS (SELECT episode_id, content, list_filter([
+_TYPES_SQL = f"""t AS (SELECT episode_id, content, list_filter([
   CASE WHEN regexp_matches(lower(content), '\\b(i will|i''ll|will\\s+(?:finish|deliver|do|close|complete|implement|deploy|ship|fix|provide|send|schedule)|going to\\s+(?:finish|deliver|do|close|complete|implement|deploy|ship|fix|provide|send|schedule))\\b') THEN 'promise' END,
   CASE WHEN regexp_matches(content, '\\b(ARR|MRR|NRR|revenue|churn|ROI|LTV|CAC|NPS|EBITDA)\\b|\\$\\d') THEN 'metric' END,
   CASE WHEN regexp_matches(content, '(?i)\\b(decided|decision|approved|rejected|agreed|signed|confirmed)\\b') THEN 'decision' END,
   CASE WHEN regexp_matches(content, '(?i)\\b(todo|action item|assigned to|needs to|must|should)\\b') THEN 'task' END,
   CASE WHEN regexp_matches(content, '(?i)\\b(status|update|completed|done|in progress|blocked|stalled)\\b') THEN 'status' END,
   CASE WHEN regexp_matches(content, '(?i)\\b(requirement|requirements|req|issue)\\b|\\b\\d{{5,}}\\b') THEN 'requirement' END], lambda x: x IS NOT NULL) AS types FROM episode),
-u AS (SELECT unnest(CASE WHEN len(types) > 0 THEN types WHEN length(trim(content)) >= 50 THEN ['observation'] ELSE CAST([] AS VARCHAR[]) END) AS fact_type FROM t)
-SELECT fact_type, count(*) AS n FROM u GROUP BY 1""")
+u AS (SELECT episode_id, unnest(CASE WHEN len(types) > 0 THEN types WHEN length(trim(content)) >= 50 THEN ['observation'] ELSE CAST([] AS VARCHAR[]) END) AS fact_type FROM t)"""
+
+
+@query(f"WITH {V.EPISODE_SQL}, {_TYPES_SQL} SELECT fact_type, count(*) AS n FROM u GROUP BY 1")
 def extract_facts_typed(spark, d):
     return extraction.facts_of(V.episodes(spark, d)).groupBy("fact_type").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH {V.EPISODE_SQL}, {_NAMES_SQL}, {_TYPES_SQL}, e AS (SELECT DISTINCT episode_id, entity_type || '|' || {_norm('name')} AS entity FROM k),
+x AS (SELECT DISTINCT 'mentioned_in' AS relation, entity, episode_id AS target FROM e JOIN u USING (episode_id) UNION ALL SELECT 'involved_in', entity, episode_id || '|' || fact_type FROM e JOIN u USING (episode_id))
+SELECT relation, count(*) AS n, count(DISTINCT entity) AS n_entities FROM x GROUP BY 1""")
 def extract_edges(spark, d):
     e = V.episodes(spark, d)
     return extraction.edges_of(extraction.entities_of(e), extraction.facts_of(e)).groupBy("relation").agg(F.count("*").alias("n"), F.countDistinct("in_id").alias("n_entities"))
@@ -290,11 +297,14 @@ def vector_mean_pool_by_label(spark, d):
     return vector.mean_pool(spark.read.parquet(f"{d}/embeddings.parquet"), ["label"], "embedding").select("label", "pos", F.round("value", 6).alias("value"))
 
 
-@query("SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN 'next' ELSE 'old' END AS used, vec_id % 4 <> 0 AS pending FROM embeddings")
+@query("""SELECT vec_id, CAST(CASE WHEN vec_id % 4 = 0 THEN embedding[len(embedding)] ELSE embedding[1] END AS DOUBLE) AS first, CAST(CASE WHEN vec_id % 4 = 0 THEN embedding[1] ELSE embedding[len(embedding)] END AS DOUBLE) AS last,
+CAST(len(embedding) AS INTEGER) AS dims, vec_id % 4 <> 0 AS pending FROM embeddings""")
 def reembed_cutover(spark, d):
-    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.array(F.lit(0.0)).alias("embedding"), F.when(F.col("vec_id") % 4 == 0, F.array(F.lit(1.0))).alias("embedding_next"))
+    """Every fourth vector has its next one staged: itself in reverse."""
+    own = F.col("embedding").cast("array<double>")
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", own.alias("embedding"), F.when(F.col("vec_id") % 4 == 0, F.reverse(own)).alias("embedding_next"))
     pending = lifecycle.pending_reembed(e).select("vec_id", F.lit(True).alias("p"))
-    return lifecycle.cutover(e).join(pending, "vec_id", "left").select("vec_id", F.when(F.col("embedding")[0] == 1.0, "next").otherwise("old").alias("used"), F.coalesce("p", F.lit(False)).alias("pending"))
+    return lifecycle.cutover(e).join(pending, "vec_id", "left").select("vec_id", F.element_at("embedding", 1).alias("first"), F.element_at("embedding", -1).alias("last"), F.size("embedding").alias("dims"), F.coalesce("p", F.lit(False)).alias("pending"))
 
 
 # -- fusion and retrieval ---------------------------------------------------------------------------------
@@ -349,14 +359,20 @@ def assemble_context_full(spark, d):
 
 @query()
 def assemble_context_all_legs(spark, d):
-    """Every leg at once: lexical, community, graph and the episode fallback."""
-    f = V.text_facts(spark, d)
+    """Every leg at once, over all text facts: lexical, community, semantic and graph (over edges from each group to
+    the next); the episode fallback fills what they leave open. The made texts seldom hold these words, so the lexical
+    leg is empty there: assemble_context_full has it."""
+    vectors = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    f = V.text_facts(spark, d).join(vectors, "doc_id", "left")
     links = f.select(F.explode("entity_links").alias("e")).distinct()
     entities = links.select(F.col("e").alias("entity_id"), F.lit("concept").alias("entity_type"), F.concat(F.lit("group "), F.substring_index("e", ":", -1)).alias("canonical_name"),
                             F.concat(F.lit("group "), F.substring_index("e", ":", -1)).alias("canonical_name_normalized"), F.array().cast("array<string>").alias("aliases"))
     communities = links.select(F.concat(F.lit("community:"), F.substring_index("e", ":", -1)).alias("community_id"), F.array("e").alias("member_entities"), F.concat(F.lit("that group "), F.substring_index("e", ":", -1)).alias("summary"))
-    t = MemoryTables(f.where("doc_id % 2 = 0"), V.episodes(spark, d), entities, None, communities)
-    return assemble_context(t, ContextRequest("that group 7", "org", FAR, 8)).select("place", "fact_id", "source_episode", "rationale")
+    none = F.lit(None).cast("timestamp_ntz")
+    edges = links.select(F.col("e").alias("in_id"), F.lit("next_to").alias("relation"), F.concat(F.lit("entity:g:"), (F.substring_index("e", ":", -1).cast("int") + 1).cast("string")).alias("out_id"),
+                         F.lit(AT).cast("timestamp_ntz").alias("t_valid"), none.alias("t_ingested"), none.alias("t_invalid"), none.alias("t_invalid_ingested"))
+    t = MemoryTables(f, V.episodes(spark, d), entities, edges, communities)
+    return assemble_context(t, ContextRequest("group 17", "org", FAR, 24, embedding=_PROBE, threshold=0.2)).select("place", "fact_id", "source_episode", "rationale")
 
 
 # -- lifecycle --------------------------------------------------------------------------------------------
@@ -374,10 +390,13 @@ def decay_pass_invalidations(spark, d):
     return lifecycle.decay_pass(V.facts(spark, d), FAR, 0.26, 100.0).select("fact_id", F.round("decayed_confidence", 6).alias("decayed_confidence"), "t_invalid")
 
 
-@query(f"""WITH {V.TEXT_FACT_SQL}, {_GROUP_EPISODE}, k AS (SELECT source_episode FROM tfact WHERE t_invalid IS NULL OR t_invalid > TIMESTAMP '{FAR}')
-SELECT episode_id, t_ref FROM episode e WHERE status IS DISTINCT FROM 'archived' AND t_ref < TIMESTAMP '{FAR}' - INTERVAL 90 DAY AND doc_id % 11 = 0""")
+@query(f"""WITH {V.TEXT_FACT_SQL}, f AS (SELECT 'episode:doc:' || doc_id AS episode_id, t_invalid, doc_id % 4 AS access_count, CASE WHEN doc_id % 4 > 0 THEN t_valid + INTERVAL 1 DAY * (doc_id % 150) END AS last_accessed FROM tfact)
+SELECT episode_id, t_ref FROM episode WHERE status IS DISTINCT FROM 'archived' AND t_ref < TIMESTAMP '{FAR}' - INTERVAL 90 DAY
+  AND episode_id NOT IN (SELECT episode_id FROM f WHERE t_invalid IS NULL OR t_invalid > TIMESTAMP '{FAR}' OR {_HOT(90)})""")
 def archival_candidates(spark, d):
-    f = V.text_facts(spark, d).select(F.concat(F.lit("episode:doc:"), F.col("doc_id").cast("string")).alias("source_episode"), "t_invalid", F.lit(0).alias("access_count"), F.lit(None).cast("timestamp_ntz").alias("last_accessed"))
+    n = F.col("doc_id")
+    f = V.text_facts(spark, d).select(F.concat(F.lit("episode:doc:"), n.cast("string")).alias("source_episode"), "t_invalid", (n % 4).alias("access_count"),
+                                      F.when(n % 4 > 0, F.col("t_valid") + F.make_dt_interval((n % 150).cast("int"))).alias("last_accessed"))
     return lifecycle.archival_candidates(V.episodes(spark, d), f, FAR, 90).select("episode_id", "t_ref")
 
 
@@ -513,12 +532,12 @@ def retrieval_metrics(spark, d):
     return out.select("tier", "cases", *[F.round(x, 6).alias(x) for x in ("recall_sum", "precision_sum", "reciprocal_rank_sum")], "passed", "empty_hits")
 
 
-@query("""SELECT CAST(sum(CASE WHEN d3 AND d2 THEN 1 ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN d2 AND NOT d3 THEN 1 ELSE 0 END) AS BIGINT) AS fp, CAST(sum(CASE WHEN d3 AND NOT d2 THEN 1 ELSE 0 END) AS BIGINT) AS fn,
+@query("""WITH m AS (SELECT CAST(sum(CASE WHEN d3 AND d2 THEN 1 ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN d2 AND NOT d3 THEN 1 ELSE 0 END) AS BIGINT) AS fp, CAST(sum(CASE WHEN d3 AND NOT d2 THEN 1 ELSE 0 END) AS BIGINT) AS fn,
   sum(CASE WHEN d3 AND d2 THEN 1.0::DOUBLE ELSE 0 END) / sum(CASE WHEN d2 THEN 1 ELSE 0 END) AS precision, sum(CASE WHEN d3 AND d2 THEN 1.0::DOUBLE ELSE 0 END) / sum(CASE WHEN d3 THEN 1 ELSE 0 END) AS recall
-FROM (SELECT s_suppkey % 3 = 0 AS d3, s_suppkey % 2 = 0 AS d2 FROM supplier)""")
+FROM (SELECT s_suppkey % 3 = 0 AS d3, s_suppkey % 2 = 0 AS d2 FROM supplier)) SELECT *, round(2 * precision * recall / (precision + recall), 6) AS f1 FROM m""")
 def extraction_metrics(spark, d):
     s = spark.read.parquet(f"{d}/supplier.parquet").select(F.lit("case").alias("id"), F.lit("company").alias("entity_type"), F.col("s_name").alias("canonical_name"), "s_suppkey")
-    return evals.extraction_metrics(s.where("s_suppkey % 3 = 0"), s.where("s_suppkey % 2 = 0")).drop("f1")
+    return evals.extraction_metrics(s.where("s_suppkey % 3 = 0"), s.where("s_suppkey % 2 = 0")).withColumn("f1", F.round("f1", 6))
 
 
 @query()

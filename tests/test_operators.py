@@ -117,6 +117,41 @@ def test_nms_and_extraction(spark):
     assert {(r["label"], r["start"]) for r in extraction.suppress_overlaps(spans, ["doc"]).collect()} == {("p", 0), ("p", 20), ("q", 1)}
 
 
+def test_nms_is_the_greedy_choice(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(rng.randrange(3), rng.choice("pq"), a := rng.randrange(60), a + rng.randrange(0, 20), rng.randrange(8) / 8) for _ in range(300)]
+    want = set()
+    for group in {r[:2] for r in rows}:
+        kept = []
+        for s in sorted((r for r in rows if r[:2] == group), key=lambda r: (-r[4], r[2], r[3])):
+            def iou(k):
+                inter = max(0, min(k[3], s[3]) - max(k[2], s[2]))
+                union = k[3] - k[2] + s[3] - s[2] - inter
+                return inter / union if union > 0 else 0
+            if all(iou(k) <= 0.5 for k in kept):
+                kept.append(s)
+        want |= set(kept)
+    df = spark.createDataFrame(rows, "doc int, label string, start int, end int, score double")
+    assert {tuple(r) for r in extraction.suppress_overlaps(df, ["doc"]).collect()} == want
+
+
+def test_all_legs_take_part(spark):
+    import os
+
+    from mnemospark.plans import catalog
+
+    sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    rows = catalog.QUERIES["assemble_context_all_legs"](spark, sf).collect()
+    assert [r["place"] for r in rows] == list(range(1, len(rows) + 1)) and 0 < len(rows) <= 24
+    assert len({r["fact_id"] for r in rows}) == len(rows)
+    why = " ".join(r["rationale"] for r in rows)
+    assert "community summary" in why and "semantic similarity" in why and "linked to an entity" in why
+
+
 def test_metrics(spark):
     cases = spark.createDataFrame([("a", "direct", ["Launch plan", "budget"], ["secret"], False), ("b", "direct", [], [], True)], "id string, tier string, must_contain array<string>, must_not_contain array<string>, expect_empty boolean")
     results = spark.createDataFrame([("a", 1, "other"), ("a", 2, "the LAUNCH  plan")], "id string, rank int, content string")
