@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import shared_folder
 from ..sources.store import keep_new
 
 
@@ -89,7 +92,16 @@ def periodic(clock: DataFrame, engine, path: str, **settings):
 
 
 def run_available(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what there is into a memory table and returns it; for tests and small results."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Runs a stream over what there is; its rows and its state go to the shared folder, and the rows are read from
+    there: those of every batch (append), or those of the last (complete). A batch that is replayed replaces its own
+    rows. A stream without input gives an empty result."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    spark.createDataFrame([], df.schema).write.parquet(f"{path}/rows/none")
+
+    def step(batch: DataFrame, k: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/{'all' if mode == 'complete' else k}")
+
+    q = df.writeStream.outputMode(mode).foreachBatch(step).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return spark.read.schema(df.schema).option("recursiveFileLookup", "true").parquet(f"{path}/rows")
