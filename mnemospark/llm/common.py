@@ -81,6 +81,17 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
 
 
+#: Bytes of a batch of rows on its way to a Python worker. Spark's own bound is 64 MB, which a batch takes several
+#: times over: while it is built, in transit and in the worker, for each running task.
+BATCH_BYTES, _BYTES_CONF, _BYTES_DEFAULT = "4m", "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Bounds batches to Python workers by BATCH_BYTES, unless the session has a bound of its own."""
+    if spark.conf.get(_BYTES_CONF) == _BYTES_DEFAULT:
+        spark.conf.set(_BYTES_CONF, BATCH_BYTES)
+
+
 def sliced(batches, rows: int = 256, size: int = 512 << 10):
     """Arrow batches in slices of at most `rows` rows and about `size` bytes of text (a longer row is a slice of
     its own), so the Python objects of one slice are bounded whatever the lengths of the texts."""
@@ -122,6 +133,7 @@ def through_python(df: DataFrame, work, schema: str, rows: int = 256) -> DataFra
         del each
         give_back()
 
+    short_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, give_back, numbered, sliced, small, table, unused
+from .common import cut, give_back, numbered, short_batches, sliced, small, table, unused
 
 BLOCK_WORDS, SHARD_SLOTS, SLOTS_PER_ROW = 32, 8192, 1 << 16
 #: A source has this many blocks at least, or blocks of one word.
@@ -210,6 +210,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=names)
         give_back()
 
+    short_batches(docs.sparkSession)
     return joined.select(*[F.col(f"`{c}`") for c in names], their_parts).mapInArrow(run, schema)
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, give_back, sliced, table
+from .common import cut, give_back, short_batches, sliced, table
 
 CAPACITY, END_ID = 4096, 1
 TOKENIZER = "word_bpe_49k.json"
@@ -112,6 +112,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: i
         del ids
         give_back()
 
+    short_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
