@@ -170,5 +170,6 @@ def query_stems(name: str) -> Column:
 
 
 def stems(tokens: DataFrame, word: str = "word") -> DataFrame:
-    """(word, term) for the distinct words of tokens."""
-    return tokens.select(F.col(word).alias("word")).distinct().withColumn("term", stem_of("word"))
+    """(word, term) for the distinct words of tokens. Few bytes, but much work for each: they are dealt to all tasks."""
+    parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tokens.select(F.col(word).alias("word")).distinct().repartition(parts, "word").withColumn("term", stem_of("word"))

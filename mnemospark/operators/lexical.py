@@ -89,13 +89,34 @@ def search_facts(facts: DataFrame, active: Column, query: str, limit: int, fallb
     legs = [F.when(in_own | in_keys, F.struct(F.lit(-1).alias("leg"), whole.alias("ft_score")))]
     if fallback and n > 1:
         legs += [F.when((F.col("_tf")[i] > 0) | (F.col("_tfk")[i] > 0), F.struct(F.lit(i).alias("leg"), (own[i] + keys[i]).alias("ft_score"))) for i in range(n)]
-    rows = scored.select(*facts.columns, F.inline(F.array_compact(F.array(*legs))))
+    return _best_leg(scored.select(*facts.columns, F.inline(F.array_compact(F.array(*legs)))), limit).select(*facts.columns, "ft_score")
+
+
+def _best_leg(rows: DataFrame, limit: int) -> DataFrame:
+    """rows: of each leg, the one of all terms (-1) and those of single terms. The best of the first, or of the others
+    if it is empty, each fact at its first term."""
     order = [F.col("ft_score").desc(), F.col("t_valid").desc(), F.col("fact_id")]
     few = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("leg").orderBy(*order))).where(F.col("_rn") <= limit)
     first = F.row_number().over(Window.partitionBy("fact_id").orderBy("leg", "_rn"))
     best = F.min("leg").over(Window.partitionBy())  # over limit x (terms + 1) rows at most
     chosen = few.withColumns({"_first": first, "_best": best}).where((F.col("_first") == 1) & ((F.col("_best") >= 0) | (F.col("leg") < 0)))
-    return chosen.orderBy(*order).limit(limit).select(*facts.columns, "ft_score")
+    return chosen.orderBy(*order).limit(limit)
+
+
+def search_facts_indexed(facts: DataFrame, active: Column, query: str, limit: int, content, keys, fallback: bool = True) -> DataFrame:
+    """search_facts over two stored indexes (FullTextIndex of fact_id), one of the content and one of the index keys: only
+    the folders of the query's terms are read, and of the facts those that hold one of them. Words match by stem."""
+    terms = content.terms_of(query)
+    if not terms:
+        return facts.withColumn("ft_score", F.lit(0.0)).limit(0)
+    each = content.parts(terms).withColumn("own", F.lit(True)).unionByName(keys.parts(terms).withColumn("own", F.lit(False)))
+    full = each.groupBy("key", "own").agg(F.count("*").alias("n"), F.sum("part").alias("part")).where(F.col("n") == len(terms)).groupBy("key").agg(F.sum("part").alias("ft_score")).withColumn("leg", F.lit(-1))
+    legs = full
+    if fallback and len(terms) > 1:
+        at = F.array_position(F.array(*[F.lit(t) for t in sorted(terms)]), F.col("term")).cast("int") - 1
+        legs = full.unionByName(each.groupBy("key", at.alias("leg")).agg(F.sum("part").alias("ft_score")))
+    hits = facts.where(active).join(legs.withColumnRenamed("key", "fact_id"), "fact_id")
+    return _best_leg(hits, limit).select(*facts.columns, "ft_score")
 
 
 def with_fallback(primary: DataFrame, each_term: list[DataFrame], key: str, order: list[Column]) -> DataFrame:

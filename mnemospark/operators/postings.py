@@ -31,22 +31,25 @@ _SCHEMAS = {
 }
 
 
-def term_counts(rows: DataFrame, key: str, field: str) -> DataFrame:
-    """(key, term, tf) of the stems in a field. Stems are made once for each distinct word of all rows."""
+def term_counts(rows: DataFrame, key: str, field: str, english: bool = True) -> DataFrame:
+    """(key, term, tf) of the stems (or words) in a field. Stems are made once for each distinct word of all rows."""
     tokens = rows.select(F.col(key).alias("key"), F.explode(analyzer.words(field)).alias("word")).groupBy("key", "word").agg(F.count("*").alias("n"))
-    return tokens.join(analyzer.stems(tokens), "word").groupBy("key", "term").agg(F.sum("n").cast("int").alias("tf"))
+    if not english:
+        return tokens.select("key", F.col("word").alias("term"), F.col("n").cast("int").alias("tf"))
+    return tokens.join(cut(analyzer.stems(tokens)), "word").groupBy("key", "term").agg(F.sum("n").cast("int").alias("tf"))
 
 
-def query_terms(queries: DataFrame, query: str = "query") -> DataFrame:
-    """queries with their distinct stems: column terms."""
-    return queries.withColumn("terms", analyzer.query_stems(query))
+def query_terms(queries: DataFrame, query: str = "query", english: bool = True) -> DataFrame:
+    """queries with their distinct stems (or words): column terms."""
+    return queries.withColumn("terms", analyzer.query_stems(query) if english else F.array_sort(F.array_distinct(analyzer.words(query))))
 
 
 class FullTextIndex:
-    """Under a folder that every executor reaches. buckets: folders of terms; slice_docs: documents of a slice."""
+    """Under a folder that every executor reaches. buckets: folders of terms; slice_docs: documents of a slice; english:
+    terms are stems, not words."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 16, slice_docs: int = 1_024):
-        self.spark, self.path, self.buckets, self.slice_docs = spark, path.rstrip("/"), buckets, slice_docs
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16, slice_docs: int = 1_024, english: bool = True):
+        self.spark, self.path, self.buckets, self.slice_docs, self.english = spark, path.rstrip("/"), buckets, slice_docs, english
 
     # -- tables -------------------------------------------------------------------------------------------
     def _bucket(self, c: str) -> Column:
@@ -75,19 +78,26 @@ class FullTextIndex:
         (writer.partitionBy("bucket") if "bucket" in rows.columns else writer).parquet(f"{self.path}/{name}/segment={segment}")
 
     # -- writes -------------------------------------------------------------------------------------------
-    def add(self, rows: DataFrame, segment: int, key: str, field: str) -> None:
+    def _next(self) -> int:
+        if not self._exists(f"{self.path}/stats"):
+            return 1
+        return 1 + (self.spark.read.schema(_SCHEMAS["stats"]).parquet(f"{self.path}/stats").agg(F.max("segment")).first()[0] or 0)
+
+    def add(self, rows: DataFrame, key: str, field: str, segment: int | None = None) -> None:
         """Indexes rows; a key that is there already is replaced. Null texts count as documents without tokens. A key
         that comes twice in rows is not allowed. A segment's number is new, or that of a write to be repeated."""
-        self._write(term_counts(rows, key, field), rows.select(F.col(key).alias("key")), rows.select(F.col(key).alias("key")), segment)
+        keys = rows.select(F.col(key).alias("key"))
+        self._write(term_counts(rows, key, field, self.english), keys, keys, segment or self._next())
 
-    def delete(self, keys: DataFrame, segment: int, key: str) -> None:
+    def delete(self, keys: DataFrame, key: str, segment: int | None = None) -> None:
         """Unknown keys change nothing."""
+        segment = segment or self._next()
         none = self.spark.createDataFrame([], "key string, term string, tf int")
         self._write(none, none.select("key"), keys.select(F.col(key).alias("key")), segment)
 
-    def compact(self, segment: int) -> None:
+    def compact(self, segment: int | None = None) -> None:
         """All segments become one, without what is dead."""
-        old = self.segments()
+        old, segment = self.segments(), segment or self._next()
         tf = self._alive(self.table("postings", old), old).select("key", "term", "tf")
         keys = self._living_docs(old).select("key")
         self._write(tf, keys, None, segment, old)
@@ -133,7 +143,7 @@ class FullTextIndex:
 
     def terms_of(self, query: str) -> dict[str, int]:
         """The stems of one query and their folders."""
-        one = query_terms(self.spark.createDataFrame([(query,)], "query string")).select(F.explode("terms").alias("term"))
+        one = query_terms(self.spark.createDataFrame([(query,)], "query string"), english=self.english).select(F.explode("terms").alias("term"))
         return {r[0]: r[1] for r in one.select("term", self._bucket("term")).collect()}
 
     def search(self, query: str, k: int | None = None, all_terms: bool = True) -> DataFrame:
@@ -142,10 +152,7 @@ class FullTextIndex:
         terms, live = self.terms_of(query), self.segments()
         if not terms or not live:
             return self.spark.createDataFrame([], "key string, ft_score double")
-        stats = F.broadcast(self.statistics(live))  # one row
-        df = self._of_terms("terms", terms, live).groupBy("term").agg(F.sum("df").alias("df")).join(stats).withColumn("idf", _idf(F.col("docs"), F.col("df")))
-        weights = F.broadcast(df.select("term", "idf", "avg"))  # the terms of one query
-        blocks = self._of_terms("postings", terms, live).join(weights, "term")
+        blocks = self._blocks(terms, live)
         need = len(terms) if all_terms else 1
         if k is None:
             return self._scored(blocks, live, need)
@@ -158,6 +165,19 @@ class FullTextIndex:
         kept = self.candidate_slices = bounds.join(F.broadcast(floor)).where(F.col("bound") >= F.col("floor") - F.lit(1e-8)).select("slice")
         return self._scored(blocks.join(kept, "slice"), live, need).orderBy(F.round("ft_score", 9).desc(), "key").limit(k)
 
+    def _blocks(self, terms: dict[str, int], live: list[int]) -> DataFrame:
+        stats = F.broadcast(self.statistics(live))  # one row
+        df = self._of_terms("terms", terms, live).groupBy("term").agg(F.sum("df").alias("df")).join(stats).withColumn("idf", _idf(F.col("docs"), F.col("df")))
+        return self._of_terms("postings", terms, live).join(F.broadcast(df.select("term", "idf", "avg")), "term")  # the terms of one query
+
+    def parts(self, terms: dict[str, int]) -> DataFrame:
+        """(key, term, part): what each term adds to each document that holds it."""
+        live = self.segments()
+        if not terms or not live:
+            return self.spark.createDataFrame([], "key string, term string, part double")
+        each = self._alive(self._blocks(terms, live).select("slice", "term", "idf", "avg", "keys", "tfs", "dls"), live)
+        return each.select("key", "term", (F.col("idf") * _share(F.col("tf"), F.col("dl"), F.col("avg"))).alias("part"))
+
     def _scored(self, blocks: DataFrame, live: list[int], need: int) -> DataFrame:
         part = F.col("idf") * _share(F.col("tf"), F.col("dl"), F.col("avg"))
         found = self._alive(blocks.select("slice", "term", "idf", "avg", "keys", "tfs", "dls"), live).groupBy("slice", "key").agg(F.sum(part).alias("ft_score"), F.count("*").alias("t"))
@@ -167,7 +187,7 @@ class FullTextIndex:
         """queries: query_id, query. (query_id, key, ft_score, rank from 1), k for each query, in one plan: postings of
         the terms that any query has are read once and joined with the queries by term."""
         live = self.segments()
-        asked = cut(query_terms(queries.select("query_id", "query")).withColumn("need", F.size("terms") if all_terms else F.lit(1)).where(F.size("terms") > 0))
+        asked = cut(query_terms(queries.select("query_id", "query"), english=self.english).withColumn("need", F.size("terms") if all_terms else F.lit(1)).where(F.size("terms") > 0))
         each = asked.select("query_id", "need", F.explode("terms").alias("term"))
         wanted = each.select("term").distinct().withColumn("bucket", self._bucket("term"))
         stats = F.broadcast(self.statistics(live))  # one row

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import ids, temporal, text, vector
-from ..operators import evals, extraction, fusion, graphs, lexical, lifecycle, relational, semantic
+from ..operators import evals, extraction, fusion, graphs, lexical, lifecycle, postings, relational, semantic, vector_index
+from ..runtime import shared_folder
 from ..sources import views as V
 from ..sources.store import keep_new, latest_versions
 from ..streaming import twins
@@ -275,6 +278,60 @@ def episode_content_fallback(spark, d):
     return hits.orderBy(F.round("ft_score", 9).desc(), F.col("t_ref").desc(), "episode_id").limit(5).select("episode_id", F.round("ft_score", 6).alias("ft_score"))
 
 
+_TOKENS = "regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{M}}]+|\\p{{N}}+')"
+#: The words of the texts that share a stem with a word of the query "tioning in".
+_STEM_WORDS = (("in", "inly", "inlyed", "inlying"), ("tion", "tione", "tioned", "tiones", "tioning", "tionlyed", "tionly", "tioningly", "tionedly"))
+
+
+def _stem_sql(table: str, key: str, field: str, need_all: bool) -> str:
+    """BM25 over stems: a term is a group of words."""
+    n = len(_STEM_WORDS)
+    tf = ", ".join(f"CAST(len(list_filter(w, lambda x: x IN {g})) AS DOUBLE) AS tf{i}" for i, g in enumerate(_STEM_WORDS))
+    score = " + ".join(f"ln(1 + (n - df{i} + 0.5::DOUBLE) / (df{i} + 0.5::DOUBLE)) * tf{i} * 2.2::DOUBLE / (tf{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / av))" for i in range(n))
+    hit = (" AND " if need_all else " OR ").join(f"tf{i} > 0" for i in range(n))
+    return f"""SELECT {key}, {score} AS ft_score FROM (SELECT {key}, len(w) AS dl, {tf} FROM (SELECT {key}, {_TOKENS.format(f"strip_accents({field})")} AS w FROM {table})),
+  (SELECT count(*) AS n, avg(dl) AS av, {', '.join(f"CAST(count(*) FILTER (tf{i} > 0) AS DOUBLE) AS df{i}" for i in range(n))} FROM (SELECT len(w) AS dl, {tf} FROM (SELECT {_TOKENS.format(f"strip_accents({field})")} AS w FROM {table}))) WHERE {hit}"""
+
+
+def _index(spark, name: str, **settings) -> postings.FullTextIndex:
+    return postings.FullTextIndex(spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", **settings)
+
+
+@query(f"WITH {V.EPISODE_SQL} SELECT episode_id, round(ft_score, 6) AS ft_score FROM ({_stem_sql('episode', 'episode_id', 'content', True)})")
+def fts_index_all_terms(spark, d):
+    """Every document with a form of each word of the query, over a stored index."""
+    ix = _index(spark, "fts")
+    ix.add(V.episodes(spark, d), "episode_id", "content")
+    return ix.search("tioning IN").select(F.col("key").alias("episode_id"), F.round("ft_score", 6).alias("ft_score"))
+
+
+@query(f"""WITH {V.EPISODE_SQL}, now AS (SELECT episode_id, CASE WHEN doc_id % 10 = 5 THEN content || ' tion Tion' ELSE content END AS content FROM episode WHERE doc_id % 10 <> 0)
+SELECT episode_id, round(ft_score, 6) AS ft_score FROM ({_stem_sql('now', 'episode_id', 'content', False)}) ORDER BY round(ft_score, 9) DESC, episode_id LIMIT 20""")
+def fts_index_topk_after_updates(spark, d):
+    """The best 20 of those with any form, after every tenth document was deleted and another tenth changed."""
+    ix, e = _index(spark, "fts", slice_docs=256), V.episodes(spark, d)
+    ix.add(e, "episode_id", "content")
+    ix.delete(e.where("doc_id % 10 = 0"), "episode_id")
+    ix.add(e.where("doc_id % 10 = 5").withColumn("content", F.concat("content", F.lit(" tion Tion"))), "episode_id", "content")
+    return ix.search("in tioned", 20, all_terms=False).select(F.col("key").alias("episode_id"), F.round("ft_score", 6).alias("ft_score"))
+
+
+@query(f"""WITH w AS (SELECT doc_id, {_TOKENS.format("replace(strip_accents(text), 'ß', 'ss')")} AS w FROM documents), q AS (SELECT item_id, list_distinct({_TOKENS.format("replace(strip_accents(text), 'ß', 'ss')")}) AS w FROM benchmark),
+t AS (SELECT doc_id, term, CAST(count(*) AS DOUBLE) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM w) GROUP BY ALL), n AS (SELECT count(*) AS n, avg(len(w)) AS av FROM w), l AS (SELECT doc_id, len(w) AS dl FROM w),
+f AS (SELECT term, CAST(count(*) AS DOUBLE) AS df FROM t GROUP BY term),
+s AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / av))) AS score
+  FROM (SELECT item_id, unnest(w) AS term FROM q) JOIN t USING (term) JOIN f USING (term) JOIN l USING (doc_id), n GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, CAST(doc_id AS VARCHAR)) AS rank FROM s)
+SELECT item_id, CAST(doc_id AS VARCHAR) AS doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS ft_score FROM r WHERE rank <= 5""")
+def fts_batch_benchmark(spark, d):
+    """Every benchmark passage is a query: the five best documents of each, by words, in one plan."""
+    ix = _index(spark, "fts", english=False)
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    ix.add(docs, "doc_id", "text")
+    found = ix.search_batch(spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), 5, all_terms=False)
+    return found.select(F.col("query_id").alias("item_id"), F.col("key").alias("doc_id"), "rank", F.round("ft_score", 6).alias("ft_score"))
+
+
 # -- vectors ----------------------------------------------------------------------------------------------
 _PROBE = [1.0 if i % 2 == 0 else -0.5 for i in range(64)]
 _COS = f"list_dot_product(CAST(embedding AS DOUBLE[]), CAST({_PROBE} AS DOUBLE[])) / (sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST({_PROBE} AS DOUBLE[]), CAST({_PROBE} AS DOUBLE[]))))"
@@ -285,6 +342,24 @@ def vector_topk_cosine(spark, d):
     return semantic.top_k(spark.read.parquet(f"{d}/embeddings.parquet"), _PROBE, 10, "vec_id").select("vec_id", F.round("sem_score", 6).alias("sem_score"))
 
 
+@query(f"SELECT vec_id, round({_COS}, 6) AS sem_score FROM embeddings ORDER BY round({_COS}, 9) DESC, vec_id LIMIT 10")
+def vector_index_all_cells(spark, d):
+    """The stored index asked for all its cells and candidates: the exact ranking."""
+    e, ix = spark.read.parquet(f"{d}/embeddings.parquet"), vector_index.VectorIndex(spark, f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}")
+    ix.create(e, "vec_id", "embedding", 64)
+    n = e.count()
+    return ix.search(e, _PROBE, 10, "vec_id", probes=n, candidates=n).select("vec_id", F.round("sem_score", 6).alias("sem_score"))
+
+
+@query()  # an index is approximate; the test measures its recall against the exact scan
+def vector_index_recall(spark, d):
+    """The ten nearest of every hundredth vector over the stored index, with those that the exact scan gives."""
+    e, ix = spark.read.parquet(f"{d}/embeddings.parquet"), vector_index.VectorIndex(spark, f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}")
+    ix.create(e, "vec_id", "embedding", 64)
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return ix.search_batch(asked, e, 10, "vec_id", probes=12).select("query_id", "rank", F.col("key").alias("vec_id"), F.round("sem_score", 6).alias("sem_score"))
+
+
 @query(f"SELECT vec_id, round({_COS}, 6) AS sem_score FROM embeddings WHERE round({_COS}, 9) >= 0.2")
 def vector_threshold(spark, d):
     e = spark.read.parquet(f"{d}/embeddings.parquet").withColumn("s", F.round(semantic.similarity(_PROBE), 9))
@@ -344,19 +419,36 @@ def context_timeline_window(spark, d):
 _FLAGSHIP = ContextRequest(query='that AND "with"', scope="org", as_of=FAR, budget=10)
 
 
-@query(f"""WITH {V.TEXT_FACT_SQL}, s AS ({_bm25_sql('tfact', 'fact_id', 'content', ['that', 'with'])}),
+def _context_sql(scores: str) -> str:
+    """A context of ten facts from the scores of the lexical leg alone."""
+    return f"""WITH {V.TEXT_FACT_SQL}, s AS ({scores}),
 h AS (SELECT f.*, s.ft_score FROM s JOIN tfact f USING (fact_id) WHERE {_t1(FAR, 'f.')} ORDER BY ft_score DESC, t_valid DESC, fact_id LIMIT 10),
 l AS (SELECT *, row_number() OVER (ORDER BY ft_score DESC, t_valid DESC, fact_id) - 1 AS rank FROM h),
 c AS (SELECT *, 1.0::DOUBLE / (11.0::DOUBLE + rank) AS fusion_score, round(confidence * pow(0.5::DOUBLE, CAST(greatest(date_sub('day', t_valid, TIMESTAMP '{FAR}'), 0) AS DOUBLE) / CASE WHEN fact_type IN ('metric', 'promise') THEN 365.0::DOUBLE ELSE 180.0::DOUBLE END) * 10000) / 10000 AS decayed FROM l),
 o AS (SELECT *, fusion_score * greatest(decayed, 0.01::DOUBLE) * (1 + ft_score) AS score0 FROM c),
 r AS (SELECT *, row_number() OVER (PARTITION BY source_episode ORDER BY round(score0, 9) DESC, t_valid DESC, fact_id) AS rn FROM o),
 z AS (SELECT *, row_number() OVER (ORDER BY round(score0, 9) DESC, t_valid DESC, fact_id) AS place FROM r WHERE rn <= 2)
-SELECT CAST(place AS INTEGER) AS place, fact_id, source_episode, t_valid, round(score0, 6) AS score, decayed AS confidence FROM z WHERE place <= 10""")
+SELECT CAST(place AS INTEGER) AS place, fact_id, source_episode, t_valid, round(score0, 6) AS score, decayed AS confidence FROM z WHERE place <= 10"""
+
+
+@query(_context_sql(_bm25_sql("tfact", "fact_id", "content", ["that", "with"])))
 def assemble_context_full(spark, d):
     out = assemble_context(MemoryTables(V.text_facts(spark, d)), _FLAGSHIP)
     return out.select("place", "fact_id", "source_episode", "t_valid", "score", "confidence")
 
 
+@query(_context_sql(_stem_sql("tfact", "fact_id", "content", True)))
+def assemble_context_indexed(spark, d):
+    """The same over stored indexes of content and index keys: words match by stem, and texts are read at writing alone."""
+    f = V.text_facts(spark, d)
+    content, keys = _index(spark, "content"), _index(spark, "keys")
+    content.add(f, "fact_id", "content")
+    keys.add(f.withColumn("index_keys", F.array_join("index_keys", " ")), "fact_id", "index_keys")
+    request = ContextRequest(query="tioning in", scope="org", as_of=FAR, budget=10)
+    out = assemble_context(MemoryTables(f, content_index=content, keys_index=keys), request)
+    return out.select("place", "fact_id", "source_episode", "t_valid", "score", "confidence")
+
+
 @query()
 def assemble_context_all_legs(spark, d):
     """Every leg at once, over all text facts: lexical, community, semantic and graph (over edges from each group to

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, temporal, text
 from ..operators import extraction, graphs, lifecycle, relational
+from ..operators.postings import FullTextIndex
 from ..operators.relational import resolve_scope
 from ..runtime import cut
 from ..sources.store import MemoryStore, conform, keep_new
@@ -25,7 +26,9 @@ class MemoryEngine:
     """sessions, cache and limiter are the driver-side state of interactive use; without them verbs run unlimited."""
 
     def __init__(self, store: MemoryStore, namespaces: tuple[str, ...] = ("org", "personal", "private"), sessions: Sessions | None = None,
-                 cache: ContextCache | None = None, limiter: TokenBucket | None = None):
+                 cache: ContextCache | None = None, limiter: TokenBucket | None = None, indexed: bool = False):
+        """indexed: facts are indexed for full-text search as they are stored, and contexts read the index."""
+        self.content_index, self.keys_index = (FullTextIndex(store.spark, f"{store.path}/_index/{x}") if indexed else None for x in ("content", "keys"))
         self.store, self.namespaces = store, list(namespaces)
         self.sessions, self.cache, self.limiter = sessions or Sessions(), cache, limiter
 
@@ -75,10 +78,18 @@ class MemoryEngine:
         if embedder:
             quote = F.col("quote") if "quote" in rows.columns else F.lit("")
             rows = rows.withColumn("embedding", embedder(F.concat_ws("\n", "fact_type", "content", quote)))
-        self.store.insert("fact", rows, _micros(now))
+        self._insert_facts(rows, _micros(now))
         self._wrote(rows)
         return rows.select("fact_id").distinct()
 
+    def _insert_facts(self, rows: DataFrame, version: int) -> None:
+        if self.content_index is None:
+            return self.store.insert("fact", rows, version)
+        new = cut(keep_new(conform(rows, TABLES["fact"]), self.store.read("fact"), "fact_id"))
+        self.store.append("fact", new, version)
+        self.content_index.add(new, "fact_id", "content")
+        self.keys_index.add(new.withColumn("index_keys", F.array_join("index_keys", " ")), "fact_id", "index_keys")
+
     @staticmethod
     def _with_names(facts: DataFrame, entities: DataFrame) -> DataFrame:
         """index_keys with the names of linked entities, so a fact is found by them."""
@@ -103,7 +114,7 @@ class MemoryEngine:
         edges = extraction.edges_of(found, facts).withColumn("t_ingested", temporal.ts(now))
         v = _micros(now)
         self.store.insert("entity", fresh, v)
-        self.store.insert("fact", facts, v)
+        self._insert_facts(facts, v)
         self.relate(edges, now)
         self._wrote(episodes)
         stored = lambda table, rows, key: self.store.read(table).join(rows.select(key).distinct(), key, "left_semi")
@@ -210,7 +221,7 @@ class MemoryEngine:
         rows = {t: cut(df) for t, df in lifecycle.draft_rows(items.withColumn("source_episode", F.lit(episode).cast("string")), s.read("entity"), now).items()}
         s.insert("entity", rows["entity"], v)
         facts = self._with_names(rows["fact"].withColumn("index_keys", text.index_keys("content", "t_valid")), s.read("entity"))
-        s.insert("fact", facts, v)
+        self._insert_facts(facts, v)
         self.relate(rows["edge"], now)
         self._rebuild_communities(now)
         s.append("draft_ingestion", s.read("draft_ingestion").where(F.col("draft_id") == draft_id).withColumn("status", F.lit("committed")), v + 1)
@@ -243,7 +254,7 @@ class MemoryEngine:
     def _context(self, request: ContextRequest) -> DataFrame:
         s = self.store
         facts = lifecycle.apply_heat(s.read("fact", request.scope), s.read("access_log"))
-        return assemble_context(MemoryTables(facts, s.read("episode", request.scope), s.read("entity"), s.read("edge"), s.read("community")), request)
+        return assemble_context(MemoryTables(facts, s.read("episode", request.scope), s.read("entity"), s.read("edge"), s.read("community"), self.content_index, self.keys_index), request)
 
     def _log(self, rows: DataFrame, boost: int, now: dt.datetime) -> None:
         seen = rows.where("fact_id IS NOT NULL").select("fact_id", F.lit(boost).cast("long").alias("boost"), temporal.ts(now).alias("ts"))

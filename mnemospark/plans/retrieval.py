@@ -37,6 +37,8 @@ class MemoryTables:
     entities: DataFrame | None = None
     edges: DataFrame | None = None
     communities: DataFrame | None = None
+    content_index: object = None  # FullTextIndex of the facts' content, and of their index keys
+    keys_index: object = None
 
 
 _ROW = "place int, fact_id string, content string, source_episode string, t_valid timestamp_ntz, score double, confidence double, rationale string"
@@ -46,13 +48,16 @@ def _recency():
     return [F.col("t_valid").desc(), F.col("fact_id").asc()]
 
 
-def lexical_leg(facts: DataFrame, active, query: str, budget: int) -> DataFrame:
+def lexical_leg(facts: DataFrame, active, query: str, budget: int, tables: MemoryTables | None = None) -> DataFrame:
     """The best facts that hold every term; if none does, those that hold single terms. Without a query, the newest
-    facts; a query without letters or digits matches nothing."""
+    facts; a query without letters or digits matches nothing. With indexes in tables, texts are not read for it."""
     order = [F.col("ft_score").desc(), *_recency()]
     if not query.strip():
         return facts.where(active).withColumn("ft_score", F.lit(0.0)).orderBy(*_recency()).limit(budget)
-    return lexical.search_facts(facts, active, query, max(CANDIDATES * budget, 50)).orderBy(*order).limit(budget)
+    most = max(CANDIDATES * budget, 50)
+    if tables is not None and tables.content_index is not None:
+        return lexical.search_facts_indexed(facts, active, query, most, tables.content_index, tables.keys_index).orderBy(*order).limit(budget)
+    return lexical.search_facts(facts, active, query, most).orderBy(*order).limit(budget)
 
 
 def rewrites(query: str, as_of: dt.datetime, entities: DataFrame | None) -> list[str]:
@@ -120,7 +125,7 @@ def assemble_context(tables: MemoryTables, r: ContextRequest) -> DataFrame:
     ranks = ["rank", "weight", "source_priority", "rationale"]
     order = [F.col("ft_score").desc(), *_recency()]
     if query or not r.query.strip():
-        direct = lexical_leg(facts, active, query, budget).select(*core)
+        direct = lexical_leg(facts, active, query, budget, tables).select(*core)
     else:
         direct = facts.withColumn("ft_score", F.lit(0.0)).select(*core).limit(0)  # nothing of the query is left
     legs = fusion.leg(direct, "lexical", order)
@@ -128,7 +133,7 @@ def assemble_context(tables: MemoryTables, r: ContextRequest) -> DataFrame:
         used = direct.select("fact_id")
         first = used
         for rewrite in rewrites(query, as_of, tables.entities):
-            more = lexical_leg(facts, active, rewrite, budget).select(*core).join(first, "fact_id", "left_anti")
+            more = lexical_leg(facts, active, rewrite, budget, tables).select(*core).join(first, "fact_id", "left_anti")
             legs = legs.unionByName(fusion.leg(more, "lexical", order, F.lit(f"matched rewrite {rewrite}")))
             used = used.unionByName(more.select("fact_id"))
         seen = facts.where(active)

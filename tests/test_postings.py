@@ -73,12 +73,12 @@ def test_index_over_writes_updates_and_deletes(spark, tmp_path):
     ix = FullTextIndex(spark, f"file://{tmp_path}/ix", buckets=4, slice_docs=16)
     assert ix.search("run", 5).collect() == []
     rows = corpus(300, 1)
-    ix.add(frame(spark, rows), 1, "id", "text")
+    ix.add(frame(spark, rows), "id", "text", 1)
     changed = {k: v for k, v in zip(list(rows)[:40], corpus(40, 2).values())} | {f"new{k}": v for k, v in corpus(30, 3).items()}
-    ix.add(frame(spark, changed), 2, "id", "text")
+    ix.add(frame(spark, changed), "id", "text", 2)
     rows |= changed
     gone = list(rows)[20:90]
-    ix.delete(spark.createDataFrame([(k,) for k in [*gone, "unknown"]], "id string"), 3, "id")
+    ix.delete(spark.createDataFrame([(k,) for k in [*gone, "unknown"]], "id string"), "id")
     for k in gone:
         del rows[k]
 
@@ -90,9 +90,9 @@ def test_index_over_writes_updates_and_deletes(spark, tmp_path):
                 assert [r["key"] for r in ix.search(query, k, every).collect()] == best(want, k)
         assert ix.statistics().first()["docs"] == len(rows)
 
-    ix.add(frame(spark, changed), 2, "id", "text")  # a segment that is written again
+    ix.add(frame(spark, changed), "id", "text", 2)  # a segment that is written again
     ask()
-    ix.compact(4)
+    ix.compact()
     assert ix.segments() == [4] and ix.table("dead").count() == 0
     ask()
     assert ix.search("...", 3).collect() == [] and ix.search("zzzz run").collect() == []
@@ -101,7 +101,7 @@ def test_index_over_writes_updates_and_deletes(spark, tmp_path):
 def test_only_the_terms_buckets_and_promising_slices_are_read(spark, tmp_path):
     ix = FullTextIndex(spark, f"file://{tmp_path}/ix", buckets=8, slice_docs=8)
     rows = corpus(400, 4) | {"best": ["run"] * 30}
-    ix.add(frame(spark, rows), 1, "id", "text")
+    ix.add(frame(spark, rows), "id", "text", 1)
     plan = ix.search("run")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [segment" in plan and "bucket#" in plan and "In(term" in plan or "EqualTo(term,run)" in plan
     assert ix.search("run", 1).first()["key"] == "best"
@@ -112,7 +112,7 @@ def test_only_the_terms_buckets_and_promising_slices_are_read(spark, tmp_path):
 def test_batch_equals_single_queries(spark, tmp_path, every):
     ix = FullTextIndex(spark, f"file://{tmp_path}/ix", buckets=4, slice_docs=32)
     rows = corpus(200, 5)
-    ix.add(frame(spark, rows), 1, "id", "text")
+    ix.add(frame(spark, rows), "id", "text", 1)
     queries = {"a": "running", "b": "cafe atlas", "c": "launch run cafe", "d": "", "e": "nothing like it"}
     got = ix.search_batch(spark.createDataFrame(list(queries.items()), "query_id string, query string"), 6, every).collect()
     for q, text in queries.items():
