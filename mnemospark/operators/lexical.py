@@ -105,16 +105,17 @@ def _best_leg(rows: DataFrame, limit: int) -> DataFrame:
 
 def search_facts_indexed(facts: DataFrame, active: Column, query: str, limit: int, content, keys, fallback: bool = True) -> DataFrame:
     """search_facts over two stored indexes (FullTextIndex of fact_id), one of the content and one of the index keys: only
-    the folders of the query's terms are read, and of the facts those that hold one of them. Words match by stem."""
+    the folders of the query's terms are read, and of the facts those that hold one of them. Words match by stem. Scores have nine
+    decimals, so that the order does not hang on the order of sums."""
     terms = content.terms_of(query)
     if not terms:
         return facts.withColumn("ft_score", F.lit(0.0)).limit(0)
     each = content.parts(terms).withColumn("own", F.lit(True)).unionByName(keys.parts(terms).withColumn("own", F.lit(False)))
-    full = each.groupBy("key", "own").agg(F.count("*").alias("n"), F.sum("part").alias("part")).where(F.col("n") == len(terms)).groupBy("key").agg(F.sum("part").alias("ft_score")).withColumn("leg", F.lit(-1))
+    full = each.groupBy("key", "own").agg(F.count("*").alias("n"), F.sum("part").alias("part")).where(F.col("n") == len(terms)).groupBy("key").agg(F.round(F.sum("part"), 9).alias("ft_score")).withColumn("leg", F.lit(-1))
     legs = full
     if fallback and len(terms) > 1:
         at = F.array_position(F.array(*[F.lit(t) for t in sorted(terms)]), F.col("term")).cast("int") - 1
-        legs = full.unionByName(each.groupBy("key", at.alias("leg")).agg(F.sum("part").alias("ft_score")))
+        legs = full.unionByName(each.groupBy("key", at.alias("leg")).agg(F.round(F.sum("part"), 9).alias("ft_score")))
     hits = facts.where(active).join(legs.withColumnRenamed("key", "fact_id"), "fact_id")
     return _best_leg(hits, limit).select(*facts.columns, "ft_score")
 

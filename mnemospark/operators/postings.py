@@ -178,6 +178,15 @@ class FullTextIndex:
         each = self._alive(self._blocks(terms, live).select("slice", "term", "idf", "avg", "keys", "tfs", "dls"), live)
         return each.select("key", "term", (F.col("idf") * _share(F.col("tf"), F.col("dl"), F.col("avg"))).alias("part"))
 
+    def parts_batch(self, terms: DataFrame) -> DataFrame:
+        """parts() for a table of terms: each term's postings are read once, whoever asks."""
+        live = self.segments()
+        wanted = terms.select("term").distinct().withColumn("bucket", self._bucket("term"))
+        stats = F.broadcast(self.statistics(live))  # one row
+        weights = self.table("terms", live).join(wanted, ["bucket", "term"]).groupBy("bucket", "term").agg(F.sum("df").alias("df")).join(stats).select("bucket", "term", _idf(F.col("docs"), F.col("df")).alias("idf"), "avg")
+        each = self._alive(self.table("postings", live).join(weights, ["bucket", "term"]).select("slice", "term", "idf", "avg", "keys", "tfs", "dls"), live)
+        return each.select("term", "slice", "key", (F.col("idf") * _share(F.col("tf"), F.col("dl"), F.col("avg"))).alias("part"))
+
     def _scored(self, blocks: DataFrame, live: list[int], need: int) -> DataFrame:
         part = F.col("idf") * _share(F.col("tf"), F.col("dl"), F.col("avg"))
         found = self._alive(blocks.select("slice", "term", "idf", "avg", "keys", "tfs", "dls"), live).groupBy("slice", "key").agg(F.sum(part).alias("ft_score"), F.count("*").alias("t"))
@@ -189,11 +198,7 @@ class FullTextIndex:
         live = self.segments()
         asked = cut(query_terms(queries.select("query_id", "query"), english=self.english).withColumn("need", F.size("terms") if all_terms else F.lit(1)).where(F.size("terms") > 0))
         each = asked.select("query_id", "need", F.explode("terms").alias("term"))
-        wanted = each.select("term").distinct().withColumn("bucket", self._bucket("term"))
-        stats = F.broadcast(self.statistics(live))  # one row
-        weights = self.table("terms", live).join(wanted, ["bucket", "term"]).groupBy("bucket", "term").agg(F.sum("df").alias("df")).join(stats).select("bucket", "term", _idf(F.col("docs"), F.col("df")).alias("idf"), "avg")
-        scored = self._alive(self.table("postings", live).join(weights, ["bucket", "term"]).select("slice", "term", "idf", "avg", "keys", "tfs", "dls"), live)
-        scored = scored.select("term", "slice", "key", (F.col("idf") * _share(F.col("tf"), F.col("dl"), F.col("avg"))).alias("part"))
+        scored = self.parts_batch(each)
         found = each.join(scored, "term").groupBy("query_id", "need", "slice", "key").agg(F.sum("part").alias("ft_score"), F.count("*").alias("t")).where(F.col("t") >= F.col("need"))
         w = Window.partitionBy("query_id").orderBy(F.round("ft_score", 9).desc(), "key")
         return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "key", "ft_score", "rank")

@@ -13,6 +13,7 @@ from ..runtime import shared_folder
 from ..sources import views as V
 from ..sources.store import keep_new, latest_versions
 from ..streaming import twins
+from .batch import assemble_contexts
 from .retrieval import ContextRequest, MemoryTables, assemble_context
 
 AT, LATER, FAR = "2024-01-15 00:00:00", "2024-01-22 12:00:00", "2024-06-01 00:00:00"
@@ -449,6 +450,33 @@ def assemble_context_indexed(spark, d):
     return out.select("place", "fact_id", "source_episode", "t_valid", "score", "confidence")
 
 
+_PLAIN = lambda c: _TOKENS.format(f"replace(strip_accents({c}), 'ß', 'ss')")
+
+
+@query(f"""WITH {V.TEXT_FACT_SQL}, q AS (SELECT item_id, array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda w: upper(w) NOT IN ('OR', 'AND', 'NOT') AND strlen(w) >= 2), ' ') AS q FROM benchmark),
+qt AS (SELECT item_id, unnest(w) AS term, len(w) AS need FROM (SELECT item_id, list_distinct({_PLAIN('q')}) AS w FROM q)), w AS (SELECT fact_id, {_PLAIN('content')} AS w FROM tfact),
+t AS (SELECT fact_id, term, CAST(count(*) AS DOUBLE) AS tf FROM (SELECT fact_id, unnest(w) AS term FROM w) GROUP BY ALL), n AS (SELECT count(*) AS n, avg(len(w)) AS av FROM w), l AS (SELECT fact_id, len(w) AS dl FROM w),
+d AS (SELECT term, CAST(count(*) AS DOUBLE) AS df FROM t GROUP BY term),
+p AS (SELECT item_id, need, fact_id, term, ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / av)) AS part FROM qt JOIN t USING (term) JOIN d USING (term) JOIN l USING (fact_id), n),
+legs AS (SELECT item_id, fact_id, '' AS leg, round(sum(part), 9) AS s FROM p GROUP BY item_id, fact_id, need HAVING count(*) = need UNION ALL SELECT item_id, fact_id, term, round(part, 9) FROM p WHERE need > 1),
+few AS (SELECT *, row_number() OVER (PARTITION BY item_id, leg ORDER BY s DESC, t_valid DESC, fact_id) AS rn FROM legs JOIN tfact USING (fact_id) WHERE {_t1(FAR)} QUALIFY rn <= 50),
+once AS (SELECT *, row_number() OVER (PARTITION BY item_id, fact_id ORDER BY leg, rn) AS first, min(leg) OVER (PARTITION BY item_id) AS best FROM few),
+kept AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, t_valid DESC, fact_id) - 1 AS rank FROM once WHERE first = 1 AND (best <> '' OR leg = '') QUALIFY rank < 5),
+o AS (SELECT *, 1.0::DOUBLE / (11.0::DOUBLE + rank) * greatest(round(confidence * pow(0.5::DOUBLE, CAST(greatest(date_sub('day', t_valid, TIMESTAMP '{FAR}'), 0) AS DOUBLE) / CASE WHEN fact_type IN ('metric', 'promise') THEN 365.0::DOUBLE ELSE 180.0::DOUBLE END) * 10000) / 10000, 0.01::DOUBLE) * (1 + s) AS score0 FROM kept),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id, source_episode ORDER BY round(score0, 9) DESC, t_valid DESC, fact_id) AS rn2 FROM o)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(score0, 9) DESC, t_valid DESC, fact_id) AS INTEGER) AS place, fact_id, round(round(score0, 6), 5) AS score FROM r WHERE rn2 <= 2""")
+def contexts_batch_benchmark(spark, d):
+    """A context for every benchmark passage, in one plan over stored indexes: as for single requests, passages that a fact
+    holds whole come first, and where none does, facts with single words."""
+    f = V.text_facts(spark, d)
+    content, keys = _index(spark, "content", english=False), _index(spark, "keys", english=False)
+    content.add(f, "fact_id", "content")
+    keys.add(f.withColumn("index_keys", F.array_join("index_keys", " ")), "fact_id", "index_keys")
+    asked = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("request_id"), F.col("text").alias("query"), F.lit("org").alias("scope"), temporal.ts(FAR).alias("as_of"), F.lit(5).alias("budget"))
+    out = assemble_contexts(MemoryTables(f, content_index=content, keys_index=keys), asked)
+    return out.select(F.col("request_id").alias("item_id"), "place", "fact_id", F.round("score", 5).alias("score"))
+
+
 @query()
 def assemble_context_all_legs(spark, d):
     """Every leg at once, over all text facts: lexical, community, semantic and graph (over edges from each group to
