@@ -97,28 +97,60 @@ def intro_chain(edges: DataFrame, target: str, max_hops: int, cutoff=None) -> Da
     return intro_chains(edges, target, max_hops, cutoff).orderBy("hops", "path").limit(1).select("path")
 
 
+def numbered(nodes: DataFrame) -> DataFrame:
+    """Distinct nodes (node) with a long id; ids stand in the order of the names. Range-partitioned and sorted, so a
+    row's partition and place make the number, and nothing is gathered."""
+    dealt = nodes.select("node").distinct().repartitionByRange("node").sortWithinPartitions("node")
+    return cut(dealt.withColumn("id", F.monotonically_increasing_id()))
+
+
+def _star(pairs: DataFrame, large: bool) -> DataFrame:
+    """One round over links (a, b): nodes at a link move to the smallest neighbour."""
+    if large:
+        both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    else:
+        both = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    joined = both.join(least, "a")  # a hub's links are split by AQE: the other side has a row for each node
+    if large:
+        out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    else:
+        out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+    return out.where("a <> b").distinct()
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Undirected components: (node, component), the component named by its smallest node. Hash-to-min with
-    pointer jumping: every round a node takes the smallest label of its neighbours and then that label's
-    label, so rounds grow with the logarithm of the diameter."""
-    steps = cut(both_ways(edges).distinct())
-    labels = cut(steps.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")))
-    for _ in range(max_rounds):
-        near = steps.join(labels.select(F.col("node").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("label").alias("m"))
-        lower = labels.join(near, "node", "left").select("node", F.least("label", "m").alias("next"), F.col("label").alias("old"))
-        jump = lower.select(F.col("node").alias("next"), F.col("next").alias("over"))
-        moved = cut(lower.join(jump, "next", "left").select("node", F.least("next", "over").alias("label"), "old"))
-        changed = moved.where("label <> old").limit(1).count()
-        labels = moved.select("node", "label")
-        if not changed:
-            return labels.select("node", F.col("label").alias("component"))
-    raise RuntimeError("components did not settle")
+    """Undirected components: (node, component), the component named by its smallest node. Names are numbered once, and
+    large-star and small-star rounds (Kiveris et al., 2014) contract the numbers: each moves every node to the smallest
+    one near it, so rounds grow with the logarithm of the longest chain. Counts and checksums reach the driver."""
+    ids_ = numbered(edges.select(F.col("in_id").alias("node")).union(edges.select(F.col("out_id").alias("node"))))
+    end = lambda c, k: ids_.select(F.col("node").alias(c), F.col("id").alias(k))
+    links = edges.select("in_id", "out_id").where("in_id <> out_id").join(end("in_id", "x"), "in_id").join(end("out_id", "y"), "out_id")
+    pairs = cut(links.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+    mark = lambda p: tuple(p.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+    before = mark(pairs)
+    for _ in range(max_rounds if before[0] else 0):
+        pairs = cut(_star(_star(pairs, True), False))
+        now = mark(pairs)
+        if now == before:
+            break
+        before = now
+    else:
+        if before[0]:
+            raise RuntimeError("components did not settle")
+    roots = ids_.join(pairs.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").select("node", F.coalesce("root", "id").alias("root"))
+    return roots.join(ids_.select(F.col("id").alias("root"), F.col("node").alias("component")), "root").select("node", "component")
 
 
 def communities(edges: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """Components of two entities or more: community_id (hash of its members), member_entities, summary (first
-    three distinct names, or ids)."""
-    members = components(edges).where(F.col("node").startswith("entity:"))
+    three distinct names, or ids). One row holds a community: beyond what fits, see membership.members_of."""
+    return communities_of(components(edges), names)
+
+
+def communities_of(labels: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """communities() of known components (node, component)."""
+    members = labels.where(F.col("node").startswith("entity:"))
     if names is not None:
         members = members.join(names.select(F.col("entity_id").alias("node"), F.col("canonical_name").alias("name")), "node", "left")
     else:

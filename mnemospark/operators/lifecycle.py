@@ -180,14 +180,16 @@ def draft_commit_plan(items: DataFrame) -> DataFrame:
     return p.where("item_type <> 'edge'").unionByName(edges).select("draft_id", stage.alias("stage"), "item_id", "name", "src", "relation", "dst")
 
 
-def draft_rows(items: DataFrame, entities: DataFrame, now) -> dict[str, DataFrame]:
+def draft_rows(items: DataFrame, entities: DataFrame, now, ingested=None) -> dict[str, DataFrame]:
     """What a commit stores of approved and edited items (with columns scope and source_episode): entities, facts
     and edges as rows of their tables.
 
     An entity that is known by name or alias keeps its id. A fact links to the entities that its payload lists
     (entity_links: names, ids or item ids) and each of them gets an edge involved_in. Ends of explicit edges are
     resolved in the same way; an edge with an end that names nothing of the draft keeps the text as it is. A fact
-    without text, or without an episode to come from, is left out: see incomplete_items()."""
+    without text, or without an episode to come from, is left out: see incomplete_items(). now: valid time of what names
+    none, which ids hold; ingested: transaction time, now if it is not given."""
+    ingested = now if ingested is None else ingested
     from ..functions import ids, text
     from .relational import resolve_names
 
@@ -203,7 +205,7 @@ def draft_rows(items: DataFrame, entities: DataFrame, now) -> dict[str, DataFram
     content = F.coalesce(get("content", "source_text"), F.when(F.trim("source_snippet") != "", F.col("source_snippet")))
     facts = (live.where("item_type = 'fact'").withColumn("content", content).withColumn("source_episode", F.coalesce(get("draft_episode_id", "source_episode"), "source_episode")).where("content IS NOT NULL AND source_episode IS NOT NULL")
              .select("draft_id", "item_id", "scope", "content", F.coalesce(get("quote"), F.col("content")).alias("quote"), F.coalesce(get("fact_type"), F.lit("note")).alias("fact_type"), "source_episode",
-                     F.coalesce(F.try_to_timestamp(get("t_valid")).cast("timestamp_ntz"), temporal.ts(now)).alias("t_valid"), temporal.ts(now).alias("t_ingested"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
+                     F.coalesce(F.try_to_timestamp(get("t_valid")).cast("timestamp_ntz"), temporal.ts(now)).alias("t_valid"), temporal.ts(ingested).alias("t_ingested"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
                      F.coalesce(F.from_json(F.coalesce(F.get_json_object("payload", "$.entity_links"), F.get_json_object("payload", "$.entities")), "array<string>"), F.array().cast("array<string>")).alias("refs"))
              .withColumn("fact_id", ids.fact_id("fact_type", "content", "source_episode", F.col("t_valid"))))
     facts_named = facts.select("draft_id", F.col("item_id").alias("ref"), F.col("fact_id").alias("id"))
@@ -218,7 +220,7 @@ def draft_rows(items: DataFrame, entities: DataFrame, now) -> dict[str, DataFram
     gathered = links.groupBy("fact_id").agg(F.array_sort(F.collect_set("entity_id")).alias("entity_links"))
     stored = (facts.dropDuplicates(["fact_id"]).join(gathered, "fact_id", "left").withColumn("entity_links", F.coalesce("entity_links", F.array().cast("array<string>")))
               .withColumn("provenance", F.create_map(F.lit("draft_id"), "draft_id", F.lit("draft_item_id"), "item_id", F.lit("source_episode"), "source_episode")))
-    at = [temporal.ts(now).alias("t_valid"), temporal.ts(now).alias("t_ingested")]
+    at = [temporal.ts(now).alias("t_valid"), temporal.ts(ingested).alias("t_ingested")]
     involved = stored.select("fact_id", "draft_id", "item_id", "confidence", F.explode("entity_links").alias("in_id")).select(
         "in_id", F.lit("involved_in").alias("relation"), F.col("fact_id").alias("out_id"), F.lit(0.8).alias("strength"), F.greatest("confidence", F.lit(0.0)).alias("confidence"), "draft_id", "item_id", *at)
     explicit = live.where("item_type = 'edge'").select("draft_id", "item_id", "confidence", get("from_id", "from", "in").alias("in_id"), get("to_id", "to", "out").alias("out_id"), F.coalesce(get("relation"), F.lit("related_to")).alias("relation"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import ids, temporal, text, vector
-from ..operators import evals, extraction, fusion, graphs, lexical, lifecycle, postings, relational, semantic, vector_index
+from ..operators import evals, extraction, fusion, graphs, lexical, lifecycle, membership, postings, relational, semantic, vector_index
 from ..runtime import shared_folder
 from ..sources import views as V
 from ..sources.store import keep_new, latest_versions
@@ -597,6 +597,50 @@ def lifecycle_stale_communities(spark, d):
     return _stale(V.graph(spark, d))
 
 
+_LABEL_SQL = "lab AS (SELECT node, min(node) OVER (PARTITION BY g) AS component FROM (SELECT in_id AS node, out_id AS g FROM e UNION SELECT out_id, out_id FROM e))"
+
+
+@query(f"WITH {V.NATION_GRAPH_SQL}, e AS (SELECT * FROM ngraph), {_LABEL_SQL} SELECT * FROM lab")
+def components_by_nation(spark, d):
+    return graphs.components(V.nation_graph(spark, d))
+
+
+@query(f"WITH {V.NATION_GRAPH_SQL}, e AS (SELECT * FROM ngraph WHERE part = 'c' AND n % 5 <> 1 OR part = 's' AND n % 5 <> 0), {_LABEL_SQL} SELECT * FROM lab")
+def components_incremental(spark, d):
+    """Stored labels after two changes: half of the customers come later, and with them a fifth of the edges goes."""
+    g = V.nation_graph(spark, d)
+    store = membership.ComponentStore(spark, f"{shared_folder(spark)}/components-{uuid.uuid4().hex}", 16)
+    late = "part = 'c' AND n % 2 = 0 AND n % 5 <> 1"
+    gone = "(part = 's' AND n % 5 = 0 OR part = 'c' AND n % 5 = 1)"
+    first = g.where("part = 's' OR n % 2 = 1 OR n % 5 = 1")
+    store.update(first, first)
+    store.update(g.where(f"NOT {gone}"), g.where(late), g.where(gone))
+    return store.labels()
+
+
+_DIGEST_SQL = "substr(sha256(count(*) || '-' || sum(CAST('0x' || md5(entity_id)[1:15] AS HUGEINT)) || '-' || sum(CAST('0x' || md5(entity_id)[16:30] AS HUGEINT))), 1, 24)"
+_NATION_MEMBERS = f"{V.NATION_GRAPH_SQL}, e AS (SELECT * FROM ngraph), {_LABEL_SQL}, mem AS (SELECT component, node AS entity_id FROM lab)"
+
+
+@query(f"""WITH {_NATION_MEMBERS}, s AS (SELECT component, 'community:' || {_DIGEST_SQL} AS community_id, count(*) AS n_members, list_sort(list(entity_id))[1:3] AS l FROM mem GROUP BY 1 HAVING count(*) >= 2)
+SELECT community_id, n_members, array_to_string(l, ', ') AS summary FROM s""")
+def communities_membership(spark, d):
+    """Communities as rows of members: ids by digest, no group gathered."""
+    return membership.summaries(graphs.cut(membership.members_of(graphs.components(V.nation_graph(spark, d)))))
+
+
+@query(f"""WITH {_NATION_MEMBERS}, now AS (SELECT component, {_DIGEST_SQL} AS digest FROM mem GROUP BY 1), was AS (SELECT component, entity_id FROM mem WHERE NOT (component IN (SELECT component FROM mem WHERE entity_id IN ('entity:n:3', 'entity:n:9')) AND entity_id LIKE '%7')
+  UNION ALL SELECT 'lone', 'entity:lone'), w AS (SELECT component, {_DIGEST_SQL} AS digest, count(*) AS n FROM was GROUP BY 1)
+SELECT 'stored:' || component AS community_id, CASE WHEN n < 2 THEN 'too_small' ELSE 'drifted' END AS reason FROM w WHERE n < 2 OR digest NOT IN (SELECT digest FROM now)""")
+def stale_membership(spark, d):
+    """Stored communities against those that hold now: two lost members, and one has a single member."""
+    now = graphs.cut(membership.members_of(graphs.components(V.nation_graph(spark, d))))
+    hit = now.where("entity_id IN ('entity:n:3', 'entity:n:9')").select("component", F.lit(True).alias("hit"))
+    was = now.join(F.broadcast(hit), "component", "left").where("hit IS NULL OR entity_id NOT LIKE '%7'").select("component", "entity_id")
+    was = was.unionByName(spark.createDataFrame([("lone", "entity:lone")], was.schema))
+    return membership.stale(was.select(F.concat(F.lit("stored:"), "component").alias("community_id"), "entity_id"), now)
+
+
 @query(f"""WITH RECURSIVE rel AS (SELECT 'entity:nation:' || n_name AS out_id, 'entity:supplier:' || s_name AS in_id FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 chain AS (SELECT e.in_id AS node, [e.in_id, e.out_id] AS path FROM rel e WHERE e.out_id = 'entity:nation:NATION_15' UNION ALL SELECT e.in_id, list_prepend(e.in_id, path) FROM rel e JOIN chain ON e.out_id = node WHERE len(path) < 4),
 b AS (SELECT node, min(path) AS path FROM chain GROUP BY node) SELECT array_to_string(path, '>') AS path FROM b ORDER BY len(path), path LIMIT 1""")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, temporal, text
 from ..operators import extraction, graphs, lifecycle, relational
+from ..operators.membership import ComponentStore
 from ..operators.postings import FullTextIndex
 from ..operators.relational import resolve_scope
 from ..runtime import cut
@@ -200,12 +201,15 @@ class MemoryEngine:
     def commit_draft(self, draft_id: str, now: dt.datetime) -> DataFrame:
         """Stores what was approved of a live draft, in order: its episode, entities, facts, edges; then communities
         are rebuilt and the draft is closed. One row of counts. A fact without text stops it before anything is
-        stored. Run again after a failure, it stores only what is missing."""
+        stored. What names no valid time takes the draft's creation, so ids are those of an earlier run: run again after a
+        failure, at any time, it stores only what is missing."""
         s, v = self.store, _micros(now)
-        live = lifecycle.live_drafts(s.read("draft_ingestion"), now).where(F.col("draft_id") == draft_id).select("draft_id", "scope")
+        live = lifecycle.live_drafts(s.read("draft_ingestion"), now).where(F.col("draft_id") == draft_id).select("draft_id", "scope", "created_at")
         items = cut(s.read("draft_item").join(live, "draft_id"))
-        if not live.limit(1).count():
+        head = live.first()
+        if head is None:
             raise ValueError(f"no open draft: {draft_id}")
+        made = head["created_at"]
         bad = [r["item_id"] for r in lifecycle.incomplete_items(items).limit(10).collect()]
         if bad:
             raise ValueError(f"facts without content: {', '.join(bad)}")
@@ -215,15 +219,15 @@ class MemoryEngine:
                              F.first("scope").alias("scope")).first()
         episode = named["id"]
         if episode is None and named["text"]:
-            one = s.spark.createDataFrame([("draft_ingestion", draft_id, named["text"], now, named["scope"])], "source_type string, source_id string, content string, t_ref timestamp_ntz, scope string")
+            one = s.spark.createDataFrame([("draft_ingestion", draft_id, named["text"], made, named["scope"])], "source_type string, source_id string, content string, t_ref timestamp_ntz, scope string")
             got = self.ingest(one, now).first()
             episode = got["episode_id"] if got else None
-        rows = {t: cut(df) for t, df in lifecycle.draft_rows(items.withColumn("source_episode", F.lit(episode).cast("string")), s.read("entity"), now).items()}
+        rows = {t: cut(df) for t, df in lifecycle.draft_rows(items.withColumn("source_episode", F.lit(episode).cast("string")), s.read("entity"), made, now).items()}
         s.insert("entity", rows["entity"], v)
         facts = self._with_names(rows["fact"].withColumn("index_keys", text.index_keys("content", "t_valid")), s.read("entity"))
         self._insert_facts(facts, v)
         self.relate(rows["edge"], now)
-        self._rebuild_communities(now)
+        self._update_communities(rows["edge"], now)
         s.append("draft_ingestion", s.read("draft_ingestion").where(F.col("draft_id") == draft_id).withColumn("status", F.lit("committed")), v + 1)
         self._wrote()
         return s.spark.createDataFrame([(draft_id, *(rows[t].count() for t in ("entity", "fact", "edge")), episode)], "draft_id string, entities long, facts long, edges long, source_episode string")
@@ -231,13 +235,29 @@ class MemoryEngine:
     def _rebuild_communities(self, now: dt.datetime, dry_run: bool = False) -> DataFrame:
         s, v = self.store, _micros(now)
         stored = s.read("community")
-        fresh = graphs.communities(s.read("edge").where(temporal.active_at(now)), s.read("entity")).withColumn("updated_at", temporal.ts(now))
+        labels = cut(graphs.components(s.read("edge").where(temporal.active_at(now))))
+        fresh = graphs.communities_of(labels, s.read("entity")).withColumn("updated_at", temporal.ts(now))
         plan = cut(graphs.upsert_communities(stored, fresh))
         if not dry_run:
             s.delete("community", cut(stored.join(plan.select("community_id"), "community_id", "left_anti")), v)
             s.append("community", plan, v + 1)
+            ComponentStore(s.spark, f"{s.path}/_components").replace(labels)
         return plan
 
+    def _update_communities(self, added: DataFrame, now: dt.datetime) -> None:
+        """Communities that the added edges touch, by stored labels; the others are not read. A new version of a triple
+        links what the old one did; edges that run out by time leave at the next rebuild."""
+        s, v = self.store, _micros(now)
+        labels = ComponentStore(s.spark, f"{s.path}/_components")
+        active = s.read("edge").where(temporal.active_at(now)).select("in_id", "out_id")
+        known = labels._there("by_node")
+        touched = labels.update(active, cut((added if known else active).select("in_id", "out_id")))
+        fresh = graphs.communities_of(touched, s.read("entity")).withColumn("updated_at", temporal.ts(now))
+        stored = s.read("community")
+        plan = cut(graphs.upsert_communities(stored, fresh))
+        s.delete("community", cut(graphs.overlapped_communities(stored, plan)), v)
+        s.append("community", plan, v + 1)
+
     # -- reads --------------------------------------------------------------------------------------------
     def assemble_context(self, request: ContextRequest, now: dt.datetime | None = None) -> DataFrame:
         """The context; with a clock, its facts are logged as read. With a cache, a context that was asked for in

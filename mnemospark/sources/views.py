@@ -135,3 +135,18 @@ def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 GRAPH_SQL = """graph AS (SELECT DISTINCT 'entity:o:' || l_orderkey AS in_id, 'has_part' AS relation, 'entity:pt:' || l_partkey AS out_id
   FROM lineitem WHERE l_orderkey IS NOT NULL AND l_partkey IS NOT NULL)"""
+
+
+def nation_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers and customers linked to their nations: components of a known, small diameter. part and n tell rows apart."""
+    out = None
+    for table, c in (("supplier", "s"), ("customer", "c")):
+        key = F.col(f"{c}_{'supp' if c == 's' else 'cust'}key")
+        one = _read(spark, sf_dir, table).select(F.concat(F.lit(f"entity:{c}:"), key.cast("string")).alias("in_id"), F.lit("lives_in").alias("relation"),
+                                                 F.concat(F.lit("entity:n:"), F.col(f"{c}_nationkey").cast("string")).alias("out_id"), F.lit(c).alias("part"), key.cast("long").alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+NATION_GRAPH_SQL = """ngraph AS (SELECT 'entity:s:' || s_suppkey AS in_id, 'entity:n:' || s_nationkey AS out_id, 's' AS part, s_suppkey AS n FROM supplier
+  UNION ALL SELECT 'entity:c:' || c_custkey, 'entity:n:' || c_nationkey, 'c', c_custkey FROM customer)"""

@@ -45,6 +45,29 @@ def test_draft_is_stored_and_closed(spark, engine):
         engine.commit_draft("d", D(3, 3))
 
 
+def test_a_commit_that_failed_is_run_again_later(spark, engine, monkeypatch):
+    items = spark.createDataFrame([("i1", "entity", json.dumps({"name": "Acme"})), ("i2", "fact", json.dumps({"content": "Acme signed", "entity_links": ["acme"], "source_text": "Acme signed."}))], "item_id string, item_type string, payload string")
+    engine.create_draft("d", "personal", items, D(3, 1))
+    engine.app_command("approve", D(3, 1), dry_run=False, item_ids=["i1", "i2"])
+    with monkeypatch.context() as m:
+        m.setattr(MemoryEngine, "_update_communities", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            engine.commit_draft("d", D(3, 1) + dt.timedelta(hours=1))
+    engine.commit_draft("d", D(3, 1) + dt.timedelta(hours=3))
+    assert [engine.store.read(t).count() for t in ("episode", "entity", "fact", "edge")] == [1, 1, 1, 1]
+
+
+def test_an_id_read_reads_no_vectors_and_an_indexed_engine_finds_stems(spark, tmp_path):
+    e = MemoryEngine(S.MemoryStore(spark, f"file://{tmp_path}/ix"), indexed=True)
+    rows = [("note", "Running shoes at the café", "", "episode:1", D(1, 2), 0.9, [], "personal"), ("note", "nothing like it", "", "episode:2", D(1, 3), 0.9, [], "personal")]
+    e.add_facts(spark.createDataFrame(rows, FACTS), D(1, 4))
+    e.add_facts(spark.createDataFrame(rows[:1], FACTS), D(1, 5))  # known: stored and indexed once
+    assert e.content_index.statistics().first()["docs"] == 2
+    plan = e.store.read("fact").select("fact_id")._jdf.queryExecution().executedPlan().toString()
+    assert "embedding" not in plan and "content" not in plan
+    assert [r["content"] for r in e.assemble_context(ContextRequest("runs cafe", "personal", D(2, 1))).collect()] == ["Running shoes at the café"]
+
+
 def test_a_fact_without_text_stops_a_commit(spark, engine):
     engine.create_draft("e", "personal", spark.createDataFrame([("i", "fact", "{}")], "item_id string, item_type string, payload string"), D(3, 1))
     engine.app_command("approve", D(3, 1), dry_run=False, item_ids=["i"])
