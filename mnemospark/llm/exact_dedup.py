@@ -81,6 +81,21 @@ class CountingQuotientFilter:
         return CountingQuotientFilter(merged >> np.uint64(REMAINDER_BITS), merged & np.uint64((1 << REMAINDER_BITS) - 1), counts)
 
 
+def merged(filters) -> CountingQuotientFilter:
+    """All filters in one, merged in pairs of like weight: each fingerprint is copied as often as there are levels, not
+    as often as there are filters."""
+    stack: list[tuple[int, CountingQuotientFilter]] = []
+    for one in filters:
+        level = 0
+        while stack and stack[-1][0] == level:
+            one, level = stack.pop()[1].merge(one), level + 1
+        stack.append((level, one))
+    whole = stack.pop()[1]
+    while stack:
+        whole = stack.pop()[1].merge(whole)
+    return whole
+
+
 def _blocks(n_rows: int, per_block: int) -> int:
     """Leading bits that name a block: about per_block fingerprints in each, 16 blocks at least."""
     return max(4, int(max(1, n_rows // per_block)).bit_length())
@@ -115,10 +130,7 @@ def repeated_fingerprints(fps: DataFrame, n_rows: int, per_block: int = 500_000)
                                          names=["block", "filter"])
 
     def merge(key, rows):
-        whole = None
-        for data in rows.column("filter"):
-            one = CountingQuotientFilter.load(data.as_py())
-            whole = one if whole is None else whole.merge(one)
+        whole = merged(CountingQuotientFilter.load(data.as_py()) for data in rows.column("filter"))
         hot = whole.counts > 1
         fp = whole.fingerprints()[hot] | (np.uint64(key[0].as_py()) << np.uint64(64 - bits))
         return pa.table({"fp": pa.array(fp.view(np.int64)), "copies": pa.array(whole.counts[hot])})

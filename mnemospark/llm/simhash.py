@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, give_back, join_by_class, small, table, through_python
+from .common import components, cut, give_back, join_by_class, small, table, through_python, unused
 
 SEED = 42
 SEGMENTS = ((32, 32), (0, 32))
@@ -226,12 +226,16 @@ def near_groups(docs: DataFrame, words_in_shingle: int = 3, radius: int = 3, pri
 def drop_near_copies(docs: DataFrame, words_in_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one document of each group of near copies, the one with the smallest doc_id. Near copies have
     a Jaccard similarity of word shingles of at least similarity, or are joined by a chain of such pairs; a
-    fingerprint misses most pairs near 0.8, so they are found by near_copies and verified. Rows that share that
-    doc_id all stay (exact deduplication comes before), and so do rows without a doc_id."""
-    from .near_copies import similar_groups
-
-    gone = small(similar_groups(docs, words_in_shingle, similarity).where("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    fingerprint misses most pairs near 0.8, so they are found by near_copies and verified. Rows go one by one, by doc_id
+    and text: another text under the doc_id of a copy stays. Rows that share the smallest doc_id all stay (exact
+    deduplication comes before), and so do rows without a doc_id. An empty table stays empty."""
+    from .near_copies import similar_groups, text_key
+
+    theirs, key, own = unused(docs, "id", "text_key", "own_key")
+    groups = similar_groups(docs, words_in_shingle, similarity)
+    gone = small(groups.where("doc_id <> component_id").select(F.col("doc_id").alias(theirs), F.col("text_key").alias(key)).distinct())
+    kept = docs.withColumn(own, text_key()).join(gone, (F.col("doc_id") == F.col(theirs)) & (F.col(own) == F.col(key)), "left_anti")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

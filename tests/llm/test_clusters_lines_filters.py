@@ -221,3 +221,18 @@ def test_chains_keep_texts_of_one_fingerprint_apart():
     c = filter_audit.Chains()
     assert [c.add(1, b"a", 5), c.add(1, b"b", 9), c.add(1, b"a", 3), c.add(1, b"b", 9), c.add(1, b"b", 10), c.add(1, b"a", None)] == [(), (), (5,), (), (10,), (None,)]
     assert sorted(c.empty()) == [(1, b"a", 3), (1, b"b", 9)] and not c.chains
+
+
+def test_many_filters_merge_in_a_tree():
+    import time
+
+    from mnemospark.llm.exact_dedup import CountingQuotientFilter, merged
+
+    rng = np.random.default_rng(0)
+    parts = [rng.integers(0, 1 << 60, 200, np.uint64) for _ in range(2_000)]
+    parts[7][:5] = parts[1_500][:5]
+    began = time.perf_counter()
+    whole = merged(CountingQuotientFilter.of(x) for x in parts)
+    assert time.perf_counter() - began < 5  # 8.6 s one after another
+    fps, n = np.unique(np.concatenate(parts), return_counts=True)
+    assert (whole.fingerprints() == fps).all() and (whole.counts == n).all()

@@ -35,3 +35,12 @@ def test_pairs_from_four_fifths_on_are_found_and_others_left(spark):
     assert sum(s < 0.85 for s in near) > 5 and sum(s > 0.9 for s in near) > 5
     left = [r["doc_id"] for r in simhash.drop_near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()]
     assert sorted(left) == sorted(set(up)) and len(left) < len(docs)
+
+
+def test_rows_go_by_text_and_not_by_doc_id(spark):
+    base = planted(9, 1)[0][1]
+    rows = [(1, base, 0), (5, base + " end", 1), (5, "another text altogether that nothing else in this table is like", 2), (None, base, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __text_key int")
+    left = simhash.drop_near_copies(df)
+    assert left.columns == df.columns and sorted(r["__text_key"] for r in left.collect()) == [0, 2, 3]
+    assert simhash.drop_near_copies(df.limit(0)).count() == 0
