@@ -54,21 +54,77 @@ def distances(edges: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
     return seen
 
 
+def _touching(edges: DataFrame, nodes: list[str]) -> DataFrame:
+    """(src, dst) of edges in either direction from the nodes, which the scan filters."""
+    out = edges.where(F.col("in_id").isin(nodes)).select(F.col("in_id").alias("src"), F.col("out_id").alias("dst"))
+    return out.union(edges.where(F.col("out_id").isin(nodes)).select(F.col("out_id").alias("src"), F.col("in_id").alias("dst")))
+
+
 def shortest_path(edges: DataFrame, source: str, target: str, cutoff=None, max_depth: int = 4, max_nodes: int = 500) -> dict:
-    """The nodes of one shortest path and a status: found, no_path or depth_limit_exceeded (more than max_nodes
-    were seen). At most max_depth rows reach the driver."""
+    """The nodes of one shortest path of at most max_depth edges, and a status: found, no_path, or depth_limit_exceeded
+    (more than max_nodes would have to be looked at).
+
+    Searched from both ends: the smaller frontier takes the next step, and the step first asks whether one of its edges
+    ends in what the other side has seen, so a hub's neighbours are not gathered to be met. What the driver holds is
+    bounded by max_nodes on each side; a side whose next frontier passes it stands still while the other goes on."""
+    active = edges.where(temporal.active_at(cutoff)) if cutoff is not None else edges
+    if source == target:
+        return {"status": "found", "path": [source]}
+    seen = [{source: None}, {target: None}]  # node -> parent
+    front, depth, wide, looked = [[source], [target]], 0, [False, False], 0
+    while depth < max_depth:
+        open_ = [s for s in (0, 1) if front[s] and not wide[s]]
+        if not front[0] or not front[1]:
+            return {"status": "no_path", "path": []}
+        side = min(open_, key=lambda s: (len(front[s]), s), default=None)
+        if side is None or looked + len(front[side]) > max_nodes:
+            return {"status": "depth_limit_exceeded", "path": []}
+        looked += len(front[side])
+        steps, other = _touching(active, front[side]), seen[1 - side]
+        met = steps.where(F.col("dst").isin(list(other))).orderBy("dst", "src").first()
+        if met is not None:
+            halves = []
+            for s, node in ((side, met["src"]), (1 - side, met["dst"])):
+                half = []
+                while node is not None:
+                    half.append(node)
+                    node = seen[s][node]
+                halves.append(half)
+            path = halves[0][::-1] + halves[1]
+            return {"status": "found", "path": path if side == 0 else path[::-1]}
+        depth += 1
+        if depth == max_depth:
+            break
+        new = steps.where(~F.col("dst").isin(list(seen[side]))).groupBy("dst").agg(F.min("src").alias("src")).limit(max_nodes + 1).collect()
+        if len(new) > max_nodes:
+            wide[side] = True
+            depth -= 1  # this step was not taken; what it would have met is found from the other side
+            continue
+        seen[side].update({r["dst"]: r["src"] for r in new})
+        front[side] = [r["dst"] for r in new]
+    return {"status": "no_path", "path": []}
+
+
+def path_steps(edges: DataFrame, entities: DataFrame, path: list[str], cutoff=None) -> DataFrame:
+    """A path's nodes in order (position from 0, node, entity_type, label) with the edge that leads on from each: edge_id,
+    relation, direction, strength, confidence, t_valid, t_invalid; the smallest edge_id where there are several."""
     active = edges.where(temporal.active_at(cutoff)) if cutoff is not None else edges
     spark = edges.sparkSession
-    seen = cut(distances(active, spark.createDataFrame([(source,)], "node string"), max_depth))
-    path, node = [], target
-    while node is not None:
-        row = seen.where(F.col("node") == node).first()
-        if row is None:
-            over = seen.limit(max_nodes + 1).count() > max_nodes
-            return {"status": "depth_limit_exceeded" if over else "no_path", "path": []}
-        path.append(node)
-        node = row["parent"]
-    return {"status": "found", "path": path[::-1]}
+    nodes = spark.createDataFrame(list(enumerate(path)), "position int, node string")
+    if not path:
+        return nodes.select("position", "node", *[F.lit(None).cast(t).alias(c) for c, t in (("entity_type", "string"), ("label", "string"), *_STEP)])
+    steps = F.broadcast(spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(zip(path, path[1:]))], "position int, a string, b string"))  # max_depth rows
+    have = [F.col(c) if c in edges.columns else F.lit(None).cast(t).alias(c) for c, t in _STEP if c != "direction"]
+    near = active.where(F.col("in_id").isin(path) & F.col("out_id").isin(path)).select("in_id", "out_id", *have)
+    out = near.join(steps, (F.col("in_id") == F.col("a")) & (F.col("out_id") == F.col("b"))).withColumn("direction", F.lit("outgoing"))
+    both = out.unionByName(near.join(steps, (F.col("in_id") == F.col("b")) & (F.col("out_id") == F.col("a"))).withColumn("direction", F.lit("incoming")))
+    names = [c for c, _ in _STEP]
+    best = both.groupBy("position").agg(F.min_by(F.struct(*names), F.struct("edge_id", "direction")).alias("e")).select("position", "e.*")
+    told = entities.where(F.col("entity_id").isin(path)).select(F.col("entity_id").alias("node"), "entity_type", F.col("canonical_name").alias("label"))
+    return nodes.join(told, "node", "left").join(best, "position", "left").select("position", "node", "entity_type", "label", *names)
+
+
+_STEP = (("edge_id", "string"), ("relation", "string"), ("direction", "string"), ("strength", "double"), ("confidence", "double"), ("t_valid", "timestamp_ntz"), ("t_invalid", "timestamp_ntz"))
 
 
 def intro_chains(edges: DataFrame, target: str, max_hops: int, cutoff=None) -> DataFrame:
@@ -200,24 +256,77 @@ def upsert_communities(stored: DataFrame, rebuilt: DataFrame) -> DataFrame:
     return rebuilt.join(kept, "community_id", "left").withColumn("community_id", F.coalesce("old_id", "community_id")).drop("old_id")
 
 
+_TRIPLE = ("in_id", "relation", "out_id")
+_ORDER = (*_TRIPLE, "t_ingested", "t_valid", "edge_id")
+
+
+def _first_later(batches):
+    """Streams versions sorted by triple and transaction order. A version waits on a stack until one comes that is not
+    earlier in valid time; what waits is in falling order of valid time, so each version is pushed and taken once.
+
+    Rows: closed (edge_id with its closer), waiting (of the last triple, which may go on elsewhere) and high (versions of
+    the first triple that are later in valid time than all before them: only these can close what waits elsewhere)."""
+    import pyarrow as pa
+
+    now, first, stack, highs, most = None, True, [], [], None
+    none = pa.nulls
+
+    def rows(kind, key, items):
+        n = len(items)
+        cols = [pa.array([kind] * n), *[pa.array([key[k]] * n, pa.string()) for k in range(3)], pa.array([x[0] for x in items], pa.string())]
+        times = [pa.array([x[k] for x in items], pa.int64()).cast(pa.timestamp("us")) if kind != "closed" else none(n, pa.timestamp("us")) for k in (1, 2)]
+        by = [pa.array([x[k] for x in items], pa.int64()).cast(pa.timestamp("us")) if kind == "closed" else none(n, pa.timestamp("us")) for k in (1, 2)]
+        return pa.RecordBatch.from_arrays([*cols, *times, *by], names=["kind", *_TRIPLE, "edge_id", "t_valid", "t_ingested", "by_valid", "by_ingested"])
+
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in _TRIPLE)))
+        valid, ingested = (batch.column(c).cast(pa.int64()).to_pylist() for c in ("t_valid", "t_ingested"))
+        closed: dict = {}
+        for key, edge, v, i in zip(keys, batch.column("edge_id").to_pylist(), valid, ingested):
+            if key != now:
+                if now is not None:
+                    first = False
+                now, stack, most = key, [], None
+            if v is None:
+                continue
+            while stack and stack[-1][1] <= v:
+                closed.setdefault(key, []).append((stack.pop()[0], v, i))
+            stack.append((edge, v, i))
+            if first and (most is None or v > most):
+                most = v
+                highs.append((key, (edge, v, i)))
+        for key, items in closed.items():
+            yield rows("closed", key, items)
+    if now is not None:
+        yield rows("waiting", now, stack)
+        if highs:
+            yield rows("high", highs[0][0], [x for _, x in highs])
+
+
 def close_superseded(edges: DataFrame) -> DataFrame:
-    """Open versions of a triple closed by the first later one (in transaction order) that is not earlier in
-    valid time; a late arrival closes nothing that is newer. Nearly always that is the very next version,
-    which one window gives; only rows whose next version is earlier in valid time look further, by a join."""
-    triple = ["in_id", "relation", "out_id"]
-    order = F.struct("t_ingested", "t_valid", "edge_id")
-    w = Window.partitionBy(*triple).orderBy("t_ingested", "t_valid", "edge_id")
-    ahead = edges.withColumns({"_n": F.lead(order).over(w), "_at": order})
-    late = ahead.where(F.col("_n.t_valid") < F.col("t_valid")).select(*triple, "edge_id", "_at")
-    others = edges.select(*triple, order.alias("_o"))
-    found = (late.join(others, triple).where((F.col("_o") > F.col("_at")) & (F.col("_o.t_valid") >= F.col("_at.t_valid")))
-             .groupBy("edge_id").agg(F.min("_o").alias("_far")))
-    joined = ahead.join(found, "edge_id", "left")
-    nxt = F.when(F.col("_n.t_valid") < F.col("t_valid"), F.col("_far")).otherwise(F.col("_n"))
+    """Open versions of a triple closed by the first later one (in transaction order) that is not earlier in valid time;
+    a late arrival closes nothing that is newer. Versions are range-partitioned by triple and order, so one with very
+    many versions is spread over tasks; each task settles its own in one pass, and what waits at its end is matched with
+    the rising highs of the next tasks: no version is joined with the others of its triple. A version without valid time
+    neither closes nor is closed."""
+    order = [F.col(c) for c in _ORDER]
+    dealt = edges.select(*_ORDER).repartitionByRange(*order).sortWithinPartitions(*order)
+    schema = "kind string, in_id string, relation string, out_id string, edge_id string, t_valid timestamp_ntz, t_ingested timestamp_ntz, by_valid timestamp_ntz, by_ingested timestamp_ntz"
+    found = cut(dealt.mapInArrow(_first_later, schema).withColumn("task", F.spark_partition_id()))
+    high, waiting = found.where("kind = 'high'"), found.where("kind = 'waiting'")
+    tops = high.groupBy(*_TRIPLE, "task").agg(F.max("t_valid").alias("top")).withColumnRenamed("task", "there")  # a row for each task at most
+    to = (waiting.select(*_TRIPLE, "edge_id", "t_valid", "task").join(F.broadcast(tops), list(_TRIPLE)).where((F.col("there") > F.col("task")) & (F.col("top") >= F.col("t_valid")))
+          .groupBy(*_TRIPLE, "edge_id", "t_valid").agg(F.min("there").alias("task")))
+    none = F.lit(None).cast("struct<by_valid:timestamp_ntz,by_ingested:timestamp_ntz>")
+    both = (high.select(*_TRIPLE, "task", "t_valid", F.lit(0).alias("side"), F.lit(None).cast("string").alias("edge_id"), F.struct(F.col("t_valid").alias("by_valid"), F.col("t_ingested").alias("by_ingested")).alias("by"))
+            .unionByName(to.select(*_TRIPLE, "task", "t_valid", F.lit(1).alias("side"), "edge_id", none.alias("by"))))
+    least = Window.partitionBy(*_TRIPLE, "task").orderBy(F.col("t_valid").desc(), "side").rowsBetween(Window.unboundedPreceding, 0)
+    late = both.withColumn("by", F.last("by", ignorenulls=True).over(least)).where("side = 1").select("edge_id", "by.by_valid", "by.by_ingested")
+    closing = found.where("kind = 'closed'").select("edge_id", "by_valid", "by_ingested").unionByName(late)
     is_open = F.col("t_invalid").isNull()
-    return joined.withColumn("_n", nxt).withColumns({
-        "t_invalid": F.when(is_open, F.col("_n.t_valid")).otherwise(F.col("t_invalid")),
-        "t_invalid_ingested": F.when(is_open, F.col("_n.t_ingested")).otherwise(F.col("t_invalid_ingested"))}).select(*edges.columns)
+    return edges.join(closing, "edge_id", "left").withColumns({
+        "t_invalid": F.when(is_open, F.col("by_valid")).otherwise(F.col("t_invalid")),
+        "t_invalid_ingested": F.when(is_open, F.col("by_ingested")).otherwise(F.col("t_invalid_ingested"))}).select(*edges.columns)
 
 
 def expand_entities(edges: DataFrame, seeds: DataFrame, query_is_relational: bool, cutoff=None) -> DataFrame:

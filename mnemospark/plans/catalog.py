@@ -572,6 +572,33 @@ def graph_shortest_path_lengths(spark, d):
     return graphs.distances(V.graph(spark, d), spark.createDataFrame([("entity:o:200",)], "node string"), 4).select("node", "distance")
 
 
+@query(f"""WITH RECURSIVE {V.GRAPH_SQL}, {_BOTH}, walk AS (SELECT 'entity:o:200' AS node, 0 AS distance UNION SELECT t, distance + 1 FROM walk JOIN steps ON s = node WHERE distance < 4),
+far AS (SELECT node, min(distance) AS d FROM walk GROUP BY node), t AS (SELECT DISTINCT in_id AS target FROM graph ORDER BY target LIMIT 6)
+SELECT target, CASE WHEN d IS NULL THEN 'no_path' ELSE 'found' END AS status, CAST(coalesce(d, -1) AS INTEGER) AS hops FROM t LEFT JOIN far ON target = node""")
+def graph_paths_from_both_ends(spark, d):
+    """Shortest paths from one order to six others, searched from both ends."""
+    g = graphs.cut(V.graph(spark, d))
+    targets = [r[0] for r in g.select("in_id").distinct().orderBy("in_id").limit(6).collect()]
+    found = [(t, graphs.shortest_path(g, "entity:o:200", t, max_depth=4, max_nodes=200_000)) for t in targets]
+    return spark.createDataFrame([(t, f["status"], len(f["path"]) - 1) for t, f in found], "target string, status string, hops int")
+
+
+@query(f"""WITH {V.EDGE_SQL}, o AS (SELECT edge_id, relation, CASE WHEN CAST(substr(edge_id, 6) AS BIGINT) % 3 = 0 THEN 'hot' ELSE in_id END AS in_id, CASE WHEN CAST(substr(edge_id, 6) AS BIGINT) % 3 = 0 THEN 'hot' ELSE out_id END AS out_id, t_valid,
+  t_valid + INTERVAL 1 DAY * (CAST(substr(edge_id, 6) AS BIGINT) * 7919 % 400) AS t_ingested FROM edge),
+n AS (SELECT a.edge_id, b.t_valid AS v, b.t_ingested AS i, row_number() OVER (PARTITION BY a.edge_id ORDER BY b.t_ingested, b.t_valid, b.edge_id) AS rn FROM o a JOIN o b USING (in_id, relation, out_id)
+  WHERE (b.t_ingested, b.t_valid, b.edge_id) > (a.t_ingested, a.t_valid, a.edge_id) AND b.t_valid >= a.t_valid)
+SELECT o.edge_id, n.v AS t_invalid, n.i AS t_invalid_ingested FROM o LEFT JOIN n ON o.edge_id = n.edge_id AND n.rn = 1""")
+def edge_supersession_hot_and_late(spark, d):
+    """A third of all versions under one triple, and many that arrive long after later ones."""
+    none = F.lit(None).cast("timestamp_ntz")
+    e = V.edges(spark, d)
+    n = F.substring("edge_id", 6, 20).cast("long")
+    e = e.withColumns({c: F.when(n % 3 == 0, "hot").otherwise(F.col(c)) for c in ("in_id", "out_id")})
+    late = F.make_dt_interval((n * 7919 % 400).cast("int"))
+    e = e.withColumns({"t_ingested": F.col("t_valid") + late, "t_invalid": none, "t_invalid_ingested": none})
+    return graphs.close_superseded(e).select("edge_id", "t_invalid", "t_invalid_ingested")
+
+
 @query()  # in SQL every node would walk with the label of every other; tests hold it against brute force
 def connected_components(spark, d):
     return graphs.components(V.graph(spark, d))

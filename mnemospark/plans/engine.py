@@ -311,8 +311,10 @@ class MemoryEngine:
         the four lists of the console."""
         s = self.store
         if app == "path":
-            found = graphs.shortest_path(s.read("edge"), args["source"], args["target"], args["as_of"], args.get("max_depth", 4))
-            return s.spark.createDataFrame([(found["status"], found["path"])], "status string, path array<string>").withColumn("context", F.to_json(F.struct("status", "path")))
+            found = graphs.shortest_path(s.read("edge"), args["source"], args["target"], args["as_of"], args.get("max_depth", 4), args.get("max_nodes", 500))
+            steps = graphs.path_steps(s.read("edge"), s.read("entity"), found["path"], args["as_of"])
+            whole = steps.agg(F.array_sort(F.collect_list(F.struct(*steps.columns))).alias("steps"))  # max_depth rows
+            return whole.select(F.lit(found["status"]).alias("status"), F.array(*[F.lit(x) for x in found["path"]]).cast("array<string>").alias("path"), "steps").withColumn("context", F.to_json(F.struct("status", "path", "steps")))
         if app == "chain":
             return graphs.intro_chain(s.read("edge"), args["target"], args.get("max_hops", 3), args["as_of"])
         if app == "edge":
