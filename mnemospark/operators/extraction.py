@@ -36,18 +36,3 @@ def edges_of(entities: DataFrame, facts: DataFrame) -> DataFrame:
     involved = entities.select("episode_id", "entity_id").join(facts.select("episode_id", "fact_id", "t_valid"), "episode_id").select(
         F.col("entity_id").alias("in_id"), F.lit("involved_in").alias("relation"), F.col("fact_id").alias("out_id"), "t_valid", F.lit(0.8).alias("strength"), F.lit(0.85).alias("confidence"))
     return mentioned.unionByName(involved).distinct().withColumn("edge_id", ids.edge_id("in_id", "relation", "out_id", "t_valid"))
-
-
-def suppress_overlaps(spans: DataFrame, by: list[str], most: float = 0.5) -> DataFrame:
-    """Greedy non-maximum suppression of spans (start, end, label, score) within a group and label: best score
-    first, ties by start and end; one that overlaps a kept span by IoU above `most` goes."""
-    item = F.struct((-F.col("score")).alias("neg"), "start", "end", "score")
-    ordered = spans.groupBy(*by, "label").agg(F.array_sort(F.collect_list(item)).alias("all"))
-
-    def overlaps(k: Column, x: Column) -> Column:
-        inter = F.greatest(F.least(k["end"], x["end"]) - F.greatest(k["start"], x["start"]), F.lit(0)).cast("double")
-        union = ((k["end"] - k["start"]) + (x["end"] - x["start"])).cast("double") - inter
-        return (union > 0) & (inter / union > most)
-
-    kept = F.reduce("all", F.filter("all", lambda x: F.lit(False)), lambda acc, x: F.when(F.exists(acc, lambda k: overlaps(k, x)), acc).otherwise(F.concat(acc, F.array(x))))
-    return ordered.select(*by, "label", F.inline(kept)).select(*by, "label", "start", "end", "score")

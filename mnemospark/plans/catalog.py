@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import ids, temporal, text, vector
+from ..operators import spans as span_ops
 from ..operators import evals, extraction, fusion, graphs, lexical, lifecycle, membership, postings, relational, semantic, vector_index
 from ..runtime import shared_folder
 from ..sources import views as V
@@ -735,7 +736,25 @@ def extraction_metrics(spark, d):
 def span_nms(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
     spans = e.select("user_id", F.col("event_type").alias("label"), (F.col("event_id") % 500).alias("start"), (F.col("event_id") % 500 + 5 + F.col("event_id") % 17).alias("end"), F.round("value", 6).alias("score"))
-    return extraction.suppress_overlaps(spans, ["user_id"])
+    return span_ops.suppress_overlaps(spans, ["user_id"])
+
+
+@query("""WITH tok AS (SELECT id, i, coalesce(sum(length(x) + 1) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, length(x) AS l
+  FROM (SELECT item_id AS id, unnest(string_split(text, ' ')) AS x, generate_subscripts(string_split(text, ' '), 1) - 1 AS i FROM benchmark)),
+n AS (SELECT id, count(*) AS n FROM tok GROUP BY 1), win AS (SELECT id, n, unnest(range(0, n, 28)) AS first FROM n),
+sp AS (SELECT id, first, a, a + d AS b, k FROM win, range(32) ra(a), range(12) rd(d), range(2) rk(k) WHERE a + d < least(32, n - first)),
+p AS (SELECT id, k, first + a AS x, first + b AS y, 1 / (1 + exp(-(((a * 7 + b * 13 + k * 5 + id * 3 + first) % 23 - 11) / 3.0::DOUBLE))) AS score FROM sp)
+SELECT p.id, CASE k WHEN 0 THEN 'person' ELSE 'place' END AS label, CAST(f.s AS INTEGER) AS start, CAST(t.s + t.l AS INTEGER) AS "end", round(max(score), 6) AS score
+FROM p JOIN tok f ON f.id = p.id AND f.i = x JOIN tok t ON t.id = p.id AND t.i = y JOIN benchmark ON item_id = p.id WHERE score >= 0.8 AND t.s + t.l > f.s AND trim(substr(text, CAST(f.s + 1 AS INTEGER), CAST(t.s + t.l - f.s AS INTEGER))) <> '' GROUP BY ALL""")
+def span_decode(spark, d):
+    """Spans of the benchmark passages decoded from logits of overlapping windows; the logits follow from the places."""
+    words = F.split("text", " ")
+    ends = F.aggregate(words, F.array().cast("array<struct<start:int,end:int>>"), lambda acc, x: F.concat(acc, F.array(F.struct((F.coalesce(F.get(acc, F.size(acc) - 1)["end"], F.lit(-1)) + 1).cast("int").alias("start"), (F.coalesce(F.get(acc, F.size(acc) - 1)["end"], F.lit(-1)) + 1 + F.length(x)).cast("int").alias("end")))))
+    texts = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("id"), "text", ends.alias("offsets"))
+    logit = lambda s, k: (((s["first"] * 7 + s["last"] * 13 + k * 5 + F.col("id") * 3 + F.col("first")) % 23 - 11) / F.lit(3.0)).cast("double")
+    w = span_ops.windows(texts, 32).join(texts.select("id", "text"), "id")
+    w = w.withColumn("logits", F.transform(span_ops.enumerated(F.size("offsets")), lambda s: F.array(logit(s, 0), logit(s, 1))))
+    return span_ops.decode(w, ["person", "place"], 0.8).select("id", "label", "start", "end", F.round("score", 6).alias("score"))
 
 
 # -- streams ----------------------------------------------------------------------------------------------

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from mnemospark import schemas
 from mnemospark.functions import text
 from mnemospark.operators import evals, extraction, fusion, graphs, lexical, lifecycle, relational
+from mnemospark.operators import spans as spans_
 from mnemospark.plans.engine import MemoryEngine
 from mnemospark.plans.retrieval import ContextRequest, MemoryTables, assemble_context
 from mnemospark.sources import store as S
@@ -114,7 +115,7 @@ def test_diff_decay_archive(spark):
 
 def test_nms_and_extraction(spark):
     spans = spark.createDataFrame([(1, "p", 0, 10, 0.9), (1, "p", 1, 10, 0.8), (1, "p", 20, 25, 0.5), (1, "q", 1, 10, 0.1)], "doc int, label string, start int, end int, score double")
-    assert {(r["label"], r["start"]) for r in extraction.suppress_overlaps(spans, ["doc"]).collect()} == {("p", 0), ("p", 20), ("q", 1)}
+    assert {(r["label"], r["start"]) for r in spans_.suppress_overlaps(spans, ["doc"]).collect()} == {("p", 0), ("p", 20), ("q", 1)}
 
 
 def test_nms_is_the_greedy_choice(spark):
@@ -134,7 +135,7 @@ def test_nms_is_the_greedy_choice(spark):
                 kept.append(s)
         want |= set(kept)
     df = spark.createDataFrame(rows, "doc int, label string, start int, end int, score double")
-    assert {tuple(r) for r in extraction.suppress_overlaps(df, ["doc"]).collect()} == want
+    assert {tuple(r) for r in spans_.suppress_overlaps(df, ["doc"]).collect()} == want
 
 
 def test_all_legs_take_part(spark):
