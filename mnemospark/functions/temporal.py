@@ -86,3 +86,13 @@ def is_hot(now, half_life: float) -> Column:
 
 def hour(t: Column) -> Column:
     return F.date_trunc("HOUR", t).cast("timestamp_ntz")
+
+
+def parse_rfc3339(value: Column | str) -> Column:
+    """RFC 3339 with Z or an offset as a UTC time; null for anything else. Digits of the second beyond six are cut off."""
+    c = F.trim(F.col(value) if isinstance(value, str) else value)
+    part = lambda k: F.regexp_extract(c, r"^(\d{4}-\d{2}-\d{2})[Tt ](\d{2}:\d{2}:\d{2})(?:\.(\d+))?([Zz]|[+-]\d{2}:\d{2})$", k)
+    whole = F.try_to_timestamp(F.concat(part(1), F.lit(" "), part(2), F.lit("."), F.rpad(F.substring(part(3), 1, 6), 6, "0")), F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS")).cast("timestamp_ntz")
+    zone = F.upper(part(4))
+    minutes = F.when(zone == "Z", 0).otherwise(F.concat(F.substring(zone, 1, 1), F.lit("1")).try_cast("int") * (F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 5, 2).try_cast("int")))
+    return F.when(zone != "", whole - F.make_dt_interval(F.lit(0), F.lit(0), F.coalesce(minutes, F.lit(0))))

@@ -549,6 +549,29 @@ def temporal_diff_entity(spark, d):
     return lifecycle.temporal_diff(V.facts(spark, d), AT, LATER, entity="entity:user:7")
 
 
+@query(f"SELECT change, count(*) AS n FROM ({_diff_sql('scope = ' + chr(39) + 'org' + chr(39))}) GROUP BY 1")
+def temporal_diff_counts(spark, d):
+    return lifecycle.diff_counts(lifecycle.temporal_diff(V.facts(spark, d), AT, LATER, scope="org"))
+
+
+@query(f"WITH {V.FACT_SQL} SELECT fact_id, t_valid FROM fact WHERE t_invalid IS NULL ORDER BY t_valid, fact_id LIMIT 100")
+def lifecycle_active_facts(spark, d):
+    return lifecycle.active_facts(V.facts(spark, d), 100).select("fact_id", "t_valid")
+
+
+@query("""SELECT event_id, ts - INTERVAL 1 MINUTE * ((event_id % 5 - 2) * 90) AS utc, date_trunc('hour', ts - INTERVAL 1 MINUTE * ((event_id % 5 - 2) * 90)) AS hour, substr(sha256(event_type || event_id), 1, 16) AS hash,
+CASE event_id % 3 WHEN 0 THEN NULL ELSE event_type END AS type FROM events""")
+def rfc3339_hours_and_hashes(spark, d):
+    """Times with offsets of minus three to three hours read back as UTC and cut to the hour; short hashes; texts that mean
+    nothing as null."""
+    n = F.col("event_id")
+    offset = F.element_at(F.array(*[F.lit(x) for x in ("-03:00", "-01:30", "Z", "+01:30", "+03:00")]), (n % 5 + 1).cast("int"))
+    e = spark.read.parquet(f"{d}/events.parquet").withColumn("at", F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), offset))
+    blank = F.when(n % 3 > 0, F.concat(F.lit(" "), "event_type")).otherwise(F.when(n % 2 == 0, F.lit(" NULL ")).otherwise(F.lit("  ")))
+    utc = temporal.parse_rfc3339("at")
+    return e.withColumn("maybe", blank).select("event_id", utc.alias("utc"), temporal.hour(utc).alias("hour"), ids.content_hash(F.concat("event_type", n.cast("string"))).alias("hash"), text.optional_string("maybe").alias("type"))
+
+
 @query(f"""WITH {V.TEXT_FACT_SQL}, {_GROUP_EPISODE}, p AS (SELECT DISTINCT l AS entity_id, source_episode AS episode_id FROM (SELECT unnest(entity_links) AS l, source_episode FROM tfact)),
 r AS (SELECT p.entity_id, p.episode_id, row_number() OVER (PARTITION BY p.entity_id ORDER BY t_ref DESC, p.episode_id) AS rn FROM p JOIN gep USING (episode_id)),
 s AS (SELECT fact_id, source_episode AS episode_id, 'direct' AS kind, CAST(NULL AS VARCHAR) AS entity_id FROM tfact UNION ALL
@@ -625,6 +648,30 @@ def lifecycle_stale_communities(spark, d):
     return _stale(V.graph(spark, d))
 
 
+@query(f"""WITH {V.NATION_GRAPH_SQL} SELECT out_id AS node, in_id AS neighbour, 'incoming' AS direction FROM ngraph WHERE out_id IN ('entity:n:3', 'entity:n:9')
+UNION ALL SELECT in_id, out_id, 'outgoing' FROM ngraph WHERE in_id IN ('entity:s:1', 'entity:c:7')""")
+def edge_neighbours(spark, d):
+    g = V.nation_graph(spark, d)
+    asked = {"incoming": ("entity:n:3", "entity:n:9"), "outgoing": ("entity:s:1", "entity:c:7")}
+    each = [graphs.neighbours(g, spark.createDataFrame([(n,) for n in nodes], "node string"), way).select("node", "neighbour", F.lit(way).alias("direction")) for way, nodes in asked.items()]
+    return each[0].unionByName(each[1])
+
+
+@query(f"WITH {V.EDGE_SQL} SELECT edge_id, in_id, out_id, t_valid FROM edge WHERE {_t1('1998-06-01 00:00:00')} ORDER BY in_id, out_id, t_valid DESC, edge_id LIMIT 50")
+def edges_in_order(spark, d):
+    return graphs.ordered_edges(V.edges(spark, d).where(temporal.active_at("1998-06-01 00:00:00")), 50).select("edge_id", "in_id", "out_id", "t_valid")
+
+
+@query(f"""WITH {V.NATION_GRAPH_SQL}, own AS (SELECT in_id AS node FROM ngraph WHERE n % 3 = 0 UNION SELECT out_id FROM ngraph WHERE n % 3 = 0), e AS (SELECT * FROM ngraph WHERE in_id IN (SELECT node FROM own) AND out_id IN (SELECT node FROM own)),
+lab AS (SELECT node, min(node) OVER (PARTITION BY g) AS component FROM (SELECT in_id AS node, out_id AS g FROM e UNION SELECT out_id, out_id FROM e)) SELECT * FROM lab""")
+def components_of_scope(spark, d):
+    """Components of the edges between entities that facts of one scope link to."""
+    g = V.nation_graph(spark, d)
+    scope = F.element_at(F.array(F.lit("org"), F.lit("personal"), F.lit("private")), (F.col("n") % 3 + 1).cast("int"))
+    facts = g.select(F.concat(F.lit("fact:"), "in_id").alias("fact_id"), F.array("in_id", "out_id").alias("entity_links"), scope.alias("scope"))
+    return graphs.component_of_scope(g, facts, "org")
+
+
 _LABEL_SQL = "lab AS (SELECT node, min(node) OVER (PARTITION BY g) AS component FROM (SELECT in_id AS node, out_id AS g FROM e UNION SELECT out_id, out_id FROM e))"
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import warnings
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from ..operators.membership import ComponentStore
 from ..operators.postings import FullTextIndex
 from ..operators.relational import resolve_scope
 from ..runtime import cut
-from ..sources.store import MemoryStore, conform, keep_new
+from ..sources.store import MemoryStore, conform, decode_communities, keep_new
 from ..schemas import TABLES
 from .retrieval import ContextRequest, MemoryTables, assemble_context
 from .sessions import ContextCache, Sessions, TokenBucket
@@ -78,11 +79,20 @@ class MemoryEngine:
         rows = self._with_names(rows, self.store.read("entity"))
         if embedder:
             quote = F.col("quote") if "quote" in rows.columns else F.lit("")
-            rows = rows.withColumn("embedding", embedder(F.concat_ws("\n", "fact_type", "content", quote)))
+            rows = self._embedded(rows, embedder(F.concat_ws("\n", "fact_type", "content", quote)))
         self._insert_facts(rows, _micros(now))
         self._wrote(rows)
         return rows.select("fact_id").distinct()
 
+    @staticmethod
+    def _embedded(rows: DataFrame, vector) -> DataFrame:
+        """rows with their vectors; if the provider fails, the facts are stored without one and reembed() finds them."""
+        try:
+            return cut(rows.withColumn("embedding", vector))
+        except Exception as e:  # of any provider
+            warnings.warn(f"facts are stored without vectors: {e}")
+            return rows.withColumn("embedding", F.lit(None).cast("array<double>"))
+
     def _insert_facts(self, rows: DataFrame, version: int) -> None:
         if self.content_index is None:
             return self.store.insert("fact", rows, version)
@@ -126,7 +136,11 @@ class MemoryEngine:
         return {"entities": stored("entity", edges_now.select(F.col("in_id").alias("entity_id")), "entity_id"), "facts": facts_now, "links": edges_now}
 
     def relate(self, edges: DataFrame, now: dt.datetime) -> None:
-        """Stores edges; older versions of a triple that a new one supersedes are closed by new versions."""
+        """Stores edges; older versions of a triple that a new one supersedes are closed by new versions. Where an edge does
+        not say: strength 1.0, confidence 0.8, valid and known from now on, id by its content."""
+        given = lambda c, other: F.coalesce(F.col(c), other) if c in edges.columns else other
+        edges = edges.withColumns({"strength": given("strength", F.lit(1.0)), "confidence": given("confidence", F.lit(0.8)), "t_valid": given("t_valid", temporal.ts(now)), "t_ingested": given("t_ingested", temporal.ts(now))})
+        edges = edges.withColumn("edge_id", given("edge_id", ids.edge_id("in_id", "relation", "out_id", F.col("t_valid"))))
         old = self.store.read("edge")
         new = keep_new(conform(edges, TABLES["edge"]), old, "edge_id")
         n = new.select("in_id", "relation", "out_id", "t_valid", "t_ingested")
@@ -339,6 +353,7 @@ class MemoryEngine:
         own = s.find(kind, record_id)
         if kind == "entity":
             facts = s.read("fact").where(F.array_contains("entity_links", record_id))
+            own = self._with_surroundings(own, record_id, now)
         elif kind == "episode":
             facts = s.read("fact").where(F.col("source_episode") == record_id)
         elif kind == "edge":
@@ -352,6 +367,17 @@ class MemoryEngine:
         one = top.agg(F.sort_array(F.collect_list(F.struct("confidence", "fact_id", "content", "state")), False).alias("facts")).withColumn("has_more", F.size("facts") >= page)
         return own.join(F.broadcast(one))
 
+    def _with_surroundings(self, own: DataFrame, entity_id: str, now: dt.datetime, page: int = 20) -> DataFrame:
+        """An entity with its active edges in both directions (a page of each, by neighbour) and its communities."""
+        s = self.store
+        one = s.spark.createDataFrame([(entity_id,)], "node string")
+        for direction in ("incoming", "outgoing"):
+            near = graphs.neighbours(s.read("edge"), one, direction, now).orderBy("neighbour", F.col("t_valid").desc(), "edge_id").limit(page)
+            near = near.agg(F.array_sort(F.collect_list(F.struct("neighbour", "relation", "edge_id", "strength", "confidence"))).alias(direction))  # a page
+            own = own.join(F.broadcast(near))
+        of = decode_communities(s.read("community")).where(F.array_contains("member_entities", entity_id)).orderBy("community_id").limit(page)
+        return own.join(F.broadcast(of.agg(F.array_sort(F.collect_list(F.struct("community_id", "summary"))).alias("communities"))))
+
     def app_command(self, action: str, now: dt.datetime, dry_run: bool = True, confirmed: bool = False, **args) -> DataFrame:
         """archive | archive_episodes | restore | recompute_decay | rebuild_communities | approve | reject | edit | commit |
         cancel. Destructive lifecycle actions and commit need confirmed=True unless it is a dry run, which returns the

@@ -34,7 +34,21 @@ def decode_facts(df: DataFrame, fact: StructType = TABLES["fact"]) -> DataFrame:
                           "access_count": F.coalesce("access_count", F.lit(0))} | {c: F.coalesce(c, empty) for c in ("entity_links", "policy_tags", "index_keys")}))
 
 
+def decode_episodes(df: DataFrame) -> DataFrame:
+    """Typed episodes: t_ingested defaults to t_ref, visibility to the scope, tags to none; rows without id, content, scope or
+    t_ref are left out."""
+    empty = F.array().cast("array<string>")
+    return (conform(df, TABLES["episode"]).na.drop(subset=["episode_id", "content", "scope", "t_ref"])
+            .withColumns({"t_ingested": F.coalesce("t_ingested", "t_ref"), "visibility_scope": F.coalesce("visibility_scope", "scope"), "policy_tags": F.coalesce("policy_tags", empty)}))
+
+
+def decode_communities(df: DataFrame) -> DataFrame:
+    """Typed communities; those without a summary or without members are left out."""
+    return conform(df, TABLES["community"]).na.drop(subset=["community_id", "summary"]).where((F.trim("summary") != "") & (F.coalesce(F.size("member_entities"), F.lit(0)) > 0))
+
+
 def decode_edges(df: DataFrame) -> DataFrame:
+    """Typed edges: strength and confidence default to 0; rows without id, ends or relation are left out."""
     return (conform(df, TABLES["edge"]).na.drop(subset=["edge_id", "in_id", "out_id", "relation"])
             .withColumns({"strength": F.coalesce("strength", F.lit(0.0)), "confidence": F.coalesce("confidence", F.lit(0.0))}))
 
@@ -160,9 +174,10 @@ def check_retrieval_cases(cases: DataFrame) -> DataFrame:
 
 
 def write_diff(diff: DataFrame, path: str, kind: str = "json") -> None:
-    """Export of a temporal diff: rows as JSON, or their counts as Markdown lines."""
+    """Export of a temporal diff: rows as JSON, the changed ones nested in their kind, or their counts as Markdown lines."""
+    from ..operators.lifecycle import diff_counts
+
     if kind == "json":
-        diff.write.mode("overwrite").json(path)
+        diff.select("change", F.struct(*[c for c in diff.columns if c != "change"]).alias("fact")).write.mode("overwrite").partitionBy("change").json(path)
         return
-    counts = diff.groupBy("change").count()
-    counts.select(F.format_string("- %s: %d", "change", "count").alias("value")).write.mode("overwrite").text(path)
+    diff_counts(diff).select(F.format_string("- %s: %d", "change", "n").alias("value")).write.mode("overwrite").text(path)
