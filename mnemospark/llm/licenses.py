@@ -2,7 +2,8 @@
 
 A rule is a regular expression, the keywords that a text must hold before it is tried, a label, a priority
 and a relevance. Keywords are found in one pass of an Aho-Corasick automaton. Rules come from the table of
-licenses below and the forms in which a license is named: identifier tag, notice, address, name. Detections
+licenses below and the forms in which a license is named: identifier tag and further operands of its expression,
+notice, identifier alone, address, name. Detections
 are resolved by priority, then length, then rule order: one that lies within a detection already kept is
 dropped.
 """
@@ -107,7 +108,7 @@ PASSAGES = (
     ("proprietary", "reserved", r"all~rights~reserved", 0.3),
 )
 #: Forms of naming a license: name, priority, relevance. Higher priorities suppress what they contain.
-FORMS = (("tag", 90, 1.0), ("notice", 80, 0.95), ("address", 70, 0.8), ("name", 50, 0.6))
+FORMS = (("tag", 90, 1.0), ("operand", 90, 1.0), ("notice", 80, 0.95), ("short", 45, 0.8), ("address", 70, 0.8), ("name", 50, 0.6))
 #: Base phrases and their labels.
 PHRASES = ((("mit", "license"), "mit"), (("apache", "license"), "apache"), (("general", "public", "license"), "gpl"))
 
@@ -116,17 +117,34 @@ _TO_WORDS = bytes.maketrans(_SEPARATORS, b" " * len(_SEPARATORS))
 
 
 class Rule:
+    """A pattern with a group stands for the place of the group."""
+
     def __init__(self, label: str, keywords: tuple, pattern: str, priority: int, relevance: float):
         self.label, self.keywords, self.priority, self.relevance = label, keywords, priority, relevance
         self.pattern = re.compile(pattern.replace("~", r"[\s*#/]+"))
 
+    def places(self, text: str):
+        group = self.pattern.groups
+        return [m.span(group) for m in self.pattern.finditer(text)]
+
+
+def _stems(tag: str) -> tuple:
+    """The plain texts of which an identifier holds one: up to its first optional part, or its alternatives."""
+    if tag.startswith("(?:"):
+        return tuple(tag[3:].split(")", 1)[0].split("|"))
+    return (tag.split("(?:", 1)[0],)
+
 
 def rules() -> list[Rule]:
     """All rules in order: the forms of every license, then passages."""
     out = []
     for label, tag, name, keyword, address in LICENSES:
-        words = tuple(keyword.split("|"))
-        forms = {"tag": (("spdx-license",), rf"spdx-license-identifier:\s*\(?{tag}\b"),
+        words, stems, tag = tuple(keyword.split("|")), _stems(tag), tag.replace(".", r"\.")
+        forms = {"tag": (("spdx-license",), rf"spdx-license-identifier:\s*\(*{tag}\b"),
+                 # further operands of an expression on the line of a tag
+                 "operand": (("spdx-license",), rf"spdx-license-identifier:[\w.+() \t-]*?\b(?:and|or|with)[ \t(]+({tag})\b"),
+                 # an identifier alone: "released under mit", "license: mit", "gpl-3.0 licence"
+                 "short": (stems, rf"(?:\b(?:licensed|released|distributed|available)~under~(?:the~)?(?:terms~of~)?(?:the~)?{tag}\b|\blicen[cs]e[ \t]*[:=][ \t]*[\"'(]?{tag}\b|\b{tag}[ \t]+licen[cs]e\b)"),
                  "notice": (words, rf"(?:licensed|released|distributed|available)~under~(?:the~)?(?:terms~(?:of~)?)?(?:the~)?{name}"),
                  "address": ((address,), rf"(?:https?://)?(?:www\.)?{re.escape(address)}"),
                  "name": (words, rf"\b{name}\b")}
@@ -152,7 +170,7 @@ class Scanner:
     def detections(self, line: str, every: bool = False) -> list[tuple[int, int, int]]:
         """(start, end, rule) of a lower-cased text, after suppression, by place; every: without the gate."""
         gated = range(len(self.rules)) if every else sorted({k for _, ks in self.finder.iter(line) for k in ks})
-        found = [(m.start(), m.end(), k) for k in gated for m in self.rules[k].pattern.finditer(line)]
+        found = [(a, b, k) for k in gated for a, b in self.rules[k].places(line)]
         if not found:
             return []
         start, end, rule = np.array(found, np.int64).T
