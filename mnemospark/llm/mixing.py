@@ -153,13 +153,21 @@ class Mix:
         The hint keeps the planner, which cannot know how many slots a row makes, from a broadcast."""
         return self.slots().hint("merge").join(self.fragments(), ["sid", "block"])
 
+    def drawn(self) -> DataFrame:
+        """The draws: (shard, source, slots), a row for each shard and source that it has a slot of."""
+        named = self.sources.select("sid", "source")
+        return self.slots().groupBy("shard", "sid").agg(F.count("*").alias("slots")).join(named, "sid").select("shard", "source", "slots")
+
     def taken(self) -> DataFrame:
-        """One row per document row: doc_id, source, size, source_size, target, taken."""
-        got = self.mixture().groupBy("sid", "first").agg(F.sum("n_words").alias("taken"))
+        """One row per document row: doc_id, source, size, source_size, target, taken, slots (that hold words of it),
+        first_shard (null: none) and shard_spread (the last shard less the first)."""
+        got = self.mixture().groupBy("sid", "first").agg(F.sum("n_words").alias("taken"), F.count("*").alias("slots"), F.min("shard").alias("first_shard"), F.max("shard").alias("last_shard"))
         some = self.rows.where("size > 0").join(got, ["sid", "first"], "left")
         names = ["doc_id", "source", "size", "source_size", "target"]
-        return some.select(*names, F.coalesce("taken", F.lit(0)).cast("long").alias("taken")).unionByName(
-            self.rows.where("size = 0").select(*names, F.lit(0).cast("long").alias("taken")))
+        none = F.lit(None).cast("long")
+        counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("taken", "slots")]
+        return some.select(*names, *counts, "first_shard", (F.col("last_shard") - F.col("first_shard")).alias("shard_spread")).unionByName(
+            self.rows.where("size = 0").select(*names, F.lit(0).cast("long").alias("taken"), F.lit(0).cast("long").alias("slots"), none.alias("first_shard"), none.alias("shard_spread")))
 
 
 def _slots(columns: list[list[np.ndarray]]) -> pa.RecordBatch:
@@ -216,4 +224,4 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return Mix(docs).taken().select("doc_id", "size", "source_size", "target", "taken")
+    return Mix(docs).taken().select("doc_id", "size", "source_size", "target", "taken", "slots", "first_shard", "shard_spread")

@@ -236,3 +236,21 @@ def test_many_filters_merge_in_a_tree():
     assert time.perf_counter() - began < 5  # 8.6 s one after another
     fps, n = np.unique(np.concatenate(parts), return_counts=True)
     assert (whole.fingerprints() == fps).all() and (whole.counts == n).all()
+
+
+def test_draws_of_a_mix_decide_its_shards(spark, monkeypatch):
+    from mnemospark.llm import mixing
+
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 40)
+    docs = spark.createDataFrame([(i, " ".join(["w"] * (20 + i % 50)), "ab"[i % 3 == 0], 0) for i in range(300)] + [(900, None, "a", 0)], "doc_id long, text string, source string, slots int")
+    mix = mixing.Mix(docs)
+    drawn = {(r["shard"], r["source"]): r["slots"] for r in mix.drawn().collect()}
+    wanted = {r["source"]: r["n_slots"] for r in mix.sources.collect()}
+    n_shards = max(s for s, _ in drawn) + 1
+    assert n_shards > 5 and {s: sum(v for (_, x), v in drawn.items() if x == s) for s in wanted} == wanted
+    assert len({v for (_, x), v in drawn.items() if x == "a"}) > 3  # as chance has it, not all alike
+    assert {(r["shard"], r["source"]): r["slots"] for r in mixing.Mix(docs).drawn().collect()} == drawn
+    rows = mix.taken().collect()
+    assert all((r["first_shard"] is None) == (r["slots"] == 0) for r in rows) and len(rows) == 301
+    held = mix.mixture().groupBy("shard", "sid").agg({"block": "count"}).count()
+    assert held == len(drawn) and all(0 <= r["first_shard"] + r["shard_spread"] < n_shards for r in rows if r["slots"])
