@@ -260,47 +260,71 @@ _TRIPLE = ("in_id", "relation", "out_id")
 _ORDER = (*_TRIPLE, "t_ingested", "t_valid", "edge_id")
 
 
+def _next_not_less(v, last):
+    """For each place the first later one up to last (the end of its run, exclusive) whose value is not less, or last. Each
+    waits for a candidate; one that is less hands on to its own candidate, since all between are less still."""
+    import numpy as np
+
+    at = np.arange(len(v)) + 1
+    todo = np.arange(len(v))
+    while True:
+        todo = todo[at[todo] < last[todo]]
+        todo = todo[v[at[todo]] < v[todo]]
+        if not len(todo):
+            return np.minimum(at, last)
+        at[todo] = at[at[todo]]
+
+
 def _first_later(batches):
-    """Streams versions sorted by triple and transaction order. A version waits on a stack until one comes that is not
-    earlier in valid time; what waits is in falling order of valid time, so each version is pushed and taken once.
+    """Streams versions sorted by triple and transaction order. A version waits until one comes that is not earlier in valid
+    time; what waits of the current triple is in falling order of valid time, and goes before the next batch.
 
     Rows: closed (edge_id with its closer), waiting (of the last triple, which may go on elsewhere) and high (versions of
     the first triple that are later in valid time than all before them: only these can close what waits elsewhere)."""
+    import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    now, first, stack, highs, most = None, True, [], [], None
-    none = pa.nulls
+    held, first, most = None, True, np.iinfo(np.int64).min
 
-    def rows(kind, key, items):
-        n = len(items)
-        cols = [pa.array([kind] * n), *[pa.array([key[k]] * n, pa.string()) for k in range(3)], pa.array([x[0] for x in items], pa.string())]
-        times = [pa.array([x[k] for x in items], pa.int64()).cast(pa.timestamp("us")) if kind != "closed" else none(n, pa.timestamp("us")) for k in (1, 2)]
-        by = [pa.array([x[k] for x in items], pa.int64()).cast(pa.timestamp("us")) if kind == "closed" else none(n, pa.timestamp("us")) for k in (1, 2)]
-        return pa.RecordBatch.from_arrays([*cols, *times, *by], names=["kind", *_TRIPLE, "edge_id", "t_valid", "t_ingested", "by_valid", "by_ingested"])
+    def rows(kind, part, valid=None, ingested=None):
+        n = part.num_rows
+        none = pa.nulls(n, pa.timestamp("us"))
+        when = [none, none] if valid is not None else [part.column(c).cast(pa.timestamp("us")) for c in ("t_valid", "t_ingested")]
+        by = [none, none] if valid is None else [pa.array(x).cast(pa.timestamp("us")) for x in (valid, ingested)]
+        triple = [pa.nulls(n, pa.string()) if valid is not None else part.column(c) for c in _TRIPLE]  # a closed version needs none
+        return pa.RecordBatch.from_arrays([pa.DictionaryArray.from_arrays(pa.array(np.zeros(n, np.int32)), [kind]).dictionary_decode(), *triple, part.column("edge_id"), *when, *by], names=["kind", *_TRIPLE, "edge_id", "t_valid", "t_ingested", "by_valid", "by_ingested"])
+
+    def changed(column):
+        x, y = column.slice(0, len(column) - 1), column.slice(1)
+        same = pc.or_(pc.fill_null(pc.equal(x, y), False), pc.and_(pc.is_null(x), pc.is_null(y)))
+        return ~same.to_numpy(zero_copy_only=False)
 
     for batch in batches:
-        keys = list(zip(*(batch.column(c).to_pylist() for c in _TRIPLE)))
-        valid, ingested = (batch.column(c).cast(pa.int64()).to_pylist() for c in ("t_valid", "t_ingested"))
-        closed: dict = {}
-        for key, edge, v, i in zip(keys, batch.column("edge_id").to_pylist(), valid, ingested):
-            if key != now:
-                if now is not None:
-                    first = False
-                now, stack, most = key, [], None
-            if v is None:
-                continue
-            while stack and stack[-1][1] <= v:
-                closed.setdefault(key, []).append((stack.pop()[0], v, i))
-            stack.append((edge, v, i))
-            if first and (most is None or v > most):
-                most = v
-                highs.append((key, (edge, v, i)))
-        for key, items in closed.items():
-            yield rows("closed", key, items)
-    if now is not None:
-        yield rows("waiting", now, stack)
-        if highs:
-            yield rows("high", highs[0][0], [x for _, x in highs])
+        batch = batch.filter(pc.is_valid(batch.column("t_valid")))
+        if not batch.num_rows:
+            continue
+        before = held.num_rows if held is not None else 0
+        whole = pa.concat_batches([held, batch]) if before else batch
+        v = whole.column("t_valid").cast(pa.int64()).to_numpy()
+        i = whole.column("t_ingested").cast(pa.int64())
+        new = np.r_[True, changed(whole.column("in_id")) | changed(whole.column("relation")) | changed(whole.column("out_id"))]
+        starts = np.r_[np.flatnonzero(new), len(v)]
+        end = starts[np.cumsum(new)]
+        if first:  # highs of the first triple of the task
+            own = v[before:end[0]] if end[0] > before else v[:0]
+            top = np.maximum.accumulate(np.r_[most, own])
+            rise = before + np.flatnonzero(own > top[:-1])
+            if len(rise):
+                yield rows("high", whole.take(pa.array(rise)))
+            most, first = top[-1], end[0] == len(v)
+        to = _next_not_less(v, end)
+        done = np.flatnonzero(to < end)
+        if len(done):
+            yield rows("closed", whole.select(["edge_id"]).take(pa.array(done)), v[to[done]], i.take(pa.array(to[done])))
+        held = whole.take(pa.array(np.flatnonzero((to == end) & (end == len(v)))))
+    if held is not None and held.num_rows:
+        yield rows("waiting", held)
 
 
 def close_superseded(edges: DataFrame) -> DataFrame:
