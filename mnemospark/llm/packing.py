@@ -11,11 +11,13 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,7 +49,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Ids(dict):
-    """Token ids (little-endian unsigned 32-bit) of white-space separated chunks, kept as they come up."""
+    """Token ids (little-endian unsigned 32-bit) of words, kept as they come up."""
 
     def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
@@ -58,19 +60,45 @@ class Ids(dict):
             own = json.load(f)
         self.splits = all(own.get(k) == v for k, v in _SPLITS.items()) and all(t["content"].startswith("<|") for t in own["added_tokens"])
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = [t.id for w in _WORD.findall(chunk) for t in self.model.tokenize(w.encode().decode("latin-1").translate(self.letters))]
-        out = np.array(ids, "<u4").tobytes()
-        if len(self) < self.most:  # the chunks met first are the frequent ones; rare ones need no place
-            self[chunk] = out
+    def __missing__(self, word: str) -> bytes:
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(letters)]
+        out = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self) < self.most:  # the words met first are the frequent ones; rare ones need no place
+            self[word] = out
         return out
 
+    def chunk(self, chunk: str) -> bytes:
+        """Ids of a lower-case plain chunk without white space that is no word on hand; its words are kept, it is not."""
+        if chunk[-1:] in (",", ".") and chunk[-2:-1].isalpha() and chunk[:-1] in self:  # what most of these chunks are
+            return self[chunk[:-1]] + self[chunk[-1]]
+        return b"".join(map(self.__getitem__, _WORD.findall(chunk)))
+
+    def of_all(self, texts: pa.Array):
+        """Ids of each whole text, one after the other, without special tokens of the tokenizer's own; null: none.
+        Each distinct chunk of the array is looked up once."""
+        texts = pc.fill_null(texts, "")
+        plain = [self.splits and _PLAIN.fullmatch(x) is not None and "<|" not in x for x in texts.to_pylist()]
+        chunks = pc.ascii_split_whitespace(pc.utf8_lower(texts.filter(pa.array(plain, pa.bool_()))))
+        coded = chunks.flatten().dictionary_encode()
+        own = [self.get(c) or self.chunk(c) for c in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        sizes = np.fromiter(map(len, own), np.int32, len(own)) // 4
+        first, ids, which = np.cumsum(sizes, dtype=np.int32) - sizes, np.frombuffer(b"".join(own), "<u4"), coded.indices.to_numpy()
+        size = sizes[which]
+        ends = np.r_[0, np.cumsum(size, dtype=np.int32)]
+        ids = ids[np.arange(ends[-1], dtype=np.int32) + np.repeat(first[which] - ends[:-1], size)]
+        cuts = iter(ends[np.cumsum(pc.list_value_length(chunks).to_numpy())].tolist())
+        at = 0
+        for k, here in enumerate(plain):
+            if here:
+                to = next(cuts)
+                yield ids[at:to].tobytes()
+                at = to
+            else:
+                yield np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, "<u4").tobytes()
+
     def of(self, text: str | None) -> bytes:
-        """Ids of a whole text, without special tokens of the tokenizer's own; null: none."""
-        text = text or ""
-        if self.splits and _PLAIN.fullmatch(text) and "<|" not in text:
-            return b"".join(map(self.__getitem__, text.lower().split()))
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return next(self.of_all(pa.array([text], pa.string())))
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID,
@@ -95,10 +123,10 @@ def token_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: i
         ids, end, step = Ids(path), np.array([end_id], "<u4").tobytes(), 4 * capacity
         task = TaskContext.get()
         n = (task.partitionId() if task else 0) << 40
-        for part in sliced(batches):
+        for part in sliced(batches, 4096, 4 << 20):
             which, rows = [], []
-            for k, text in enumerate(part.column(1).to_pylist()):
-                data = ids.of(text) + end
+            for k, data in enumerate(ids.of_all(part.column(1))):
+                data += end
                 for p, a in enumerate(range(0, len(data), step)):
                     own = data[a:a + step]
                     which.append(k)
