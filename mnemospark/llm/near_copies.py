@@ -1,11 +1,13 @@
-"""Near copies by MinHash bands, verified by the Jaccard similarity of word shingles.
-
-Rows with the same set of shingles are one class. Classes that share one of 24 bands of 5 minima meet: a pair of
-similarity s does with chance 1 - (1 - s^5)^24, 0.9999 at 0.8. Every pair that counts is verified on the whole
-sets. First each class is compared with leaders of its buckets, which settles dense groups with few pairs. Buckets
-whose members are then in more than one component are cut in blocks, and a task compares the members of two blocks
-with each other and gives only links that join components, fewer than it has members. So the components are those
-of all pairs that met, and no pair of a bucket is ever a row.
+"""Near copies by SimHash, completed by MinHash bands, verified by the Jaccard similarity of word shingles.
+
+Rows with the same set of shingles are one class. SimHash comes first: links of classes whose fingerprints differ
+in at most 3 bits (simhash.class_links), each verified on the whole sets, make the components to begin with. A
+fingerprint misses most pairs near 0.8, so bands search for the rest: classes that share one of 24 bands of 5 minima
+meet, a pair of similarity s with chance 1 - (1 - s^5)^24, 0.9999 at 0.8. They work only where SimHash has left the
+members of a bucket apart. There each class is first compared with leaders of its buckets. Buckets whose
+members are then in more than one component are cut in blocks, and a task compares the members of two blocks with
+each other and gives only links that join components, fewer than it has members. So the components are those of all
+pairs that met, by either way, and no pair of a bucket is ever a row.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, join_by_class, small, through_python
-from .simhash import SEED, shingle_hashes
+from .simhash import SEED, class_links, majority, shingle_hashes
 
 BANDS, ROWS, LEADERS = 24, 5, 4
 #: Members and shingles of a block of a bucket, about: a task holds two blocks.
@@ -37,24 +39,26 @@ def minima(hashes: np.ndarray, block: int = 4096) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words_in_shingle: int) -> DataFrame:
-    """One row (doc_id, text_key, cls, n, bands) per row of docs: a hash of the text, one of the set of shingles, its size,
-    and band keys."""
+    """One row (doc_id, text_key, cls, n, fp, bands) per row of docs: a hash of the text, one of the set of shingles, its
+    size, its fingerprint, and band keys."""
 
     def work():
         def each(part: pa.RecordBatch) -> dict:
-            cls, sizes, bands = [], [], []
+            cls, sizes, fps, bands = [], [], [], []
             for x in part.column(1).to_pylist():
                 h = np.unique(shingle_hashes(x, words_in_shingle))
                 low = minima(h).reshape(BANDS, ROWS) if len(h) else np.zeros((BANDS, ROWS), np.uint64)
                 cls.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
                 sizes.append(len(h))
+                fps.append(majority(h) if len(h) else 0)
                 bands.append(np.array([xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(low)], np.uint64).view(np.int64))
-            return {"doc_id": part.column(0), "text_key": part.column(2), "cls": np.array(cls, np.uint64).view(np.int64), "n": sizes, "bands": bands}
+            return {"doc_id": part.column(0), "text_key": part.column(2), "cls": np.array(cls, np.uint64).view(np.int64), "n": sizes,
+                    "fp": np.array(fps, np.uint64).view(np.int64), "bands": bands}
 
         return each
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return through_python(docs.select("doc_id", "text", text_key().alias("text_key")), work, f"doc_id {kind}, text_key long, cls long, n long, bands array<bigint>")
+    return through_python(docs.select("doc_id", "text", text_key().alias("text_key")), work, f"doc_id {kind}, text_key long, cls long, n long, fp long, bands array<bigint>")
 
 
 def text_key():
@@ -122,21 +126,36 @@ def joining(key, rows: pa.Table, similarity: float) -> pa.Table:
     return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
 
+def met_in_bands(classes: DataFrame) -> DataFrame:
+    """One row (key, cls, n, lead) per class and band that other classes share; lead: of the bucket's leaders."""
+    entries = classes.select("cls", "n", F.explode("bands").alias("key"))
+    lead = F.min(F.struct(F.xxhash64("cls", F.pmod("key", F.lit(LEADERS))).alias("h"), "cls", "n")).alias("lead")
+    return entries.join(entries.groupBy("key").agg(F.count("*").alias("size"), lead).where("size > 1").drop("size"), "key")
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are not in one component (node, root) yet."""
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
 def similar_groups(docs: DataFrame, words_in_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row (doc_id, text_key, component_id) per row of docs; component_id is the smallest doc_id that pairs of at
     least that similarity reach. Texts without a word are alike, null ones among them. Repeated rows share a
     component; a component is null only if none of its rows has a doc_id; an empty table gives an empty result.
     Other columns of docs are not read."""
     each = cut(sketches(docs, words_in_shingle))
-    classes = cut(each.groupBy("cls").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies")))
-    entries = classes.select("cls", "n", F.explode("bands").alias("key"))
-    lead = F.min(F.struct(F.xxhash64("cls", F.pmod("key", F.lit(LEADERS))).alias("h"), "cls", "n")).alias("lead")
-    met = cut(entries.join(entries.groupBy("key").agg(F.count("*").alias("size"), lead).where("size > 1").drop("size"), "key"))
-    sets = cut(sets_of(docs, classes.join(met.select("cls").distinct(), "cls", "left_semi").select("cls", "least"), words_in_shingle))
+    classes = cut(each.groupBy("cls").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.count("*").alias("copies")))
+    close = cut(class_links(classes.select("cls", "fp")))
+    met = cut(met_in_bands(classes))
+    wanted = met.select("cls").union(close.select("a")).union(close.select("b")).distinct()
+    sets = cut(sets_of(docs, classes.join(wanted, "cls", "left_semi").select("cls", "least"), words_in_shingle))
+    found = cut(alike(close, sets, similarity))
     near_size = F.least("n", "lead.n") >= F.lit(similarity) * F.greatest("n", "lead.n")
     stars = (met.where((F.col("cls") != F.col("lead.cls")) & near_size)
              .select(F.least("cls", "lead.cls").alias("a"), F.greatest("cls", "lead.cls").alias("b")).distinct())
-    found = cut(alike(stars, sets, similarity))
+    found = cut(found.union(alike(apart(stars, cut(components(found))), sets, similarity)))
     roots = cut(components(found))
     known = met.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("root"))
     blocks = F.ceil(F.greatest(F.count("*") / float(BLOCK_MEMBERS), F.sum("n") / float(BLOCK_SHINGLES))).cast("int")

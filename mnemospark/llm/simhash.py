@@ -181,6 +181,22 @@ def links(classes: DataFrame, radius: int = 3, heavy: int = HEAVY) -> DataFrame:
     return dealt.mapInArrow(link, "a long, b long")
 
 
+#: Classes of one fingerprint are linked in this many parts, and the parts with each other: no hub has all links.
+PARTS = 1024
+
+
+def class_links(classes: DataFrame, radius: int = 3) -> DataFrame:
+    """classes: columns cls (long, distinct) and fp (long). Links (a, b), a < b, of classes that connect the same
+    components as all pairs with fingerprints at Hamming distance <= radius."""
+    dealt = classes.select("cls", "fp", F.pmod(F.xxhash64("cls"), F.lit(PARTS)).alias("part"))
+    heads = cut(dealt.groupBy("fp", "part").agg(F.min("cls").alias("head")))
+    first = cut(heads.groupBy("fp").agg(F.min("head").alias("node")))
+    own = dealt.join(heads, ["fp", "part"]).select(F.col("head").alias("a"), F.col("cls").alias("b"))
+    same = heads.join(first, "fp").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    near = links(first.select("fp", F.lit(0).cast("long").alias("family"), "node"), radius)
+    return own.union(same).union(near).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _segment(fp, shift: int, width: int):
     return F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1))
 
@@ -225,9 +241,9 @@ def near_groups(docs: DataFrame, words_in_shingle: int = 3, radius: int = 3, pri
 
 def drop_near_copies(docs: DataFrame, words_in_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one document of each group of near copies, the one with the smallest doc_id. Near copies have
-    a Jaccard similarity of word shingles of at least similarity, or are joined by a chain of such pairs; a
-    fingerprint misses most pairs near 0.8, so they are found by near_copies and verified. Rows go one by one, by doc_id
-    and text: another text under the doc_id of a copy stays. Rows that share the smallest doc_id all stay (exact
+    a Jaccard similarity of word shingles of at least similarity, or are joined by a chain of such pairs. Fingerprints
+    within 3 bits (class_links, verified) give the groups; they miss most pairs near 0.8, and what is still apart
+    then is searched by near_copies. Rows go one by one, by doc_id and text: another text under the doc_id of a copy stays. Rows that share the smallest doc_id all stay (exact
     deduplication comes before), and so do rows without a doc_id. An empty table stays empty."""
     from .near_copies import similar_groups, text_key
 
