@@ -140,6 +140,11 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return both.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
+def links_of(roots: DataFrame) -> DataFrame:
+    """Components (node, root) as links (a, b): what was linked before goes on as stars, not as all its links."""
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
 def similar_groups(docs: DataFrame, words_in_shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row (doc_id, text_key, component_id) per row of docs; component_id is the smallest doc_id that pairs of at
     least that similarity reach. Texts without a word are alike, null ones among them. Repeated rows share a
@@ -151,12 +156,11 @@ def similar_groups(docs: DataFrame, words_in_shingle: int = 5, similarity: float
     met = cut(met_in_bands(classes))
     wanted = met.select("cls").union(close.select("a")).union(close.select("b")).distinct()
     sets = cut(sets_of(docs, classes.join(wanted, "cls", "left_semi").select("cls", "least"), words_in_shingle))
-    found = cut(alike(close, sets, similarity))
+    roots = cut(components(alike(close, sets, similarity)))
     near_size = F.least("n", "lead.n") >= F.lit(similarity) * F.greatest("n", "lead.n")
     stars = (met.where((F.col("cls") != F.col("lead.cls")) & near_size)
              .select(F.least("cls", "lead.cls").alias("a"), F.greatest("cls", "lead.cls").alias("b")).distinct())
-    found = cut(found.union(alike(apart(stars, cut(components(found))), sets, similarity)))
-    roots = cut(components(found))
+    roots = cut(components(links_of(roots).union(alike(apart(stars, roots), sets, similarity))))
     known = met.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("root"))
     blocks = F.ceil(F.greatest(F.count("*") / float(BLOCK_MEMBERS), F.sum("n") / float(BLOCK_SHINGLES))).cast("int")
     mixed = known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), blocks.alias("blocks")).where("lo < hi").select("key", "blocks")
@@ -165,7 +169,7 @@ def similar_groups(docs: DataFrame, words_in_shingle: int = 5, similarity: float
     dealt = (open_.select("key", "cls", "block", "root", other).join(sets, "cls")
              .select("key", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), "cls", "block", "root", "hs"))
     more = dealt.groupBy("key", "i", "j").applyInArrow(lambda key, rows: joining(key, rows, similarity), "a long, b long")
-    roots = components(found.union(more))
+    roots = components(links_of(roots).union(more))
     of = classes.select("cls", "least", "copies").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
     named = cut(of.join(least, "root").select("cls", "copies", "component_id"))
