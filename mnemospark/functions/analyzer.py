@@ -7,6 +7,7 @@ some thirty patterns; the rules are those of the published English Snowball stem
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
 
 from pyspark.sql import Column, DataFrame
@@ -173,3 +174,68 @@ def stems(tokens: DataFrame, word: str = "word") -> DataFrame:
     """(word, term) for the distinct words of tokens. Few bytes, but much work for each: they are dealt to all tasks."""
     parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return tokens.select(F.col(word).alias("word")).distinct().repartition(parts, "word").withColumn("term", stem_of("word"))
+
+
+def stem_word(word: str) -> str:
+    """stem() of one folded word, rule by rule, where words are counted outside the JVM."""
+    if not _STEMMED.match(word):
+        return word
+    if word in SPECIAL:
+        return SPECIAL[word]
+    w = re.sub("(?<=[aeiouy])y", "Y", "Y" + word[1:] if word[0] == "y" else word)
+    r1 = 5 if w.startswith(("gener", "arsen")) else 6 if w.startswith("commun") else _region_of(w, 0)
+    r2 = _region_of(w, r1)
+    if w.endswith("sses"):
+        w = w[:-2]
+    elif w.endswith(("ied", "ies")):
+        w = w[:-2] if len(w) > 4 else w[:-1]
+    elif not w.endswith(("us", "ss")) and re.search("[aeiouy].+s$", w):
+        w = w[:-1]
+    if w in KEPT:
+        return w.lower()
+    w = _tense_of(w, r1)
+    if re.search("^.+[^aeiouy][yY]$", w):
+        w = w[:-1] + "i"
+    s = _end(w, _STEP2_END)
+    if s and len(w) - len(s) >= r1 and (w.endswith("logi") if s == "ogi" else bool(re.search("[cdeghkmnrt]li$", w)) if s == "li" else True):
+        w = w[: len(w) - len(s)] + STEP2[s]
+    s = _end(w, _STEP3_END)
+    if s and len(w) - len(s) >= r1 and (s != "ative" or len(w) - len(s) >= r2):
+        w = w[: len(w) - len(s)] + STEP3[s]
+    s = _end(w, _STEP4_END)
+    if s and len(w) - len(s) >= r2 and (s != "ion" or re.search("[st]ion$", w)):
+        w = w[: len(w) - len(s)]
+    at = len(w) - 1
+    if w.endswith("e") and (at >= r2 or (at >= r1 and not _SHORT.search(w[:-1]))) or (w.endswith("ll") and at >= r2):
+        w = w[:-1]
+    return w.lower()
+
+
+_STEMMED, _SHORT, _HEAD = re.compile("[a-z]{3,}$"), re.compile(SHORT), re.compile("[^aeiouy]*[aeiouy]+[^aeiouy]")
+_STEP2_END, _STEP3_END, _STEP4_END, _TENSE_END = (re.compile("(" + "|".join(sorted(x, key=len, reverse=True)) + ")$") for x in (STEP2, STEP3, STEP4, ("eedly", "eed", "ingly", "edly", "ing", "ed")))
+
+
+def _end(w: str, suffixes: re.Pattern) -> str:
+    m = suffixes.search(w)
+    return m[1] if m else ""
+
+
+def _region_of(w: str, start: int) -> int:
+    m = _HEAD.match(w, start)
+    return m.end() if m else len(w)
+
+
+def _tense_of(w: str, r1: int) -> str:
+    s = _end(w, _TENSE_END)
+    if not s:
+        return w
+    stem_ = w[: len(w) - len(s)]
+    if s.startswith("eed"):
+        return stem_ + "ee" if len(stem_) >= r1 else w
+    if not re.search("[aeiouy]", stem_):
+        return w
+    if stem_.endswith(("at", "bl", "iz")):
+        return stem_ + "e"
+    if stem_.endswith(("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")):
+        return stem_[:-1]
+    return stem_ + "e" if len(stem_) <= r1 and _SHORT.search(stem_) else stem_

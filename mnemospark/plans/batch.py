@@ -3,13 +3,16 @@ ranks within a request, so a suite of many requests is one job and not a loop of
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import temporal, text
 from ..operators import fusion, postings, relational
 from ..operators.lexical import B, K1
-from ..runtime import cut
+from ..runtime import cut, small
 from .retrieval import CANDIDATES, MemoryTables
 
 _OPTIONAL = {"view": "string", "window_start": "timestamp_ntz", "window_end": "timestamp_ntz", "allowed_tags": "array<string>", "allowed_scopes": "array<string>"}
@@ -64,29 +67,112 @@ def _recency() -> list[Column]:
     return [F.col("t_valid").desc(), F.col("fact_id")]
 
 
+_NARROW = ["request_id", "n", "fact_id", "t_valid", "ft_score"]
+
+
 def _lexical(facts: DataFrame, requests: DataFrame, rewrites: DataFrame, tables: MemoryTables) -> DataFrame:
-    """The hits of every rewrite, each cut to its request's budget: request_id, n, rewrite, ft_score and the fact."""
-    asked = cut(postings.query_terms(rewrites, "rewrite", tables.content_index.english).withColumn("need", F.size("terms")).where("need > 0"))
-    each = asked.select("request_id", "n", "need", F.explode("terms").alias("term"))
-    parts = tables.content_index.parts_batch(each).withColumn("own", F.lit(True)).unionByName(tables.keys_index.parts_batch(each).withColumn("own", F.lit(False))).drop("slice")
-    scored = cut(each.join(parts, "term"))
-    pair = ["request_id", "n"]
-    full = scored.groupBy(*pair, "need", "key", "own").agg(F.count("*").alias("c"), F.sum("part").alias("part")).where("c = need").groupBy(*pair, "key").agg(F.round(F.sum("part"), 9).alias("ft_score")).withColumn("leg", F.lit(""))
-    single = scored.where("need > 1").groupBy(*pair, "key", F.col("term").alias("leg")).agg(F.round(F.sum("part"), 9).alias("ft_score"))  # terms sort as their places do
-    hits = full.unionByName(single).join(facts.withColumnRenamed("fact_id", "key"), "key").withColumnRenamed("key", "fact_id").join(_asked(requests), "request_id").where(_active(requests))
+    """The hits of every rewrite, each cut to its request's budget: request_id, n, fact_id, t_valid, ft_score.
+
+    Requests that see the same facts (scope, time, tags and limit alike) are scored together, up to QUERIES_AT_ONCE: blocks
+    of their terms meet the facts that they see in the slices of the content index, and a slice gives the best of each
+    request, and of each single term once for all. Texts of index keys are short: their postings go by row."""
+    pair, content = ["request_id", "n"], tables.content_index
+    own = ["r_scope", "r_as_of", "r_tags", "most"]
+    told = _asked(requests).withColumn("most", F.greatest(F.col("budget") * CANDIDATES, F.lit(50)))
+    seeing = cut(told.select(*[F.col(c).alias(f"{c}_") for c in own]).distinct().withColumn("sees", F.monotonically_increasing_id()))
+    told = told.join(seeing, F.expr(" AND ".join(f"{c} <=> {c}_" for c in own))).drop(*[f"{c}_" for c in own])
+    asked = postings.query_terms(rewrites, "rewrite", content.english).withColumn("need", F.size("terms")).where("need > 0").drop("rewrite")
+    asked = cut(asked.join(told, "request_id"))
+    groups = -(-asked.count() // postings.QUERIES_AT_ONCE) or 1
+    asked = asked.withColumn("part", F.pmod(F.xxhash64(F.col("request_id").cast("string"), "n"), F.lit(groups)).cast("int"))
+    views = asked.select("sees", "part", "r_scope", "r_as_of", "r_tags").distinct()
+    each = small(asked.select("sees", "part", F.explode("terms").alias("term")).distinct())
+    narrow = facts.select("fact_id", "t_valid", "t_ingested", "t_invalid", "t_invalid_ingested", "scope", "policy_tags").join(F.broadcast(views), F.col("scope") == F.col("r_scope")).where(_active(requests))
+    loose = F.concat(F.lit("none-"), F.pmod(F.xxhash64("key"), F.lit(64)))  # of facts that the content index lacks
+    seen = cut(narrow.select("sees", "part", F.col("fact_id").alias("key"), "t_valid").join(content.places(), "key", "left").withColumn("slice", F.coalesce("slice", loose)))
+    docs = seen.groupBy("sees", "part", "slice").agg(F.sort_array(F.collect_list(F.struct("key", "t_valid", "place", "dl"))).alias("docs"))
+    queries = asked.groupBy("sees", "part").agg(F.collect_list(F.struct(*pair, "need", "terms")).alias("queries"), F.first("most").alias("most"))
+    docs = docs.join(F.broadcast(queries), ["sees", "part"])
+    blocks = content.blocks_batch(each, content.segments()).join(each, "term")
+    by_key = tables.keys_index.parts_batch(each).withColumnRenamed("part", "add").join(each, "term").join(seen, ["sees", "part", "key"])
+    short = by_key.groupBy("sees", "part", "slice", "term").agg(F.collect_list(F.struct("key", "add")).alias("e")).select("sees", "part", "slice", "term", F.col("e.key").alias("short_keys"), F.col("e.add").alias("adds"))
+    rows = docs.unionByName(blocks, allowMissingColumns=True).unionByName(short, allowMissingColumns=True)
+    kind = dict(asked.dtypes)["request_id"]
+    found = rows.groupBy("sees", "part", "slice").applyInArrow(_best_facts, f"sees long, part int, request_id {kind}, n int, leg string, key string, ft_score double, t_valid timestamp_ntz, most int")
+    found = cut(found.withColumn("ft_score", F.round("ft_score", 9)))
+    order = [F.col("ft_score").desc(), F.col("t_valid").desc(), F.col("key")]
+    of_term = found.where("leg <> ''").withColumn("_rn", F.row_number().over(Window.partitionBy("sees", "part", "leg").orderBy(*order))).where(F.col("_rn") <= F.col("most"))
+    wants = asked.where("need > 1").select("sees", "part", *pair, F.explode("terms").alias("leg"))
+    single = of_term.drop(*pair, "_rn").join(wants, ["sees", "part", "leg"])  # terms sort as their places do
+    hits = found.where("leg = ''").unionByName(single, allowMissingColumns=True).select(*pair, "leg", F.col("key").alias("fact_id"), "t_valid", "ft_score", "most")
     order = [F.col("ft_score").desc(), *_recency()]
-    few = hits.withColumn("_rn", F.row_number().over(Window.partitionBy(*pair, "leg").orderBy(*order))).where(F.col("_rn") <= F.greatest(F.col("budget") * CANDIDATES, F.lit(50)))
+    few = hits.withColumn("_rn", F.row_number().over(Window.partitionBy(*pair, "leg").orderBy(*order))).where(F.col("_rn") <= F.col("most"))
     once = few.withColumns({"_first": F.row_number().over(Window.partitionBy(*pair, "fact_id").orderBy("leg", "_rn")), "_best": F.min("leg").over(Window.partitionBy(*pair))})
     chosen = once.where((F.col("_first") == 1) & ((F.col("_best") != "") | (F.col("leg") == ""))).drop("_rn", "_first", "_best", "leg")
-    kept = chosen.withColumn("_rn", F.row_number().over(Window.partitionBy(*pair).orderBy(*order))).where(F.col("_rn") <= F.col("budget")).drop("_rn")
-    return kept.join(rewrites, pair)
+    kept = chosen.join(told.select("request_id", "budget"), "request_id").withColumn("_rn", F.row_number().over(Window.partitionBy(*pair).orderBy(*order))).where(F.col("_rn") <= F.col("budget"))
+    return kept.select(*_NARROW)
+
+
+def _best_facts(table: pa.Table) -> pa.Table:
+    """The best facts of one slice: for each request those that hold all its terms, in the content or in the index keys
+    (leg ''), and for each single term those that hold it."""
+    told = table.filter(pc.is_valid(table.column("docs"))).combine_chunks()
+    who, which, legs, scores = [], [], [], []
+    docs = pa.array([], pa.string())
+    if told.num_rows:  # else no request sees a fact of the slice
+        facts, most = told.column("docs").combine_chunks().flatten(), told.column("most")[0].as_py()
+        docs, when = facts.field("key").cast(pa.string()), facts.field("t_valid")
+        queries = told.column("queries").combine_chunks().flatten()
+        newest = -when.cast(pa.int64()).to_numpy(zero_copy_only=False)
+        content = postings.parts_of(table.filter(pc.is_valid(table.column("idf"))), facts)
+        short = table.filter(pc.is_valid(table.column("adds")))
+        keys = {}
+        for term, own, adds in zip(short.column("term").to_pylist(), short.column("short_keys").to_pylist(), short.column("adds").to_pylist()):
+            keys[term] = pc.index_in(pa.array(own, pa.string()), value_set=docs).to_numpy(zero_copy_only=False).astype(np.int64), np.array(adds)
+        needs, asked = queries.field("need").to_pylist(), queries.field("terms").to_pylist()
+
+        def give(q: int | None, leg: str, score: np.ndarray, hit: np.ndarray) -> None:
+            hit = hit[np.lexsort((hit, newest[hit], -postings.ticks(score[hit])))[:most]]  # docs are in the order of their keys
+            who.extend([q] * len(hit))
+            which.extend(hit.tolist())
+            legs.extend([leg] * len(hit))
+            scores.extend(score[hit].tolist())
+
+        for q, terms in enumerate(asked):
+            score, held = np.zeros(len(docs)), np.zeros(len(docs), bool)
+            for parts in (content, keys):
+                if all(t in parts for t in terms):
+                    own, n = np.zeros(len(docs)), np.zeros(len(docs), np.int32)
+                    for at, add in (parts[t] for t in terms):
+                        own[at] += add
+                        n[at] += 1
+                    whole = n == len(terms)
+                    score[whole] += own[whole]
+                    held |= whole
+            give(q, "", score, np.flatnonzero(held))
+        for term in sorted({t for need, terms in zip(needs, asked) if need > 1 for t in terms}):
+            score, held = np.zeros(len(docs)), np.zeros(len(docs), bool)
+            for at, add in (parts[term] for parts in (content, keys) if term in parts):
+                score[at] += add
+                held[at] = True
+            give(None, term, score, np.flatnonzero(held))
+    else:
+        when, most, queries = pa.array([], pa.timestamp("us")), 0, None
+    at, q = pa.array(which, pa.int64()), pa.array(who, pa.int64())
+    ids = table.schema.field("queries").type.value_type.field("request_id").type
+    n = len(which)
+    same = lambda c: pa.array([table.column(c)[0].as_py()] * n, table.schema.field(c).type)
+    return pa.table({"sees": same("sees"), "part": same("part"), "request_id": queries.field("request_id").take(q) if queries is not None else pa.nulls(0, ids), "n": (queries.field("n").take(q) if queries is not None else pa.nulls(0, pa.int32())).cast(pa.int32()),
+                     "leg": pa.array(legs, pa.string()), "key": docs.take(at), "ft_score": pa.array(scores, pa.float64()), "t_valid": when.take(at), "most": pa.array([most] * n, pa.int32())})
 
 
 def _newest(facts: DataFrame, requests: DataFrame) -> DataFrame:
-    """The newest facts for requests without a query."""
-    asked = _asked(requests.where("blank"))
-    hits = facts.join(asked, F.col("scope") == F.col("r_scope")).where(_active(requests))
-    return hits.withColumn("_rn", F.row_number().over(Window.partitionBy("request_id").orderBy(*_recency()))).where(F.col("_rn") <= F.col("budget")).drop("_rn").withColumns({"n": F.lit(0), "ft_score": F.lit(0.0), "rewrite": F.lit("")})
+    """The newest facts for requests without a query: request_id, n, fact_id, t_valid, ft_score."""
+    asked = cut(_asked(requests.where("blank")))
+    narrow = facts.select("fact_id", "t_valid", "t_ingested", "t_invalid", "t_invalid_ingested", "scope", "policy_tags")
+    hits = narrow.join(F.broadcast(asked), F.col("scope") == F.col("r_scope")).where(_active(requests))  # requests alone
+    newest = hits.withColumn("_rn", F.row_number().over(Window.partitionBy("request_id").orderBy(*_recency()))).where(F.col("_rn") <= F.col("budget"))
+    return newest.withColumns({"n": F.lit(0), "ft_score": F.lit(0.0)}).select(*_NARROW)
 
 
 def _leg(hits: DataFrame, name: str, by: list[str], order: list[Column], why: Column) -> DataFrame:
@@ -166,7 +252,9 @@ def assemble_contexts(tables: MemoryTables, requests: DataFrame) -> DataFrame:
     facts = facts.select("fact_id", "fact_type", "content", "source_episode", "t_valid", "t_ingested", "t_invalid", "t_invalid_ingested", "confidence", "scope", "policy_tags", "entity_links")
     r = _prepared(requests)
     rewrites = cut(rewrites_of(r, tables.entities))
-    found = cut(_lexical(facts, r, rewrites, tables).drop("entity_links", "policy_tags", "r_tags").unionByName(_newest(facts, r).drop("entity_links", "policy_tags", "r_tags")))
+    chosen = small(_lexical(facts, r, rewrites, tables).unionByName(_newest(facts, r)))  # budget rows of a rewrite; only now texts are read
+    found = facts.drop("entity_links", "policy_tags").join(chosen, ["fact_id", "t_valid"]).join(_asked(r).drop("r_tags"), "request_id").where((F.col("scope") == F.col("r_scope")) & temporal.active_at(F.col("r_as_of")))
+    found = cut(found.join(rewrites, ["request_id", "n"], "left").withColumn("rewrite", F.coalesce("rewrite", F.lit(""))))
     order = [F.col("ft_score").desc(), *_recency()]
     direct = found.where("n = 0")
     again = found.where("n > 0").join(direct.select("request_id", "fact_id"), ["request_id", "fact_id"], "left_anti")
