@@ -116,8 +116,9 @@ def search_facts_indexed(facts: DataFrame, active: Column, query: str, limit: in
     if fallback and len(terms) > 1:
         at = F.array_position(F.array(*[F.lit(t) for t in sorted(terms)]), F.col("term")).cast("int") - 1
         legs = full.unionByName(each.groupBy("key", at.alias("leg")).agg(F.round(F.sum("part"), 9).alias("ft_score")))
-    hits = facts.where(active).join(legs.withColumnRenamed("key", "fact_id"), "fact_id")
-    return _best_leg(hits, limit).select(*facts.columns, "ft_score")
+    hits = facts.where(active).select("fact_id", "t_valid").join(legs.withColumnRenamed("key", "fact_id"), "fact_id")  # narrow: no text is moved for a rank
+    best = _best_leg(hits, limit).select("fact_id", "t_valid", "ft_score")
+    return facts.where(active).join(F.broadcast(best), ["fact_id", "t_valid"]).select(*facts.columns, "ft_score")  # limit rows
 
 
 def with_fallback(primary: DataFrame, each_term: list[DataFrame], key: str, order: list[Column]) -> DataFrame:
