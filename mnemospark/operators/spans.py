@@ -10,7 +10,8 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN_WIDTH, WINDOW_SHARE = 12, 8
@@ -92,22 +93,82 @@ def greedy(start: np.ndarray, end: np.ndarray, score: np.ndarray, most: float) -
     return np.array(kept, np.int64)
 
 
+def _changed(column: pa.Array) -> np.ndarray:
+    """For each row but the first: differs from the row before."""
+    x, y = column.slice(0, len(column) - 1), column.slice(1)
+    same = pc.or_(pc.fill_null(pc.equal(x, y), False), pc.and_(pc.is_null(x), pc.is_null(y)))
+    return ~same.to_numpy(zero_copy_only=False)
+
+
+def _chains(new: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Where a chain of overlapping spans begins, in rows sorted by group, start and end; new: where a group begins."""
+    group = np.cumsum(new) - 1
+    low, high = int(start.min()), int(max(start.max(), end.max()))
+    wide = high - low + 1
+    if wide * (int(group[-1]) + 1) < 1 << 62:  # each group in a range of its own, so that one pass has the highest end before each
+        shift = (group * wide).astype(np.int64) - low
+        top = np.maximum.accumulate(np.maximum(start, end) + shift)
+        return new | np.r_[True, (start + shift)[1:] >= top[:-1]]
+    out, starts = new.copy(), [*np.flatnonzero(new), len(new)]
+    for a, b in zip(starts, starts[1:]):
+        out[a + 1:b] |= start[a + 1:b] >= np.maximum.accumulate(np.maximum(start[a:b], end[a:b]))[:-1]
+    return out
+
+
+def _kept(first: np.ndarray, start: np.ndarray, end: np.ndarray, score: np.ndarray, most: float) -> np.ndarray:
+    """Places of the spans that stay, chain by chain in one go: chains are laid side by side, where they can't meet. A chain
+    of one span stays as it is."""
+    begins = np.flatnonzero(first)
+    size = np.diff(np.r_[begins, len(first)])
+    chain = np.cumsum(first) - 1
+    many = np.flatnonzero(size[chain] > 1)
+    if not len(many):
+        return np.arange(len(first))
+    low, high = start[begins], np.maximum.reduceat(np.maximum(start, end), begins)
+    if float(np.sum(high.astype(float) - low)) + len(begins) < 2.0 ** 62:
+        base = np.r_[0, np.cumsum(high - low + 1)[:-1]] - low
+        s, e = start[many] + base[chain[many]], end[many] + base[chain[many]]
+        own = many[greedy(s, e, score[many], most)]
+    else:
+        own = np.concatenate([b + greedy(start[b:b + n], end[b:b + n], score[b:b + n], most) for b, n in zip(begins, size) if n > 1])
+    return np.sort(np.r_[np.flatnonzero(size[chain] == 1), own])
+
+
+def _suppressed(names: int, most: float):
+    def run(batches):
+        held = None
+        for batch in batches:
+            none = pc.or_(pc.is_null(batch.column(names)), pc.is_null(batch.column(names + 1)))
+            if pc.any(none).as_py():  # a span without an end overlaps none
+                yield batch.filter(none)
+                batch = batch.filter(pc.invert(none))
+            if not batch.num_rows:
+                continue
+            held = pa.concat_batches([held, batch]) if held is not None and held.num_rows else batch
+            new = np.zeros(held.num_rows, bool)
+            new[0] = True
+            for k in range(names):
+                new[1:] |= _changed(held.column(k))
+            start, end, score = (held.column(names + k).to_numpy(zero_copy_only=False) for k in range(3))
+            first = _chains(new, start.astype(np.int64), end.astype(np.int64))
+            last = int(np.flatnonzero(first)[-1])  # this chain may go on in the next batch
+            if last:
+                at = _kept(first[:last], start[:last].astype(np.int64), end[:last].astype(np.int64), score[:last].astype(float), most)
+                yield held.take(pa.array(at))
+            held = held.slice(last)
+        if held is not None and held.num_rows:
+            start, end, score = (held.column(names + k).to_numpy(zero_copy_only=False) for k in range(3))
+            yield held.take(pa.array(greedy(start, end, score.astype(float), most)))
+
+    return run
+
+
 def suppress_overlaps(spans: DataFrame, by: list[str], most: float = 0.5) -> DataFrame:
     """Greedy non-maximum suppression of spans (start, end, label, score) within a group and label: best score first, ties
     by start and end; one that overlaps a kept span by IoU above `most` goes.
 
-    A group is cut where no span goes over, so a task gathers a chain of overlapping spans and not a group, and settles
-    it in time that grows with their number."""
+    Groups stream through a task sorted by start and are cut where no span goes over, so a task holds a batch and a chain
+    of overlapping spans, not a group, and settles all chains of a batch together: small groups cost no call of their own."""
     names = [*by, "label"]
-    w = Window.partitionBy(*names).orderBy("start", "end")
-    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    cut = spans.select(*names, "start", "end", "score").withColumn("_new", F.when(before.isNull() | (F.col("start") >= before), 1).otherwise(0))
-    chained = cut.withColumn("_chain", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = cut.drop("_new")
-
-    def settle(table: pa.Table) -> pa.Table:
-        rows = table.select([*names, "start", "end", "score"])
-        keep = greedy(rows.column("start").to_numpy(), rows.column("end").to_numpy(), rows.column("score").to_numpy().astype(float), most)
-        return rows.take(pa.array(keep))
-
-    return chained.groupBy(*names, "_chain").applyInArrow(settle, out.schema)
+    rows = spans.select(*names, "start", "end", "score")
+    return rows.repartition(*names).sortWithinPartitions(*names, "start", "end").mapInArrow(_suppressed(len(names), most), rows.schema)
