@@ -8,11 +8,15 @@ from __future__ import annotations
 
 import functools
 import re
+import sys
 import unicodedata
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # stem_word goes to executors with the tasks
+
 #: A run of letters (with their marks) or of digits is a token.
 TOKEN = r"([\p{L}\p{M}]+|\p{N}+)"
 

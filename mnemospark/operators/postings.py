@@ -27,9 +27,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import analyzer
-from ..runtime import BROADCAST_ROWS, cut, short_shuffles, small
+from ..functions.analyzer import stem_word
+from ..runtime import BROADCAST_ROWS, cut, short_shuffles, small, travels
 from .lexical import B, K1
 
+travels(__name__)
+
 #: Postings and documents lie in one folder, since one pass over the texts writes both; documents under bucket -1.
 _FOLDERS = {"postings": "entries", "docs": "entries"}
 _SCHEMAS = {
@@ -55,7 +58,7 @@ class _Held:
             if (term := self.stems.get(word)) is None:
                 if len(self.stems) >= STEMS:
                     self.stems.clear()
-                term = self.stems[word] = analyzer.stem_word(word)
+                term = self.stems[word] = stem_word(word)
             word = term
         return self.terms.setdefault(word, len(self.terms))
 

@@ -14,6 +14,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import travels
+
+travels(__name__)
+
 SPAN_WIDTH, WINDOW_SHARE = 12, 8
 
 

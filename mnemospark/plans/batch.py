@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 from ..functions import temporal, text
 from ..operators import fusion, postings, relational
 from ..operators.lexical import B, K1
-from ..runtime import cut, small
+from ..operators.postings import parts_of, ticks
+from ..runtime import cut, small, travels
 from .retrieval import CANDIDATES, MemoryTables
 
+travels(__name__)
+
 _OPTIONAL = {"view": "string", "window_start": "timestamp_ntz", "window_end": "timestamp_ntz", "allowed_tags": "array<string>", "allowed_scopes": "array<string>"}
 
 
@@ -124,7 +127,7 @@ def _best_facts(table: pa.Table) -> pa.Table:
         docs, when = facts.field("key").cast(pa.string()), facts.field("t_valid")
         queries = told.column("queries").combine_chunks().flatten()
         newest = -when.cast(pa.int64()).to_numpy(zero_copy_only=False)
-        content = postings.parts_of(table.filter(pc.is_valid(table.column("idf"))), facts)
+        content = parts_of(table.filter(pc.is_valid(table.column("idf"))), facts)
         short = table.filter(pc.is_valid(table.column("adds")))
         keys = {}
         for term, own, adds in zip(short.column("term").to_pylist(), short.column("short_keys").to_pylist(), short.column("adds").to_pylist()):
@@ -132,7 +135,7 @@ def _best_facts(table: pa.Table) -> pa.Table:
         needs, asked = queries.field("need").to_pylist(), queries.field("terms").to_pylist()
 
         def give(q: int | None, leg: str, score: np.ndarray, hit: np.ndarray) -> None:
-            hit = hit[np.lexsort((hit, newest[hit], -postings.ticks(score[hit])))[:most]]  # docs are in the order of their keys
+            hit = hit[np.lexsort((hit, newest[hit], -ticks(score[hit])))[:most]]  # docs are in the order of their keys
             who.extend([q] * len(hit))
             which.extend(hit.tolist())
             legs.extend([leg] * len(hit))
